@@ -7,12 +7,12 @@ two of them overlap in c, they meet in a common c-subset, and there 9c >= 4 (n +
 itself. Larger ones scan inverted lists, of their own prefixes and those of the small ones that can still
 reach them in size. B is where enumerating costs more rows than scanning, from the histogram of set sizes.
 
-Elements are ordered light before heavy: those found often (a bounded list, as no more than total / least
-can be that frequent) come last, so lists of common passages are short but for documents made of nothing
-else. Within long lists, first a few leaders are compared with all members and linked classes become one;
-then pairs of different components are counted over all their common lists, and the count bounds their
-overlap from above. Only pairs that can still link are verified, on whole sets. So no group is expanded
-into all its pairs, and no link between components is lost.
+Elements are ordered light before heavy: those found often (a list of bounded length) come last, so lists of
+common passages are short but for documents made of nothing else. Within lists of heavy elements, first a few
+leaders are compared with all members and linked classes become one. Then only pairs of different components
+are looked at, and of these the ones whose places in a common list still allow the link; what their prefixes
+have in common bounds their overlap from above once more. Pairs that can still link are verified on whole
+sets. So no group is expanded into all its pairs, and no link between components is lost.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; fewer than five words
 count as one shingle; repeated rows are in one class; null ids are never the smallest; an empty table
@@ -33,48 +33,76 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from readloom.llm.common import documents, materialize, ship
-from readloom.llm.graph import components
+from readloom.llm.graph import components, joined
 
 SHINGLE = 5
 #: Elements in the broadcast list of heavy ones, at most (8 bytes each), and their least count.
-MAX_HEAVY, LEAST_HEAVY = 500_000, 32
-#: Lists longer than this have leaders compared first; salts of a heavy list; leaders are dealt in so many ways.
-LONG_LIST, SALTS, LEADERS = 16, 64, 16
+MAX_HEAVY, LEAST_HEAVY = 1_000_000, 16
+#: Salts of a heavy list; rounds of leaders, and leaders of a list in each.
+SALTS, ROUNDS, LEADERS = 64, 2, 2
 #: Rows that scanning a list costs for each row that enumerating a subset costs.
 SCAN_COST = 3
-CACHE_WORDS = 400_000
+#: Bytes hashed at a time.
+BLOCK = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_words: dict[bytes, int] = {}
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    if len(_words) > CACHE_WORDS:
-        _words.clear()
-    got = list(map(_words.get, words))
-    if None in got:
-        for w in {w for w, h in zip(words, got, strict=True) if h is None}:
-            _words[w] = xxhash.xxh3_64_intdigest(w)
-        got = list(map(_words.get, words))
-    return np.array(got, np.uint64)
+_BASE = 0xD6E8FEB86659FD93
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTE = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, n of each at least."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            factors = np.full(n, base, np.uint64)
+            factors[0] = 1
+            _powers[k] = np.cumprod(factors)
+    return _powers[0], _powers[1]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, its first byte): differences of a running sum over bytes times powers of a base."""
+    hashes, firsts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(raw):
+        stop = at + BLOCK
+        if stop < len(raw):  # a block ends where a word does
+            found = [i for i in (raw.find(c, stop) for c in b" \n\t\r\x0b\x0c") if i >= 0] if not _SPACE[raw[stop]] else [stop]
+            stop = min(found, default=len(raw))
+        a = np.frombuffer(raw[at:stop], np.uint8)
+        word = ~_SPACE[a]
+        edge = np.diff(word.view(np.int8), prepend=0, append=0)
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        up, down = _power(max(BLOCK, len(a) + 1))
+        total = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[a] * up[: len(a)])))
+        hashes.append(_mixed((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)))
+        firsts.append(first + at)
+        at = stop
+    return np.concatenate(hashes), np.concatenate(firsts)
 
 
 def shingles(texts: list[str | None], width: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    split = [(x or "").encode().lower().split() for x in texts]
-    sizes = [len(w) for w in split]
-    h = _hashes([w for ws in split for w in ws])
-    at = np.concatenate(([0], np.cumsum(sizes)))
+    raws = [(x or "").encode().lower() for x in texts]
+    h, first = word_hashes(b"\n".join(raws))
+    ends = np.cumsum([len(r) + 1 for r in raws])
+    at = np.concatenate(([0], np.searchsorted(first, ends)))
     rolled = h[: max(0, len(h) - width + 1)] * _MIX
     for k in range(1, width):
         rolled = (rolled ^ (rolled >> np.uint64(29))) * _MIX + h[k : len(h) - width + 1 + k]
-    rolled = (rolled ^ (rolled >> np.uint64(32))) * _MIX
-    rolled ^= rolled >> np.uint64(29)
+    rolled = _mixed(rolled)
     out = []
-    for a, n, ws in zip(at, sizes, split, strict=False):
-        if n >= width:
-            out.append(np.unique(rolled[a : a + n - width + 1]))
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if b - a >= width:
+            x = np.sort(rolled[a : b - width + 1])
+            out.append(x[np.concatenate(([True], x[1:] != x[:-1]))])
         else:
-            out.append(np.array([xxhash.xxh3_64_intdigest(b"\0".join(ws), seed=width)] if n else [], np.uint64))
+            out.append(np.array([xxhash.xxh3_64_intdigest(h[a:b].tobytes(), seed=width)] if b > a else [], np.uint64))
     return out
 
 
@@ -95,12 +123,12 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: (id, set size, digest) of each row; kind 1: (element, its count here) of those found four times or more."""
+    """kind 0: (id, set size, digest) of each row; kind 1: (element, its count here) of those found twice or more among a task's texts."""
     names = ["kind", "a", "n", "sig"]
 
     def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
         keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        keys, counts = keys[counts >= 4].view(np.int64), counts[counts >= 4]
+        keys, counts = keys[counts > 1].view(np.int64), counts[counts > 1]
         return pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.array(keys), pa.array(counts), pa.array(np.zeros(len(keys), np.int64))], names)
 
     held: list[np.ndarray] = []
@@ -192,10 +220,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = survey.where("kind = 0").select(F.col("a").alias("id"), F.col("n").alias("n_shingles"), "sig")
     classes = materialize(own.where("n_shingles > 0").groupBy("sig").agg(F.min("id").alias("first"), F.first("n_shingles").alias("n")), "jaccard-classes")
     sizes = dict(map(tuple, classes.where("n <= 20").groupBy("n").count().collect()))
-    total = own.agg(F.sum("n_shingles")).first()[0] or 0
-    least = max(LEAST_HEAVY, -(-total // MAX_HEAVY))
-    counted = survey.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("a")
-    heavy = np.array([r[0] for r in counted.collect()], np.int64).view(np.uint64)  # total / least at most
+    counted = materialize(survey.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_HEAVY), "jaccard-counts")
+    least = LEAST_HEAVY
+    while counted.where(F.col("n") >= least).count() > MAX_HEAVY:
+        least *= 2
+    heavy = counted.where(F.col("n") >= least).select("a").toPandas()["a"].to_numpy(np.int64).view(np.uint64)
     small = boundary(sizes)
 
     posted = rows.select("body").mapInArrow(_postings(heavy, small), "kind int, key long, sig long, n int, pos int")
@@ -209,28 +238,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = subsets.join(smallest, "key").where((F.col("sig") != F.col("m.sig")) & (9 * F.col("pos") >= 4 * (F.col("n") + F.col("m.n"))))
     links = met.select(F.col("m.sig").alias("a"), F.col("sig").alias("b")).distinct()
 
-    # long lists: leaders first
+    # lists of heavy elements: leaders first
     scan = lists.where("kind < 2").withColumn("again", F.xxhash64("key"))
-    long_ = scan.where(f"kind = 1 OR times > {LONG_LIST}")
-    lead = F.min_by(F.struct("sig", "n", "pos"), F.xxhash64("sig", F.pmod("key", F.lit(LEADERS))))
-    leaders = long_.groupBy("key", "again").agg(lead.alias("m"))
-    low, high = F.least(F.col("n"), F.col("m.n")), F.greatest(F.col("n"), F.col("m.n"))
-    bound = F.least(F.col("n") - F.col("pos"), F.col("m.n") - F.col("m.pos"))
-    near = long_.join(leaders, ["key", "again"]).where((F.col("sig") != F.col("m.sig")) & (5 * low >= 4 * high) & (9 * bound >= 4 * (low + high)) & (high > small))
-    star = near.select(F.least("sig", "m.sig").alias("a"), F.greatest("sig", "m.sig").alias("b")).distinct()
-    links = materialize(links.union(_verified(star, rows, classes)), "jaccard-links")
-
-    # then pairs of different components
-    labels = components(links).withColumnRenamed("v", "sig")
-    placed = scan.select("key", "sig", "n", "pos").join(labels, "sig", "left").select("key", "sig", "n", "pos", F.coalesce("label", "sig").alias("label"))
-    x, y = (placed.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("sig", "n", "pos", "label")]) for k in "xy")
-    met = x.join(y, "key").where("label_x != label_y AND (n_x < n_y OR n_x = n_y AND sig_x < sig_y) AND 5 * n_x >= 4 * n_y").where(F.col("n_y") > small)
-    can = 9 * F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= 4 * (F.col("n_x") + F.col("n_y"))
-    shared = met.groupBy("sig_x", "n_x", "sig_y", "n_y").agg(F.count("*").alias("s"), F.max(can).alias("can"))
+    labels = components(links)
+    for r in range(ROUNDS):
+        named = labels.withColumnRenamed("v", "sig")
+        heavy_lists = scan.where("kind = 1").join(named, "sig", "left").select("key", "again", "sig", "n", F.coalesce("label", "sig").alias("label"))
+        lead = F.array(*[F.min_by(F.struct("sig", "n", "label"), F.xxhash64("sig", "key", F.lit(r * LEADERS + k))) for k in range(LEADERS)])
+        leaders = heavy_lists.groupBy("key", "again").agg(lead.alias("m")).select("key", "again", F.explode(F.array_distinct("m")).alias("m"))
+        low, high = F.least(F.col("n"), F.col("m.n")), F.greatest(F.col("n"), F.col("m.n"))
+        near = heavy_lists.join(leaders, ["key", "again"]).where((F.col("label") != F.col("m.label")) & (5 * low >= 4 * high) & (high > small))
+        star = near.select(F.least("sig", "m.sig").alias("a"), F.greatest("sig", "m.sig").alias("b")).distinct()
+        labels = materialize(joined(labels, _verified(star, rows, classes)), "labels")
+
+    # then pairs of different components that a common place allows; the first common one does, if they link
+    placed = scan.select("key", "sig", "n", "pos").join(labels.withColumnRenamed("v", "sig"), "sig", "left").select("key", "sig", "n", (F.col("n") - F.col("pos")).alias("rest"), F.coalesce("label", "sig").alias("label"))
+    x, y = (placed.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("sig", "n", "rest", "label")]) for k in "xy")
+    can = F.expr("label_x != label_y AND (n_x < n_y OR n_x = n_y AND sig_x < sig_y) AND 5 * n_x >= 4 * n_y AND 9 * least(rest_x, rest_y) >= 4 * (n_x + n_y)")
+    pairs = materialize(x.join(y, (x.key == y.key) & can & (F.col("n_y") > small)).select("sig_x", "n_x", "sig_y", "n_y").distinct(), "jaccard-met")
+    held = scan.join(pairs.select(F.explode(F.array("sig_x", "sig_y")).alias("sig")).distinct(), "sig", "left_semi").groupBy("sig").agg(F.collect_list("key").alias("keys"))
+    held = materialize(held, "jaccard-prefixes")
+    left, right = (held.select(F.col("sig").alias(f"sig_{k}"), F.col("keys").alias(f"keys_{k}")) for k in "xy")
     # what isn't common in both prefixes lies beyond the prefix of one of the two
-    cross = shared.where("can AND 9 * (s + greatest((4 * n_x + 4) div 5, (4 * n_y + 4) div 5) - 1) >= 4 * (n_x + n_y)")
+    most = F.size(F.array_intersect("keys_x", "keys_y")) + F.expr("greatest((4 * n_x + 4) div 5, (4 * n_y + 4) div 5) - 1")
+    cross = pairs.join(left, "sig_x").join(right, "sig_y").where(9 * most >= 4 * (F.col("n_x") + F.col("n_y")))
     more = _verified(cross.select(F.col("sig_x").alias("a"), F.col("sig_y").alias("b")), rows, classes)
-    labels = components(links.union(more)).withColumnRenamed("v", "sig")
+    labels = joined(labels, more).withColumnRenamed("v", "sig")
 
     named = classes.join(labels, "sig", "left").select("sig", "first", F.coalesce("label", "sig").alias("label"))
     least_id = named.groupBy("label").agg(F.min("first").alias("component"))
