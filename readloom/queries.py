@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from readloom.plans import overlap_queries, read_queries
+
+_ALL = overlap_queries.QUERIES | read_queries.QUERIES
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return {k: q for k, (q, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in _ALL.items() if sql}
