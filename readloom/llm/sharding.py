@@ -101,7 +101,7 @@ def minimax_cuts(ask, total: int, largest: int, shards: int) -> tuple[int, list[
     return surely, _greedy(ends, surely, shards, 0)
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, salts: int = SALTS, buckets: int = 4096, resolution: int = 65536) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, salts: int = SALTS, buckets: int = 4096, resolution: int = 32768) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) of every row."""
     body = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body"))
     rows = body.select(
@@ -122,6 +122,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     prior = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)  # a row for each of the fixed buckets
     offsets = sums.select("bucket", F.coalesce(F.sum("b_bytes").over(prior), F.lit(0)).alias("o_bytes"), F.coalesce(F.sum("b_n").over(prior), F.lit(0)).alias("o_n"))
     pieces = pieces.join(F.broadcast(offsets), "bucket").select("gid", "salt", "head", "g_bytes", "g_n", (F.col("g_end") + F.col("o_bytes")).alias("g_end"), (F.col("before") + F.col("o_n")).alias("before"))
+    pieces = materialize(pieces, "shard-placed")
 
     heads = pieces.where("head")
     total = heads.agg(F.sum("g_bytes")).first()[0]
@@ -138,15 +139,13 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     own = reduce(lambda e, i: e.when(F.col("g_end") == alone[i].g_end, n_shards - 1 - i), range(1, len(alone)), F.when(F.col("g_end") == alone[0].g_end, n_shards - 1)) if alone else F.lit(None).cast("int")
     cuts: list[int] = []
     if rest:
-        others = heads.select(end.alias("end"), own.alias("own")).where("own IS NULL")
+        others = materialize(heads.select(end.alias("end"), own.alias("own")).where("own IS NULL").select("end"), "shard-ends")
 
         def ask(spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
             per = max(1, resolution // len(spans))
-            cell = F.lit(None).cast("struct<k:int,c:long>")
-            for k, (lo, hi) in enumerate(spans):
-                width = max(1, -(-(hi - lo) // per))
-                cell = F.when((F.col("end") > lo) & (F.col("end") <= hi), F.struct(F.lit(k).alias("k"), F.expr(f"(end - {lo + 1}) div {width}").alias("c"))).otherwise(cell)
-            found = others.select("end", cell.alias("cell")).where("cell IS NOT NULL").groupBy("cell").agg(F.min("end"), F.max("end"), F.count("*")).drop("cell").toPandas()
+            from_, to, width = (F.array(*[F.lit(x).cast("long") for x in xs]) for xs in ([lo for lo, _ in spans], [hi for _, hi in spans], [max(1, -(-(hi - lo) // per)) for lo, hi in spans]))
+            placed = others.withColumn("k", F.size(F.filter(from_, lambda lo: lo < F.col("end")))).where("k > 0").withColumns({"lo": F.element_at(from_, F.col("k")), "hi": F.element_at(to, F.col("k")), "width": F.element_at(width, F.col("k"))})
+            found = placed.where("end <= hi").groupBy("k", F.expr("(end - lo - 1) div width")).agg(F.min("end").alias("a"), F.max("end").alias("z"), F.count("*").alias("n")).select("a", "z", "n").toPandas()
             return sorted(found.itertuples(index=False, name=None))
 
         cuts = minimax_cuts(ask, left, rest[0].g_bytes, n_shards - len(alone))[1]
