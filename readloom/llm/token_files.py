@@ -17,6 +17,7 @@ are all written, in the order of their texts; an empty table gives one empty set
 from __future__ import annotations
 
 import json
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,10 +34,12 @@ from readloom.llm.common import documents, shared_dir, ship
 END_ID = 2
 #: Bytes of a row group and of a page, and how often the number of rows in a page is looked at.
 LAYOUT = {"parquet.block.size": 32 << 20, "parquet.page.size": 256 << 10, "parquet.page.row.count.limit": 1000, "parquet.writer.version": "PARQUET_2_0", "compression": "zstd"}
+#: A word of one token that stands between words while they are encoded together.
+BETWEEN = "~"
 #: Documents in a file, about.
-ROWS_PER_FILE = 20_000
-#: Different words that a task remembers at a time.
-CACHE_WORDS = 400_000
+ROWS_PER_FILE = 10_000
+#: Different words that a worker remembers at a time, over its tasks.
+CACHE_WORDS = 900_000
 
 _loaded: dict[str, tuple] = {}
 
@@ -47,22 +50,26 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """The array, with room for n values."""
+    return a if len(a) >= n else np.concatenate((a, np.zeros(max(n, len(a)), a.dtype)))
+
+
 class _Words:
     """Ids of the words seen: word number n has sizes[n] of ids, from starts[n]."""
 
-    def __init__(self, between: str | None, between_id: int):
-        self.between, self.between_id = between, between_id
+    def __init__(self, between: str, between_id: int, lower: bool):
+        self.between, self.between_id, self.lower = between, between_id, lower
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.ids, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.starts, self.sizes, self.n, self.n_ids = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0
 
     def learn(self, words: list[bytes], tok) -> None:  # noqa: ANN001
-        """Encodes new words: many in one text, kept apart by a special token."""
-        apart = [w for w in words if self.between and self.between.encode() in w]
-        plain = [w for w in words if not (self.between and self.between.encode() in w)] if self.between else []
-        apart = apart if self.between else words
+        """Encodes new words: many in one text, with a token between that no word without its character has."""
+        sign = self.between.encode()
+        apart, plain = [w for w in words if sign in w], [w for w in words if sign not in w]
         found, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         texts = [f" {self.between} ".join(w.decode() for w in plain[k : k + 500]) for k in range(0, len(plain), 500)]
         for e in tok.encode_batch_fast(texts, add_special_tokens=False):
@@ -73,16 +80,19 @@ class _Words:
         for e in tok.encode_batch_fast([w.decode() for w in apart], add_special_tokens=False):
             found.append(np.array(e.ids, np.int32))
             sizes.append(np.array([len(e.ids)]))
-        new = np.concatenate(sizes).astype(np.int64)
-        first = len(self.ids)
-        self.number.update(zip([*plain, *apart], range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
-        self.starts = np.concatenate((self.starts, first + np.cumsum(new) - new))
-        self.sizes, self.ids = np.concatenate((self.sizes, new)), np.concatenate((self.ids, *found))
+        new, ids = np.concatenate(sizes).astype(np.int64), np.concatenate(found)
+        self.number.update(zip([*plain, *apart], range(self.n, self.n + len(new)), strict=True))
+        self.ids, self.starts, self.sizes = _room(self.ids, self.n_ids + len(ids)), _room(self.starts, self.n + len(new)), _room(self.sizes, self.n + len(new))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.starts[self.n : self.n + len(new)] = self.n_ids + np.cumsum(new) - new
+        self.sizes[self.n : self.n + len(new)] = new
+        self.n, self.n_ids = self.n + len(new), self.n_ids + len(ids)
 
 
 def _tokenizer(path: str):  # noqa: ANN202
     """The tokenizer, and whether it drops white space and keeps words apart."""
     if path not in _loaded:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         spec = json.loads(Path(path).read_text())
@@ -91,8 +101,8 @@ def _tokenizer(path: str):  # noqa: ANN202
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
-        special = next((t for t in spec["added_tokens"] if t["special"] and not t["normalized"]), {"content": None, "id": -1})
-        _loaded[path] = (tok, by_word, _Words(special["content"], special["id"]))
+        between = tok.encode(BETWEEN, add_special_tokens=False).ids
+        _loaded[path] = (tok, by_word and len(between) == 1, _Words(BETWEEN, between[0], '"Lowercase"' in json.dumps(spec.get("normalizer"))))
     return _loaded[path]
 
 
@@ -104,15 +114,23 @@ def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
         return np.fromiter((i for x in found for i in x), np.int32), np.array([len(x) for x in found], np.int64)
     words, counts = [], np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts):
-        own = text.encode().split()
+        raw = text.encode()
+        if cache.lower and b"<" not in raw:  # what the vocabulary lower-cases need not be told apart, but for special tokens
+            raw = raw.lower()
+        own = raw.split()
         words += own
         counts[k] = len(own)
     places = list(map(cache.number.get, words))
     if None in places:
         if len(cache.number) > CACHE_WORDS:
             cache.clear()
-        cache.learn(list({w for w in words if w not in cache.number}), tok)
-        places = list(map(cache.number.get, words))
+            cache.learn(list(set(words)), tok)
+            places = list(map(cache.number.get, words))
+        else:
+            unknown = [i for i, p in enumerate(places) if p is None]
+            cache.learn(list({words[i] for i in unknown}), tok)
+            for i in unknown:
+                places[i] = cache.number[words[i]]
     at = np.array(places, np.int64)
     sizes = cache.sizes[at]
     until = np.cumsum(sizes)
