@@ -37,7 +37,7 @@ from readloom.llm.graph import components, joined
 
 SHINGLE = 5
 #: Elements in the broadcast list of heavy ones, at most (8 bytes each), and their least count.
-MAX_HEAVY, LEAST_HEAVY = 1_000_000, 16
+MAX_HEAVY, LEAST_HEAVY = 1_000_000, 6
 #: Salts of a heavy list; rounds of leaders, and leaders of a list in each.
 SALTS, ROUNDS, LEADERS = 64, 2, 2
 #: Rows that scanning a list costs for each row that enumerating a subset costs.
@@ -205,7 +205,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     pairs = materialize(pairs, "jaccard-pairs")
     if pairs.isEmpty():
         return pairs
-    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), classes)
+    sets = _sets(docs, pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), classes)
     left, right = (sets.select(F.col("sig").alias(k), F.col("elements").alias(f"in_{k}")) for k in "ab")
     both = F.size(F.array_intersect("in_a", "in_b"))
     linked = pairs.join(left, "a").join(right, "b").where(100 * both >= 80 * (F.size("in_a") + F.size("in_b") - both))
@@ -256,7 +256,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     x, y = (placed.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("sig", "n", "rest", "label")]) for k in "xy")
     can = F.expr("label_x != label_y AND (n_x < n_y OR n_x = n_y AND sig_x < sig_y) AND 5 * n_x >= 4 * n_y AND 9 * least(rest_x, rest_y) >= 4 * (n_x + n_y)")
     pairs = materialize(x.join(y, (x.key == y.key) & can & (F.col("n_y") > small)).select("sig_x", "n_x", "sig_y", "n_y").distinct(), "jaccard-met")
-    held = scan.join(pairs.select(F.explode(F.array("sig_x", "sig_y")).alias("sig")).distinct(), "sig", "left_semi").groupBy("sig").agg(F.collect_list("key").alias("keys"))
+    held = scan.join(pairs.select(F.col("sig_x").alias("sig")).union(pairs.select("sig_y")).distinct(), "sig", "left_semi").groupBy("sig").agg(F.collect_list("key").alias("keys"))
     held = materialize(held, "jaccard-prefixes")
     left, right = (held.select(F.col("sig").alias(f"sig_{k}"), F.col("keys").alias(f"keys_{k}")) for k in "xy")
     # what isn't common in both prefixes lies beyond the prefix of one of the two
