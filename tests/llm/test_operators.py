@@ -1,0 +1,251 @@
+"""The training-data operators against brute force, on rows with nulls, empty and repeated texts and clashing columns."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from readloom.llm import bpe, exact_dedup, jaccard_join, mixing, pii, quality, sharding, suffix_dedup, token_files, url_filter
+from readloom.llm.common import documents, materialize
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, body string, sig long"
+
+
+def rows():
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6)))
+    base = [" ".join(word() for _ in range(r.randint(60, 200))) for _ in range(12)]
+    near = [b + " one more word here" for b in base[:4]]
+    texts = [*base, *near, *base[:3], "", None, None, "a", "a b c", "ab" * 700, base[5][:300] + base[6][:300], "x" * 9000, "é ñ — “quoted” <|endoftext|> don't 123"]
+    out = [(i, t, "en", f"src{i % 5}", len(t or ""), "clash", "clash", 1) for i, t in enumerate(texts)]
+    return out + [out[0], (None, "nobody's text", None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return materialize(spark.createDataFrame(rows(), SCHEMA).repartition(3), "fixture")
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def table(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_exact_dedup(docs, none):
+    got = exact_dedup.exact_dedup(docs, least=16, most=64).drop("n_chunks")
+    groups = {}
+    for r in rows():
+        groups.setdefault(r[1] or "", []).append(r[0])
+    want = []
+    for t, ids in groups.items():
+        keep = max([i for i in ids if i is not None], default=None)
+        want += [(i, keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest()) for i in ids]
+    assert table(got) == sorted(want, key=repr)
+    assert exact_dedup.exact_dedup(none).count() == 0
+    kept = exact_dedup.drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns and kept.select("text").distinct().count() >= len(groups)
+
+
+def test_chunks_are_whole(spark):
+    import re
+
+    pattern = re.compile(exact_dedup.chunk_pattern(16, 64).replace(r"\z", r"\Z"))
+    for t in [r[1] or "" for r in rows()]:
+        assert "".join(m.group(0) for m in pattern.finditer(t)) == t
+
+
+def test_sharding(docs, none):
+    got = sharding.shard_documents(docs, 4, salts=4, buckets=8, resolution=8).collect()
+    assert len(got) == len(rows()) and sharding.shard_documents(none, 4).count() == 0
+    where, slots = {}, {}
+    texts = {r[0]: r[1] or "" for r in rows()}
+    for r in got:
+        t = texts[r.id]
+        assert (r.size, r.text_crc32, r.law) == (len(t.encode()) + 8, zlib.crc32(t.encode()), "bytes")
+        where.setdefault(t, set()).add(r.shard)
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(len(s) == 1 for s in where.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == 4
+
+
+def test_minimax():
+    r = random.Random(5)
+    for _ in range(50):
+        sizes = [r.randint(8, r.choice([20, 3000])) for _ in range(r.randint(1, 200))]
+        n, ends = r.randint(1, 9), np.cumsum(sizes).tolist()
+
+        def ask(spans, ends=ends):
+            out = []
+            for lo, hi in spans:
+                width, cells = max(1, -(-(hi - lo) // 5)), {}
+                for e in ends:
+                    if lo < e <= hi:
+                        cells.setdefault((e - lo - 1) // width, []).append(e)
+                out += [(min(v), max(v), len(v)) for v in cells.values()]
+            return sorted(out)
+
+        def greedy(c, sizes=sizes, n=n):
+            used, left = 1, c
+            for s in sizes:
+                if s > left:
+                    used, left = used + 1, c
+                left -= s
+            return used <= n
+
+        got = sharding.minimax_cuts(ask, ends[-1], max(sizes), n)[0]
+        assert greedy(got) and (got == max(sizes) or not greedy(got - 1))
+
+
+def test_quality(spark, docs, none):
+    order = {r.name: (1.0, 0.5) for r in quality.RULES}
+    assert [r.name for r in quality.ordered(quality.RULES, order | {"shouting": (0.1, 0.5)})][0] == "shouting"
+    got = {r.id: r for r in quality.quality_verdicts(docs).collect()}
+    assert got[17 + 2].n_words == 0 and got[19].base_failed and not got[19].kept
+    for r in rows():
+        t = quality.Text(r[1])
+        w = (r[1] or "").split(" ") if r[1] else []
+        c = Counter(zip(w, w[1:], w[2:], strict=False))
+        again = {i + k for i, x in enumerate(zip(w, w[1:], w[2:], strict=False)) if c[x] > 1 for k in range(3)}
+        assert t.n_repeat_words == len(again)
+        assert got[r[0]].kept == (quality.first_rejection(t, quality.RULES) is None)
+    assert quality.quality_verdicts(none).count() == 0
+    assert quality.keep_good(docs).columns == docs.columns
+
+
+def test_pii(docs, none):
+    k = b"key"
+    for fn, s in [(pii.card, "4111 1111 1111 1111"), (pii.ip, "10.0.0.255"), (pii.date, "2024-02-29"), (pii.date, "31.12.1999"), (pii.ssn, "123-45-6789"), (pii.iban, "DE89 3704 0044 0532 0130 00"), (pii.phone, "+1 (017) 555-7713"), (pii.mail, "a.b1@x.org"), (pii.secret, "0a" * 20)]:
+        new = fn(s, k)
+        assert new != s and fn(s, k) == new and fn(new, k, True) == s
+    assert pii.card("4111 1111 1111 1112", k) is None and pii.ip("1.2.3.256", k) is None and pii.date("2023-02-29", k) is None
+    assert sorted(pii.permute_below(i, 100, k, "t") for i in range(100)) == list(range(100))
+    text = "call +1 (017) 555-7713, mail und.34@mail7.example.com### from 97.51.17.173. version 4.0."
+    new, spans = pii.pseudonymise_text(text, k)
+    assert [s[0] for s in spans] == ["phone", "mail", "ip"] and pii.pseudonymise_text("version 4.0 of 2", k) == ("version 4.0 of 2", [])
+    got = {r.id: r.text for r in pii.pseudonymise(docs, k).collect()}
+    assert got[20] is None and got[5] == rows()[5][1] and pii.pseudonymise(none, k).count() == 0
+    assert pii.date("2024-02-29", k).split("-") == pii.date("29.02.2024", k).split(".")[::-1]
+
+
+def test_token_files(spark, docs, none, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = token_files.vocabulary("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    token_files.write_token_files(docs, str(tmp_path / "t"), path, rows_per_file=10)
+    got = sorted(token_files.read_tokens(spark, str(tmp_path / "t")).collect(), key=lambda r: r.start)
+    assert [r.id for r in got] == sorted([r[0] for r in rows()], key=lambda i: -1 if i is None else i)
+    texts, at = {r[0]: r[1] or "" for r in rows()}, 0
+    for r in got:
+        assert r.tokens == [*tok.encode(texts[r.id], add_special_tokens=False).ids, 2] and (r.start, r.n_tokens) == (at, len(r.tokens))
+        at += r.n_tokens
+    few = token_files.read_tokens(spark, str(tmp_path / "t"), 5, 7)
+    assert sorted(r.id for r in few.collect()) == [5, 6, 7]
+    assert "tokens" not in token_files.read_metadata(spark, str(tmp_path / "t")).columns
+    token_files.write_token_files(none, str(tmp_path / "e"), path)
+    assert token_files.read_tokens(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_bpe(docs, none):
+    from tokenizers import Tokenizer
+
+    path = token_files.vocabulary("byte_bpe_50k.json")
+    tok, vocab, r = Tokenizer.from_file(path), bpe.load(path), random.Random(1)
+    letters = [*"abcdeéßñ01 \n\t\r    \x85'!?.,#<|>ŁΩж中文😀", "'s", "<|endoftext|>", "  ", "the "]
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(2000)]
+    ids, counts = vocab.encode(texts)
+    at = np.concatenate(([0], np.cumsum(counts)))
+    for k, t in enumerate(texts):
+        mine = ids[at[k] : at[k + 1]]
+        assert mine.tolist() == tok.encode(t, add_special_tokens=False).ids and vocab.decode(mine) == t
+    got = {x.id: x for x in bpe.bpe_round_trip(docs, path).collect()}
+    for row in rows():
+        assert got[row[0]].decoded == (row[1] or "") and got[row[0]].tokens == tok.encode(row[1] or "", add_special_tokens=False).ids
+    assert bpe.bpe_round_trip(none, path).count() == 0
+
+
+def repeats(texts, window=200):
+    raws = [(t or "").encode() for t in texts]
+    seen = Counter(b[i : i + window] for b in raws for i in range(len(b) - window + 1))
+    out = []
+    for b in raws:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - window + 1):
+            if seen[b[i : i + window]] > 1:
+                gone[i : i + window] = True
+        out.append((len(b), np.frombuffer(b, np.uint8)[~gone].tobytes()))
+    return out
+
+
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_suffix_dedup(docs, none, hot):
+    got = suffix_dedup.suffix_dedup(docs, hot=hot).collect()
+    want = [(r[0], *x) for r, x in zip(rows(), repeats([r[1] for r in rows()]), strict=True)]
+    assert sorted(((r.id, r.n_bytes, bytes(r.kept)) for r in got), key=repr) == sorted(want, key=repr)
+    assert suffix_dedup.suffix_dedup(none).count() == 0
+
+
+def test_merged_transforms():
+    r = random.Random(2)
+    parts = [bytes(r.choice(b"ab") for _ in range(300)) for _ in range(12)]
+    parts += [parts[0][50:260] + parts[1][:120], b"xyz" * 150]
+    seen = Counter(s[i : i + 200] for s in parts for i in range(len(s) - 199))
+    for flags, s in zip(suffix_dedup.repeated_windows(parts, shard=700), parts, strict=True):
+        assert flags.tolist() == [seen[s[i : i + 200]] > 1 for i in range(len(s) - 199)]
+
+
+def test_jaccard(docs, none):
+    texts = [r[1] or "" for r in rows()]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or (frozenset([tuple(w)]) if w else frozenset()) for w in ([x for x in t.lower().split(" ") if x] for t in texts)]
+    up = list(range(len(sets)))
+    find = lambda i: i if up[i] == i else find(up[i])
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                up[find(i)] = find(j)
+    ids = [r[0] for r in rows()]
+    least = {}
+    for i, d in enumerate(ids):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    want = [(d, len(s), least.get(find(i)) if s else d) for i, (d, s) in enumerate(zip(ids, sets, strict=True))]
+    assert table(jaccard_join.jaccard_components(docs)) == sorted(want, key=repr)
+    assert jaccard_join.jaccard_components(none).count() == 0
+
+
+def test_mixing(docs, none):
+    got = mixing.mix_sources(docs, epochs=2, share=(1, 2)).collect()
+    total = sum(r.tokens for r in got)
+    assert len(got) == len(rows()) and total * 0.2 < sum(r.tokens * r.copies for r in got) <= total // 2
+    assert all(r.copies <= 2 or not r.tokens for r in got) and mixing.mix_sources(none).count() == 0
+    assert mixing.mixed_documents(docs, epochs=1, share=(1, 1)).columns == docs.columns
+
+
+def test_urls(spark):
+    urls = ["https://A.example.NET/en/1?x", "http://net/", "https://x.org/fr/?q", "http://example.com/de/a#b", "ftp://host", None, "no scheme", "http://net"]
+    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)] + [(0, urls[0], "clash")], "page_id long, url string, rule string")
+    got = {r.id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, url_filter.rule_table(spark)).collect()}
+    assert got == {0: ("a.example.net", "/en/1", "example.net/en/", "allow"), 1: ("net", "/", "net/", "block"), 2: ("x.org", "/fr/", "org/fr/", "allow"), 3: ("example.com", "/de/a", "example.com/de/", "block"), 4: ("host", "", None, "allow"), 5: ("", "", None, "allow"), 6: ("", "", None, "allow"), 7: ("net", "", None, "allow")}
+    assert url_filter.filter_urls(pages, url_filter.rule_table(spark)).count() == 9
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = documents(spark, SF)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, SF), name)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+    kept = {r.doc_id: r.text for r in docs.collect()}
+    assert len(set(kept.values())) == len(kept) > 0
+    assert all(quality.first_rejection(quality.Text(t), quality.RULES) is None for t in kept.values())
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id: r.decoded_sha256 for r in out} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in kept.items()}
