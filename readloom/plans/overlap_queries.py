@@ -56,7 +56,7 @@ s4 AS (SELECT *, min(CASE WHEN rn >= {n} AND m > 1000 THEN rn END) OVER (PARTITI
 
 HANG = """NOT (NOT ((a_start <= 0 AND a_len - a_end <= 0) OR (lb <= 0 AND rb <= 0)) AND ((a_start <= 0 AND rb <= 0) OR (a_len - a_end <= 0 AND lb <= 0)) AND
  ((a_start - lb BETWEEN 0 AND 99 AND rb - (a_len - a_end) BETWEEN 0 AND 99) OR (a_start - lb BETWEEN -99 AND 0 AND rb - (a_len - a_end) BETWEEN -99 AND 0)))"""
-name_hash = F.col("a_name").cast("long") * 7919
+name_hash = lambda: F.col("a_name").cast("long") * 7919
 LINE = "format('{} {} {} {:.3f} {} {} {} {} {} {} {} {} {}', a_name, b_name, score, idt, CAST(a_rev AS INT), a_start, a_end, a_len, CAST(b_rev AS INT), b_start, b_end, b_len, tag)"
 _pick = "SELECT a_name, b_name, score, a_start, b_start FROM o WHERE "
 pick = lambda x: x.select("a_name", "b_name", "score", "a_start", "b_start")
@@ -77,8 +77,8 @@ QUERIES = {
     "m4_contained": (lambda s, d: O.contained_filter(o(s, d), 1200, 96.0), W + f", b AS (SELECT * FROM o WHERE a_name <> b_name AND tag NOT IN ('none', '?') AND idt >= 96 AND a_len >= 1200 AND b_len >= 1200), c AS (SELECT a_name AS n FROM b WHERE tag IN ('contained', 'c') UNION SELECT b_name FROM b WHERE tag IN ('contains', 'C')) SELECT {COLS} FROM b WHERE a_name NOT IN (SELECT n FROM c) AND b_name NOT IN (SELECT n FROM c)"),
     "m4_stage1_flags": (lambda s, d: O.stage1_flags(o(s, d), **S1), W + flags_sql() + " SELECT * FROM fl"),
     "m4_stage1_gap": (lambda s, d: O.stage1_flags(o(s, d), **S1, gap_filter=True, min_depth=4), W + flags_sql(gap=True) + " SELECT * FROM fl"),
-    "m4_stage1_highcopy": (lambda s, d: O.stage1_flags(o(s, d), **S1, sample_rate=1.0, name_hash=name_hash), W + flags_sql(True) + " SELECT * FROM fl"),
-    "m4_flag_merge": (lambda s, d: O.merge_flags(O.stage1_flags(o(s, d), **S1).union(O.stage1_flags(o(s, d), **S1, sample_rate=1.0, name_hash=name_hash))), "SELECT name, CAST(bit_or(flags) AS INT) AS flags FROM ((" + W + flags_sql() + " SELECT * FROM fl) UNION ALL (" + W + flags_sql(True) + " SELECT * FROM fl)) GROUP BY name"),
+    "m4_stage1_highcopy": (lambda s, d: O.stage1_flags(o(s, d), **S1, sample_rate=1.0, name_hash=name_hash()), W + flags_sql(True) + " SELECT * FROM fl"),
+    "m4_flag_merge": (lambda s, d: O.merge_flags(O.stage1_flags(o(s, d), **S1).union(O.stage1_flags(o(s, d), **S1, sample_rate=1.0, name_hash=name_hash()))), "SELECT name, CAST(bit_or(flags) AS INT) AS flags FROM ((" + W + flags_sql() + " SELECT * FROM fl) UNION ALL (" + W + flags_sql(True) + " SELECT * FROM fl)) GROUP BY name"),
     "m4_flag_report": (lambda s, d: O.flag_report(O.stage1_flags(o(s, d), **S1)), W + flags_sql() + " SELECT k AS flag, count(*) FILTER (b = 0 OR flags & b > 0) AS n FROM fl, (VALUES ('flagged', 0), ('contained', 1), ('short', 2), ('low', 8), ('high', 16), ('uneven', 32), ('gap', 64)) v(k, b) GROUP BY k"),
     "m4_coverage_profile": (lambda s, d: O.coverage_profile(o(s, d)), W + PROFILE + " SELECT * FROM pr"),
     "m4_gap_in_coverage": (lambda s, d: O.gap_in_coverage(o(s, d), 4, 0.0), W + GAP.format(d=4, m="0.0") + " SELECT a_name, gap FROM gp"),

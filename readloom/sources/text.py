@@ -94,14 +94,37 @@ def write_fasta(seqs: DataFrame, path: str, width: int = 80) -> None:
     seqs.select(F.concat(F.lit(">"), F.col("name"), F.lit("\n"), wrapped).alias("value")).write.text(path)
 
 
+def _fastq_records(frames):  # noqa: ANN001, ANN202
+    """Records of whole files: sequence lines up to +, then qualities until they are as long."""
+    import pandas as pd
+
+    for frame in frames:
+        out = []
+        for value in frame["value"]:
+            lines = iter(value.splitlines())
+            for head in lines:
+                if not head.strip():
+                    continue
+                seq = qual = ""
+                for line in lines:
+                    if line.startswith("+"):
+                        break
+                    seq += line.strip()
+                while len(qual) < len(seq):
+                    qual += next(lines, None) or _cut_short(head)
+                if len(qual) != len(seq) or not head.startswith("@"):
+                    _cut_short(head)
+                out.append((head[1:].split(" ")[0], seq, qual))
+        yield pd.DataFrame(out, columns=["name", "seq", "qual"])
+
+
+def _cut_short(head: str) -> str:
+    raise ValueError(f"sequence and qualities differ in length: {head}")
+
+
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(name, seq, qual), of multi-line records too; lengths that differ are an error. One file is one row while it is split, as a quality line may look like a header."""
-    whole = spark.read.option("wholetext", True).text(path)
-    record = r"(?:^|\n)@([^\n]*)\n([A-Za-z*.\n]*)\n\+[^\n]*\n((?:[^\n]*\n?)*?)(?=\n@[^\n]*\n[A-Za-z*.\n]+\n\+|\n*$)"
-    parts = whole.select(F.expr(f"regexp_extract_all(value, r'{record}', 0)").alias("rs")).select(F.explode("rs").alias("r"))
-    part = lambda i: F.regexp_extract("r", record, i)
-    x = parts.select(F.regexp_extract(part(1), r"^(\S*)", 1).alias("name"), F.regexp_replace(part(2), r"\s", "").alias("seq"), F.regexp_replace(part(3), r"\n", "").alias("qual"))
-    return x.where(F.when(F.length("seq") == F.length("qual"), True).otherwise(F.raise_error(F.concat(F.lit("qualities differ in length: "), F.col("name"))).cast("boolean")))
+    """(name, seq, qual), of multi-line records too; lengths that differ are an error. Files are the unit of work, as a quality line may look like a header."""
+    return spark.read.option("wholetext", True).text(path).mapInPandas(_fastq_records, schemas.SEQUENCE)
 
 
 def read_names(spark: SparkSession, path: str | None, col: str = "name") -> DataFrame | None:
