@@ -124,7 +124,7 @@ def _cut_short(head: str) -> str:
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(name, seq, qual), of multi-line records too; lengths that differ are an error. Files are the unit of work, as a quality line may look like a header."""
-    return spark.read.option("wholetext", True).text(path).mapInPandas(_fastq_records, schemas.SEQUENCE)
+    return spark.read.text(path, wholetext=True).mapInPandas(_fastq_records, schemas.SEQUENCE)
 
 
 def read_names(spark: SparkSession, path: str | None, col: str = "name") -> DataFrame | None:
