@@ -65,7 +65,7 @@ def kmers(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
     if k > MAX_K:
         raise ValueError(f"k is {MAX_K} at most")
     # runs of bases; but for the first, each loses k letters at its front
-    runs = df.select(key, F.expr(f"regexp_replace(upper({seq}), '[^ACGT]', 'N')").alias("s")).withColumn("n", F.length("s"))
+    runs = df.select(key, F.expr(f"regexp_replace(translate({seq}, 'acgt', 'ACGT'), '[^ACGT]', 'N')").alias("s")).withColumn("n", F.length("s"))
     at = runs.where(F.col("n") >= k).select(key, "s", F.explode(F.expr(f"sequence(0, n - {k})")).alias("pos"))
     word, before = F.substring(F.col("s"), F.col("pos") + 1, F.lit(k)), F.expr(f"substring(s, greatest(1, pos + 1 - {k}), least(pos, {k}))")
     at = at.select(key, "pos", word.alias("w"), before.alias("b")).where("instr(w, 'N') = 0 AND instr(b, 'N') = 0")
