@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Largest k: two bits a base in a signed 64-bit integer.
 MAX_K = 31
+#: Positions of a text that are cut out of it together.
+PIECE = 500
 
 
 def revcomp(seq: Column, fix_t: bool = False) -> Column:
@@ -66,9 +68,12 @@ def kmers(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
         raise ValueError(f"k is {MAX_K} at most")
     # runs of bases; but for the first, each loses k letters at its front
     runs = df.select(key, F.expr(f"regexp_replace(translate({seq}, 'acgt', 'ACGT'), '[^ACGT]', 'N')").alias("s")).withColumn("n", F.length("s"))
-    at = runs.where(F.col("n") >= k).select(key, "s", F.explode(F.expr(f"sequence(0, n - {k})")).alias("pos"))
-    word, before = F.substring(F.col("s"), F.col("pos") + 1, F.lit(k)), F.expr(f"substring(s, greatest(1, pos + 1 - {k}), least(pos, {k}))")
-    at = at.select(key, "pos", word.alias("w"), before.alias("b")).where("instr(w, 'N') = 0 AND instr(b, 'N') = 0")
+    # pieces first, with the k letters before them: a long text isn't copied or walked for each position
+    cut = f"transform(sequence(0, n - {k}, {PIECE}), p -> struct(p AS base, least(p, {k}) AS lead, substring(s, greatest(1, p + 1 - {k}), least(p, {k}) + {PIECE + k - 1}) AS s))"
+    pieces = runs.where(F.col("n") >= k).select(key, F.expr(f"inline({cut})"))
+    at = pieces.select(key, "base", "lead", "s", F.explode(F.expr(f"sequence(0, length(s) - lead - {k})")).alias("i")).withColumn("j", F.col("lead") + F.col("i"))
+    word, before = F.substring(F.col("s"), F.col("j") + 1, F.lit(k)), F.expr(f"substring(s, greatest(1, j + 1 - {k}), least(j, {k}))")
+    at = at.select(key, (F.col("base") + F.col("i")).alias("pos"), word.alias("w"), before.alias("b")).where("instr(w, 'N') = 0 AND instr(b, 'N') = 0")
     code = lambda s: F.conv(F.translate(s, "ACGT", "0123"), 4, 10).cast("long")
     both = F.array(F.struct(F.lit("fwd").alias("strand"), code(F.col("w")).alias("kmer")), F.struct(F.lit("rev").alias("strand"), code(F.translate(F.reverse("w"), "ACGT", "TGCA")).alias("kmer")))
     return at.select(key, "pos", F.inline(both))

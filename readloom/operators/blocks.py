@@ -1,34 +1,98 @@
 """Blocks and shards: contiguous greedy blocks, weighted splits, largest-first bins, comparison ranges.
 
-Greedy blocks are a fold over an ordered list of weights. The lists are of contigs, blocks or reads of one
-database, and a fold's state is only the open block, so they run as one ordered aggregate over (order, weight)
-pairs, without the sequences.
+Greedy blocks are a fold over ordered weights whose state is the sum of the open block. The rows are dealt out
+in ranges of the order, and each range is folded in a task of its own from the sum it is entered with. The
+driver holds one number a range: it guesses that a range is entered with a new block, and asks again for the
+ranges where the exit of the one before says otherwise. Folds from different sums soon meet at a block's
+start, so few rounds are needed; there are never more than ranges.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom.operators.running import PART, place, totals_before
+
+
+def _fold(weights: np.ndarray, open_sum: int, target: int) -> tuple[np.ndarray, int]:
+    """(places where a block starts, sum of the open block at the end)."""
+    upto = np.concatenate(([0], np.cumsum(weights)))
+    starts, at = [], 0
+    while at < len(weights):
+        if open_sum >= target:
+            starts.append(at)
+            open_sum, at = int(weights[at]), at + 1
+        else:
+            to = min(int(np.searchsorted(upto, upto[at] + target - open_sum)), len(weights))
+            open_sum, at = open_sum + int(upto[to] - upto[at]), to
+    return np.array(starts, np.int64), open_sum
+
+
+def _exits(placed: DataFrame, entries: Mapping[int, int], target: int) -> list:
+    """(part, open sum at the end, blocks started) of the ranges in entries."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, n, at = None, 0, 0
+        for rows in batches:
+            if not len(rows):
+                continue
+            if part is None:
+                part = int(rows[PART].iloc[0])
+                at = entries[part]
+            starts, at = _fold(rows["w"].to_numpy(np.int64), at, target)
+            n += len(starts)
+        if part is not None:
+            yield pd.DataFrame({"part": [part], "at": [at], "n": [n]})
+
+    return placed.where(F.col(PART).isin(list(entries))).mapInPandas(run, "part int, at long, n long").collect()
+
 
 def greedy_blocks(df: DataFrame, order: str, weight: str, target: int) -> DataFrame:
-    """(order, weight, block): a new block starts when the current one has reached the target."""
-    items = df.agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(weight).cast("long").alias("w")))).alias("items"))
-    state = f"aggregate(items, struct(-1L AS b, {target}L AS t, array() AS starts), (s, x) -> if(s.t >= {target}L, struct(s.b + 1 AS b, x.w AS t, array_append(s.starts, x.o) AS starts), struct(s.b AS b, s.t + x.w AS t, s.starts AS starts)), s -> s.starts)"
-    starts = items.select(F.posexplode(F.expr(state.replace("array() AS starts", "CAST(array() AS ARRAY<BIGINT>) AS starts"))).alias("block", "first"))
-    bounds = starts.select("block", "first", F.expr("lead(first) OVER (ORDER BY block)").alias("next"))
-    rows = df.select(F.col(order).cast("long").alias("o"), F.col(weight).cast("long").alias("w"))
-    return rows.join(F.broadcast(bounds), F.expr("o >= first AND (next IS NULL OR o < next)")).select(F.col("o").alias(order), F.col("w").alias(weight), "block")
+    """(order, weight, block): a new block starts when the current one has reached the target. Weights aren't negative; null weighs nothing."""
+    placed = place(df.select(F.col(order).cast("long").alias("o"), F.coalesce(F.col(weight).cast("long"), F.lit(0)).alias("w")), ["o"])
+    parts = sorted(map(tuple, placed.groupBy(PART).agg(F.sum("w")).collect()))  # a row a range
+    known: dict[tuple[int, int], tuple[int, int]] = {}
+    latest: dict[int, tuple[int, int]] = {}
+    while True:
+        entries, asked, at, block = {}, {}, target, -1
+        for part, total in parts:
+            entries[part] = (at, block)
+            if at + total < target:
+                at += total
+                continue
+            if (part, at) not in known:
+                asked[part] = at
+            at, n = known.get((part, at)) or latest.get(part, (target, 0))
+            block += n
+        if not asked:
+            break
+        for r in _exits(placed, asked, target):
+            known[r.part, asked[r.part]] = latest[r.part] = (r.at, r.n)
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = None
+        for rows in batches:
+            if not len(rows):
+                continue
+            at, block = state or entries[int(rows[PART].iloc[0])]
+            starts, at = _fold(rows["w"].to_numpy(np.int64), at, target)
+            numbers = block + np.searchsorted(starts, np.arange(len(rows)), side="right")
+            state = at, block + len(starts)
+            yield pd.DataFrame({order: rows["o"], weight: rows["w"], "block": numbers.astype(np.int32)})
+
+    return placed.mapInPandas(label, f"`{order}` long, `{weight}` long, block int")
 
 
 def block_table(df: DataFrame, order: str, weight: str, target: int) -> DataFrame:
-    """(block, first, stop, total): half-open ranges of renumbered rows."""
-    b = greedy_blocks(df, order, weight, target).groupBy("block").agg(F.count("*").alias("n"), F.sum(weight).alias("total"))
-    stop = F.expr("sum(n) OVER (ORDER BY block)")
-    return b.select("block", (stop - F.col("n")).alias("first"), stop.alias("stop"), "total")
+    """(block, first, stop, total): half-open ranges of renumbered rows; a negative target makes one block."""
+    b = greedy_blocks(df, order, weight, target if target >= 0 else 1 << 62).groupBy("block").agg(F.count("*").alias("n"), F.sum(weight).alias("total"))
+    return totals_before(place(b, ["block"]), ["block"], {"first": "n"}).select("block", "first", (F.col("first") + F.col("n")).alias("stop"), "total")
 
 
 def split_weighted(n: int, sizes: Sequence[int]) -> list[int]:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from readloom.operators.running import place, totals_before, value_before
+
 #: Bits of a read's flags.
 CONTAINED, SHORT, LOW, HIGH, UNEVEN, GAP = 1, 2, 8, 16, 32, 64
 FLAG_NAMES = {"contained": CONTAINED, "short": SHORT, "low": LOW, "high": HIGH, "uneven": UNEVEN, "gap": GAP}
@@ -159,10 +161,11 @@ def filter_overlaps(ovl: DataFrame, idt1: float = 90.0, idt2: float = 90.0, min_
 
 def pile_index(lines: DataFrame) -> DataFrame:
     """lines: ord, a_name, line. (first_ord, a_name, n, pos, bytes) of each run of one A read, as in a text file of these lines in order."""
-    order = W.orderBy("ord")
-    x = lines.withColumn("new", F.when(F.lag("a_name").over(order).eqNullSafe(F.col("a_name")), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    runs = x.groupBy("run", "a_name").agg(F.min("ord").alias("first_ord"), F.count("*").alias("n"), F.sum(F.octet_length("line") + 1).alias("bytes"))
-    return runs.select("first_ord", "a_name", "n", (F.sum("bytes").over(W.orderBy("run")) - F.col("bytes")).alias("pos"), "bytes")
+    placed = place(lines.select("ord", "a_name", (F.octet_length("line") + 1).alias("bytes")), ["ord"])
+    x = value_before(placed, ["ord"], "a_name", "prior").withColumn("new", (~F.col("prior").eqNullSafe(F.col("a_name"))).cast("int"))
+    x = totals_before(x, ["ord"], {"earlier": "new", "pos": "bytes"}).withColumn("run", F.col("earlier") + F.col("new"))
+    runs = x.groupBy("run", "a_name").agg(F.min("ord").alias("first_ord"), F.count("*").alias("n"), F.min("pos").alias("pos"), F.sum("bytes").alias("bytes"))
+    return runs.select("first_ord", "a_name", "n", "pos", "bytes")
 
 
 def overlap_text() -> Column:

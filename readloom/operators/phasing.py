@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom.operators.running import keep
+
 
 def similarity_edges(seeds: DataFrame, pairs: DataFrame) -> DataFrame:
     """seeds: key, kmer; pairs: a, b. (a, b, w): int(1000 * shared / (|a| + |b|)) + 1 of reads that share a k-mer."""
@@ -16,9 +18,8 @@ def similarity_edges(seeds: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def graph_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(v, label) of the vertices of edges (a, b): smallest vertex within reach. Labels spread and jump, each round checkpointed where a folder is set."""
+    """(v, label) of the vertices of edges (a, b): smallest vertex within reach. Labels spread and jump, each round checkpointed."""
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    keep = (lambda d: d.checkpoint()) if edges.sparkSession.conf.get("spark.checkpoint.dir", None) else (lambda d: d.cache())
     both = keep(both)
     labels = keep(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("label")))
     total = None

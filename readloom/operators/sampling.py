@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from readloom.operators.running import place, totals_before
+
 
 def without_blacklisted(seqs: DataFrame, blacklist: DataFrame, key: str) -> DataFrame:
     """A name that the blacklist has twice is an error."""
@@ -17,5 +18,5 @@ def subsample(seqs: DataFrame, name: str, length: str, genome: int, coverage: fl
     """seqs of the names that come first in the order until their lengths reach the target; of a name met again only the first length counts."""
     first = seqs.groupBy(name).agg(F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(length).alias("len"))).alias("f")).select(name, "f.*")
     keys = [f"o{i}" for i in range(len(order))]
-    before = F.coalesce(F.sum("len").over(W.orderBy(*keys, name).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return seqs.join(first.withColumn("before", before).where(F.col("before") < int(genome * coverage)).select(name), name, "left_semi")
+    before = totals_before(place(first, [*keys, name]), [*keys, name], {"before": "len"})
+    return seqs.join(before.where(F.col("before") < int(genome * coverage)).select(name), name, "left_semi")

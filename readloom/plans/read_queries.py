@@ -73,13 +73,13 @@ _PHASES = "SELECT CAST(s_suppkey AS BIGINT) AS id, s_nationkey AS ctg, CAST(s_su
 _TOP = f"WITH h AS ({plain(_HITS)}), b AS (SELECT q, t, len FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY len DESC, q DESC) AS rn FROM h WHERE len >= 2500) WHERE rn <= 5)"
 
 # --- sequences: letters of texts as bases ---
-_SEQ = "SELECT doc_id AS key, translate(substring(text, 1, 2000), 'ehiodsrulm', 'acgtACGTNN') AS seq FROM {documents}"
+_SEQ = "SELECT doc_id AS key, translate(text, 'ehiodsrulm', 'acgtACGTNN') AS seq FROM {documents}"
 seqs = lambda s, d: view(s, d, _SEQ)
 WS = f"WITH q AS ({plain(_SEQ)})"
 _WIN = """, p AS (SELECT key, seq, unnest(generate_series(0, length(seq) - 201, 50)) AS pos FROM q WHERE length(seq) > 200), v AS (SELECT key, pos, substring(seq, pos + 1, 201) AS w FROM p),
 g AS (SELECT key, CAST(pos AS INT) AS pos, length(regexp_replace(w, '[^gG]', '', 'g')) AS g, length(regexp_replace(w, '[^cC]', '', 'g')) AS c FROM v),
 k AS (SELECT key, pos, CASE WHEN g + c = 0 THEN NULL ELSE CAST(g - c AS DOUBLE) / (g + c) END AS skew FROM g), z AS (SELECT *, sum(coalesce(skew, 0.0)) OVER (PARTITION BY key ORDER BY pos) AS accum FROM k)"""
-_KSEQ = "SELECT doc_id AS key, translate(lower(substring(text, 1, 400)), 'abcdefghijklmnopqrstuvwxyz ', 'ACGTACGTACGTACGTACGTACGTACG') AS seq FROM {documents}"
+_KSEQ = "SELECT doc_id AS key, translate(lower(text), 'abcdefghijklmnopqrstuvwxyz ', 'ACGTACGTACGTACGTACGTACGTACG') AS seq FROM {documents}"
 _K = 12
 WK = f"""WITH q AS (SELECT key, regexp_replace(seq, '[^ACGT]', 'N', 'g') AS s FROM ({plain(_KSEQ)})), p AS (SELECT key, s, unnest(generate_series(0, length(s) - {_K})) AS pos FROM q WHERE length(s) >= {_K}),
 w AS (SELECT key, CAST(pos AS INT) AS pos, substring(s, pos + 1, {_K}) AS w FROM p WHERE strpos(substring(s, pos + 1, {_K}), 'N') = 0 AND strpos(substring(s, greatest(1, pos + 1 - {_K}), least(pos, {_K})), 'N') = 0),
