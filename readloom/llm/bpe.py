@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import documents, ship
+from readloom.llm.common import byte_characters, documents, ship
 from readloom.llm.token_files import vocabulary
 
 #: Fixed value: the split pattern of byte-level vocabularies, white space by its Unicode property.
@@ -39,13 +39,6 @@ _NEVER = 1 << 40
 _loaded: dict[str, "Vocabulary"] = {}
 
 
-def byte_characters() -> dict[str, int]:
-    """The character that stands for each byte in a vocabulary file: itself if printable, else the next from U+0100 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(0x100 + k): b for k, b in enumerate(hidden)}
-
-
 class Vocabulary:
     def __init__(self, path: str):
         spec = json.loads(Path(path).read_text())

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from readloom.llm.common import documents, shared_dir, ship
+from readloom.llm.common import byte_characters, documents, shared_dir, ship
 
 END_ID = 2
 #: Bytes of a row group and of a page, and how often the number of rows in a page is looked at.
@@ -41,6 +42,15 @@ ROWS_PER_FILE = 10_000
 #: Different words that a worker remembers at a time, over its tasks.
 CACHE_WORDS = 900_000
 
+#: Fixed value: how the given vocabulary cuts a text into pieces.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Marks that end a word, in ASCII: no letters, numbers or white space.
+MARKS = string.punctuation.encode()
+#: Letters before this one, if lower-case, are what the normalizers leave as they are.
+STABLE = "\u0250"
+#: The letter that stands for each byte in a byte-level vocabulary.
+_BYTES = {b: c for c, b in byte_characters().items()}
+
 _loaded: dict[str, tuple] = {}
 
 
@@ -55,11 +65,21 @@ def _room(a: np.ndarray, n: int) -> np.ndarray:
     return a if len(a) >= n else np.concatenate((a, np.zeros(max(n, len(a)), a.dtype)))
 
 
+def _cuts_at_marks(spec: dict) -> bool:
+    """Whether letters and the marks after them are pieces of their own, and a lower-case word reaches the merges as its bytes."""
+    before = spec.get("pre_tokenizer") or {}
+    steps = before.get("pretokenizers", [before])
+    cut = {"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True}
+    normal = (spec.get("normalizer") or {}).get("normalizers", [])
+    byte_level = len(steps) == 2 and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+    return steps[0] == cut and byte_level and [n["type"] for n in normal] == ["NFC", "Replace", "Lowercase"] and spec["model"]["type"] == "BPE"
+
+
 class _Words:
     """Ids of the words seen: word number n has sizes[n] of ids, from starts[n]."""
 
-    def __init__(self, between: str, between_id: int, lower: bool):
-        self.between, self.between_id, self.lower = between, between_id, lower
+    def __init__(self, between: str, between_id: int, lower: bool, at_marks: bool):
+        self.between, self.between_id, self.lower, self.at_marks = between, between_id, lower, at_marks
         self.clear()
 
     def clear(self) -> None:
@@ -67,7 +87,40 @@ class _Words:
         self.ids, self.starts, self.sizes, self.n, self.n_ids = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0
 
     def learn(self, words: list[bytes], tok) -> None:  # noqa: ANN001
-        """Encodes new words: many in one text, with a token between that no word without its character has."""
+        """Encodes new words. Of one that ends in marks, the rest and the marks are words of their own; a lower-case one goes straight to the library's merges."""
+        if not self.at_marks:
+            return self._encode(words, tok)
+        marked, parts = [], set()
+        for w in words:
+            core = w.rstrip(MARKS)
+            if len(core) < len(w) and core[-1:].isalnum() and b"<" not in w:  # special tokens have a <
+                marked.append((w, core, w[len(core) :]))
+                parts.update(marked[-1][1:])
+            else:
+                parts.add(w)
+        found, sizes, straight, other = [], [], [], []
+        for w in parts.difference(self.number):
+            if w.isalpha() and w.islower():
+                text = w.decode()
+            elif (text := w.decode()).isalpha() and text == text.lower() and max(text) < STABLE:
+                text = w.decode("latin-1").translate(_BYTES)
+            else:
+                other.append(w)
+                continue
+            ids = [t.id for t in tok.model.tokenize(text)]
+            found += ids
+            sizes.append(len(ids))
+            straight.append(w)
+        self._add(straight, np.array(sizes, np.int64), np.array(found, np.int32))
+        self._encode(other, tok)
+        if marked:
+            two = np.array([(self.number[c], self.number[m]) for _, c, m in marked], np.int64).ravel()
+            size = self.sizes[two]
+            at = np.repeat(self.starts[two] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            self._add([w for w, _, _ in marked], size.reshape(-1, 2).sum(1), self.ids[at])
+
+    def _encode(self, words: list[bytes], tok) -> None:  # noqa: ANN001
+        """Many words in one text, with a token between that no word without its character has."""
         sign = self.between.encode()
         apart, plain = [w for w in words if sign in w], [w for w in words if sign not in w]
         found, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
@@ -80,8 +133,10 @@ class _Words:
         for e in tok.encode_batch_fast([w.decode() for w in apart], add_special_tokens=False):
             found.append(np.array(e.ids, np.int32))
             sizes.append(np.array([len(e.ids)]))
-        new, ids = np.concatenate(sizes).astype(np.int64), np.concatenate(found)
-        self.number.update(zip([*plain, *apart], range(self.n, self.n + len(new)), strict=True))
+        self._add([*plain, *apart], np.concatenate(sizes).astype(np.int64), np.concatenate(found))
+
+    def _add(self, words: list[bytes], new: np.ndarray, ids: np.ndarray) -> None:
+        self.number.update(zip(words, range(self.n, self.n + len(new)), strict=True))
         self.ids, self.starts, self.sizes = _room(self.ids, self.n_ids + len(ids)), _room(self.starts, self.n + len(new)), _room(self.sizes, self.n + len(new))
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
         self.starts[self.n : self.n + len(new)] = self.n_ids + np.cumsum(new) - new
@@ -97,12 +152,12 @@ def _tokenizer(path: str):  # noqa: ANN202
 
         spec = json.loads(Path(path).read_text())
         parts = json.dumps(spec.get("normalizer")) + json.dumps(spec.get("pre_tokenizer"))
-        by_word = '"behavior": "Removed", "invert": true' in parts and r"[^\\s\\p{L}\\p{N}]+" in parts and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or set(t["content"]) & set(" \t\n\x0b\f\r") for t in spec["added_tokens"])
+        by_word = '"behavior": "Removed", "invert": true' in parts and r"[^\\s\\p{L}\\p{N}]+" in parts and not any("<" not in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] or set(t["content"]) & set(" \t\n\x0b\f\r") for t in spec["added_tokens"])
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
         between = tok.encode(BETWEEN, add_special_tokens=False).ids
-        _loaded[path] = (tok, by_word and len(between) == 1, _Words(BETWEEN, between[0], '"Lowercase"' in json.dumps(spec.get("normalizer"))))
+        _loaded[path] = (tok, by_word and len(between) == 1, _Words(BETWEEN, between[0], '"Lowercase"' in json.dumps(spec.get("normalizer")), _cuts_at_marks(spec)))
     return _loaded[path]
 
 

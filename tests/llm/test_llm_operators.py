@@ -154,6 +154,19 @@ def test_token_files(spark, docs, none, tmp_path):
     assert token_files.read_tokens(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_words_and_marks():
+    """Words cut at their marks, and lower-case ones merged straight away, have the library's ids."""
+    from tokenizers import Tokenizer
+
+    path, r = token_files.vocabulary("word_bpe_49k.json"), random.Random(1)
+    pieces = ["don't", "it's", "É", "é,", "ñandú", "İ", "ŉa", "ª", "a≠", "dog's'", "'s", "rock'n'roll!!", "Bc,", "12a.", "3,4!", "<|endoftext|>", "a<|endoftext|>.", "~", "a~~b~", "ß", "ǅ", "中文.", "ﬁ", "e\u0301.", "\x1c", "½!", "ab_c_", "naïve,", "aͅ,"]
+    texts = ["".join(r.choice([*pieces, " ", "\n", "'", ".", "s"]) for _ in range(r.randint(0, 30))) for _ in range(2000)]
+    ids, counts = token_files.encode_texts(texts, path)
+    at = np.concatenate(([0], np.cumsum(counts)))
+    want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert all(ids[at[k] : at[k + 1]].tolist() == e.ids for k, e in enumerate(want))
+
+
 def test_bpe(docs, none):
     from tokenizers import Tokenizer
 
