@@ -100,3 +100,20 @@ def test_phasing(spark):
     edges = spark.createDataFrame([(1, 2, 900), (2, 3, 900), (7, 8, 900)], "a long, b long, w long")
     assert {r.v: r.label for r in P.graph_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
     assert {r.v for r in P.anneal(edges, sweeps=5).collect()} == {1, 2, 3, 7, 8}
+
+
+def test_greedy_blocks_fold_over_ranges(spark):
+    import random
+
+    from readloom.operators import blocks
+
+    r = random.Random(4)
+    for target in (1, 50, 4_000, 10**9):
+        rows = [(i * 3, r.randint(0, 90)) for i in range(400)] + [(10_000, None)]
+        want, block, at = [], -1, target
+        for o, w in rows:
+            block, at = (block + 1, w or 0) if at >= target else (block, at + (w or 0))
+            want.append((o, w or 0, block))
+        df = spark.createDataFrame(rows, "o long, w long").repartition(3)
+        assert sorted(map(tuple, blocks.greedy_blocks(df, "o", "w", target).collect())) == want
+    assert blocks.greedy_blocks(spark.createDataFrame([], "o long, w long"), "o", "w", 5).count() == 0
