@@ -170,9 +170,13 @@ def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     words, counts = [], np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts):
         raw = text.encode()
-        if cache.lower and b"<" not in raw:  # what the vocabulary lower-cases need not be told apart, but for special tokens
-            raw = raw.lower()
-        own = raw.split()
+        lower = cache.lower and b"<" not in raw  # what the vocabulary lower-cases need not be told apart, but for special tokens
+        if not lower:
+            own = raw.split()
+        elif b"\xcc" in raw or b"\xcd" in raw:  # with a mark that composes with A-Z, lower-casing comes after composing, which is the library's to do
+            own = [w.lower() if w.isascii() else w for w in raw.split()]
+        else:
+            own = raw.lower().split()
         words += own
         counts[k] = len(own)
     places = list(map(cache.number.get, words))

@@ -167,6 +167,27 @@ def test_words_and_marks():
     assert all(ids[at[k] : at[k + 1]].tolist() == e.ids for k, e in enumerate(want))
 
 
+def test_capitals_with_marks(spark, tmp_path):
+    """Capitals that have no composed form with a mark, while their lower-case letters have one."""
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    marks = {d[1] for d in (unicodedata.decomposition(chr(c)).split() for c in range(0x110000)) if len(d) == 2 and d[0][0] != "<" and int(d[0], 16) < 128}
+    assert {chr(int(m, 16)).encode()[0] for m in marks} == {0xCC}  # encode_texts looks for these bytes
+    path = token_files.vocabulary("word_bpe_49k.json")
+    pairs = ["H\u0331", "T\u0308", "W\u030a", "Y\u030a", "J\u030c"]
+    texts = [f"{a}{p}{z}" for p in [*pairs, "E\u0301", "e\u0301", "H\u0323\u0331"] for a in ("", "x", "A ") for z in ("", "y", ",", " Bé")]
+    ids, counts = token_files.encode_texts(texts, path)
+    at = np.concatenate(([0], np.cumsum(counts)))
+    want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == [e.ids for e in want]
+    assert [len(token_files.encode_texts([t], path)[0]) for t in ("xH\u0331y", "xh\u0331y")] == [4, 5]
+    token_files.write_token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(tmp_path / "m"), path)
+    got = sorted(token_files.read_tokens(spark, str(tmp_path / "m")).collect())
+    assert [r.start for r in got] == np.concatenate(([0], np.cumsum([len(e.ids) + 1 for e in want])))[:-1].tolist()
+
+
 def test_bpe(docs, none):
     from tokenizers import Tokenizer
 
