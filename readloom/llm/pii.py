@@ -8,6 +8,10 @@ who has the key can invert it. Each permutation is an alternating Feistel networ
 radix with keyed BLAKE2b as the round function; domains that aren't a product are walked until a valid value.
 Local parts of mail addresses and hexadecimal secrets are permuted letter by letter class in the same way.
 
+A run of groups of digits (or of capitals and digits) can hold a number and its neighbours. Where the whole run
+isn't valid, every stretch from a group's start to a group's end is tried, so that a valid number is found
+beside others; a long list of short numbers can hold valid stretches by chance, which are replaced as well.
+
 Defined results: a null text stays null and has no spans; a number that fails its check is left alone;
 repeated rows become alike; an empty table gives an empty result; texts are never cut; other columns are
 ignored by pseudonymise.
@@ -15,10 +19,12 @@ ignored by pseudonymise.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +38,7 @@ QUERY_KEY = b"public demonstration key"
 #: Classes of characters that permute among themselves.
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7), "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7))
 _CLASS = {c: k for k, cs in enumerate(CLASSES) for c in cs}
+#: Days within these permute among themselves, and so do the days before and after.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -154,10 +161,15 @@ def date(s: str, key: bytes, undo: bool = False) -> str | None:
             day = datetime.date(*(int(x[order.index(c)]) for c in "ymd")).toordinal()
         except ValueError:
             continue
+        inner = LAST_DAY - FIRST_DAY + 1
         if FIRST_DAY <= day <= LAST_DAY:
-            new = datetime.date.fromordinal(FIRST_DAY + permute_below(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date", undo))
-            parts = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-            return sep.join(parts[c] for c in order)
+            day = FIRST_DAY + permute_below(day - FIRST_DAY, inner, key, "date", undo)
+        else:
+            n = permute_below(day - 1 if day < FIRST_DAY else day - 1 - inner, datetime.date.max.toordinal() - inner, key, "far date", undo)
+            day = n + 1 if n + 1 < FIRST_DAY else n + 1 + inner
+        new = datetime.date.fromordinal(day)
+        parts = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
+        return sep.join(parts[c] for c in order)
     return None
 
 
@@ -188,26 +200,90 @@ KINDS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
 }
 _ANY = {k: re.compile(p) for k, (p, _) in KINDS.items()}
 _HINT = re.compile(r"[\d@]")
+_DIGIT_RUN = re.compile(r"\d(?:[ -]?\d){12,}")
+_GROUP = re.compile(r"\d+")
+#: First digits and lengths of the large issuers' cards, in a first group of four digits at least.
+_ISSUED = re.compile(r"(?=\d{4})(?:4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|2[2-7]\d{14}|3[47]\d{13}|3[0689]\d{12,17}|35\d{14,17}|6\d{15,18})")
+_IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z]{2}\d{2})")
+#: Fixed value: length of an IBAN by country.
+IBAN_LENGTHS = {c: int(n) for n, cs in (x.split(":") for x in "15:NO 16:BE 18:DK,FK,FI,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU".split()) for c in cs.split(",")}
+
+
+def _capital(c: str) -> bool:
+    return "0" <= c <= "9" or "A" <= c <= "Z"
+
+
+def _cards(text: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, stop, whether it is likely) of 13 to 19 digits in whole groups that pass their check; likely are whole runs and issued numbers."""
+    for run in _DIGIT_RUN.finditer(text):
+        groups = [m.span() for m in _GROUP.finditer(text, *run.span())]
+        digits = _digits(run[0])
+        # sums of the digits so far, those at odd or at even places doubled
+        sums = [[0, *accumulate(int(c) if i % 2 == p else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(digits))] for p in (0, 1)]
+        ends = [0, *accumulate(b - a for a, b in groups)]
+        for i, (start, first_stop) in enumerate(groups):
+            for j in range(i + 1, len(ends)):
+                n = ends[j] - ends[i]
+                if n > 19:
+                    break
+                own = sums[(ends[j] - 1) % 2]
+                if n >= 13 and (own[ends[j]] - own[ends[i]]) % 10 == 0:
+                    stop = groups[j - 1][1]
+                    yield start, stop, (start, stop) == run.span() or bool(first_stop - start >= 4 and _ISSUED.fullmatch(digits, ends[i], ends[j]))
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, stop, whether it is likely) of 15 to 34 capitals and digits in groups of four; likely are those of the country's length."""
+    for m in _IBAN_HEAD.finditer(text):
+        at, n = m.start(), 0
+        while at < len(text) and n < 34 and _capital(text[at]):
+            at, n = at + 1, n + 1
+            follows = text[at : at + 1]
+            if n >= 15 and not (follows.isascii() and follows.isalnum()):
+                yield m.start(), at, n == IBAN_LENGTHS.get(text[m.start() : m.start() + 2])
+            if n % 4 == 0 and follows == " ":
+                at += 1
+
+
+def _phones(text: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, stop, True) of each match; of one with too many digits, without its last groups."""
+    for m in _ANY["phone"].finditer(text):
+        stop = m.end()
+        while phone(text[m.start() : stop], b"") is None:
+            shorter = re.search(r"[ .-]\d+$", text[m.start() : stop])
+            if not shorter:
+                break
+            stop = m.start() + shorter.start()
+        yield m.start(), stop, True
+
+
+_WITHIN = {"card": _cards, "iban": _ibans, "phone": _phones}
 
 
 def pseudonymise_text(text: str, key: bytes, undo: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
-    """(new text, spans of the old one by kind). At overlaps the earlier start wins, then the kind named first."""
+    """(new text, spans of the old one by kind). At overlaps the earlier start wins, then the kind named first, then the longer; stretches that are valid but not likely come after all others, the longer first."""
     if not _HINT.search(text):
         return text, []
     found = []
     for order, (kind, (_, fn)) in enumerate(KINDS.items()):
         if kind == "mail" and "@" not in text:
             continue
-        for m in _ANY[kind].finditer(text):
-            new = fn(m[0], key, undo)
+        for start, stop, likely in _WITHIN[kind](text) if kind in _WITHIN else ((*m.span(), True) for m in _ANY[kind].finditer(text)):
+            new = "" if kind == "card" else fn(text[start:stop], key, undo)  # a long run has many cards to choose from
             if new is not None:
-                found.append((m.start(), order, m.end(), kind, new))
+                found.append(((0, start, order, start - stop) if likely else (1, start - stop, start, order), start, stop, kind, new))
+    taken, chosen = [], {}
+    for _, start, stop, kind, new in sorted(found):
+        k = bisect.bisect(taken, start)
+        if (not k or chosen[taken[k - 1]][0] <= start) and (k == len(taken) or stop <= taken[k]):
+            taken.insert(k, start)
+            chosen[start] = (stop, kind, new)
     out, spans, at = [], [], 0
-    for start, _, end, kind, new in sorted(found):
-        if start >= at:
-            out += [text[at:start], new]
-            spans.append((kind, start, end))
-            at = end
+    for start in taken:
+        stop, kind, new = chosen[start]
+        out += [text[at:start], new or KINDS[kind][1](text[start:stop], key, undo)]
+        spans.append((kind, start, stop))
+        at = stop
     return "".join([*out, text[at:]]), spans
 
 

@@ -135,6 +135,38 @@ def test_pii(docs, none):
     assert pii.date("2024-02-29", k).split("-") == pii.date("29.02.2024", k).split(".")[::-1]
 
 
+@pytest.mark.parametrize("kind,number", [("card", "4111 1111 1111 1111"), ("card", "3782-822463-10005"), ("iban", "BE68 5390 0754 7034"), ("iban", "DE89370400440532013000"), ("phone", "+49 171 2345 6789"), ("date", "31.12.1899"), ("date", "2100-01-01")])
+def test_pii_with_neighbours(kind, number):
+    """A valid number is replaced whatever digits or capitals stand beside it."""
+    k = b"key"
+    want = pii.KINDS[kind][1](number, k)
+    assert want and pii.KINDS[kind][1](want, k, True) == number
+    before = {"card": ["", "card ", "order 7 ", "12 34 ", "2024-01-02 "], "iban": ["", "AB12 ", "IBAN ", "7 "], "phone": ["", "call 7 "], "date": ["", "born 7 "]}[kind]
+    after = {"card": ["", " 123", " 12/27", " 7 8", ", 9"], "iban": ["", " IS mine", " THIS is", " 1234 AND", " X"], "phone": ["", " 2024", " 2024 1234", ", 9"], "date": ["", " 7", ", 9"]}[kind]
+    for a in before:
+        for b in after:
+            new, spans = pii.pseudonymise_text(a + number + b, k)
+            # or, if it passes its check as well, with neighbours
+            assert any(s[0] == kind and s[1] <= len(a) and len(a + number) <= s[2] for s in spans) and number not in new, a + number + b
+            assert want in new or (kind, len(a), len(a + number)) not in spans
+    assert pii.pseudonymise_text("card 4111 1111 1111 1112 12", k)[1] == [] and pii.pseudonymise_text("BE68 5390 0754 7035 IS", k)[1] == []
+
+
+def test_pii_cards_in_runs():
+    """Every stretch of whole groups that passes its check is in a span or shares digits with one."""
+    r = random.Random(4)
+    for _ in range(200):
+        groups = ["".join(r.choice("0123456789") for _ in range(r.randint(1, 6))) for _ in range(r.randint(1, 12))]
+        text, at, ends = " ".join(groups), [], []
+        for g in groups:
+            at.append(ends[-1] + 1 if ends else 0)
+            ends.append(at[-1] + len(g))
+        want = {(a, e) for a in at for e in ends if e > a and pii.card(text[a:e], b"key")}
+        assert {c[:2] for c in pii._cards(text)} == want
+        spans = [s[1:] for s in pii.pseudonymise_text(text, b"key")[1]]
+        assert all(any(a < e2 and a2 < e for a2, e2 in spans) for a, e in want)
+
+
 def test_token_files(spark, docs, none, tmp_path):
     from tokenizers import Tokenizer
 
