@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom.operators.alignment import SKIP_MORE
+from readloom.operators.intervals import interval_join
 from readloom.operators.running import keep
 
 
@@ -17,6 +19,20 @@ def similarity_edges(seeds: DataFrame, pairs: DataFrame) -> DataFrame:
     return x.select("a", "b", (F.expr("1000 * shared div (n_a + n_b)") + 1).cast("long").alias("w"))
 
 
+def overlapping_pairs(aln: DataFrame, min_mapq: int = 20, exclude: int = SKIP_MORE, width: int = 10_000) -> DataFrame:
+    """aln: key, rname, start, stop (0-based, half-open), mapq, flag. (a, b) with a < b: reads with kept alignments that overlap, once each."""
+    x = aln.where((F.col("mapq") >= min_mapq) & (F.col("flag").bitwiseAND(F.lit(exclude)) == 0) & (F.col("start") < F.col("stop")))
+    left = x.select("rname", F.col("key").alias("a"), "start", (F.col("stop") - 1).alias("end"))
+    right = x.select("rname", F.col("key").alias("b"), F.col("start").alias("r_start"), (F.col("stop") - 1).alias("r_end"))
+    return interval_join(left, right, ["rname"], width).where("a < b").select("a", "b").distinct()
+
+
+def overlap_edges(seeds: DataFrame, aln: DataFrame, **kept: int) -> DataFrame:
+    """(a, b, w) of all overlapping pairs: similarity, and 1 without a k-mer in common."""
+    pairs = keep(overlapping_pairs(aln, **kept))
+    return pairs.join(similarity_edges(seeds, pairs), ["a", "b"], "left").select("a", "b", F.coalesce("w", F.lit(1).cast("long")).alias("w"))
+
+
 def graph_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(v, label) of the vertices of edges (a, b): smallest vertex within reach. Labels spread and jump, each round checkpointed."""
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
@@ -35,14 +51,16 @@ def graph_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return labels
 
 
-def anneal(edges: DataFrame, seed: int = 1, sweeps: int = 200, delta: float = 0.75) -> DataFrame:
-    """(v, label, phase, freq): two phases in each component by annealing; vertices whose phase is less frequent than delta have phase -1.
+def anneal(edges: DataFrame, seed: int = 1, sweeps: int = 1000, delta: float = 0.75) -> DataFrame:
+    """(v, label, phase, freq): two phases in each component by annealing, cooled by a tenth every 100 sweeps; vertices whose phase is less frequent than delta have phase -1.
 
     A component is the reads that overlap in one stretch, and the state of one is a few numbers a read.
     """
     labelled = edges.join(graph_components(edges).withColumnRenamed("v", "a"), "a")
 
     def run(pdf):  # noqa: ANN001, ANN202
+        from math import exp
+
         import numpy as np
         import pandas as pd
 
@@ -51,21 +69,36 @@ def anneal(edges: DataFrame, seed: int = 1, sweeps: int = 200, delta: float = 0.
         rng = np.random.default_rng([seed, label & 0x7FFFFFFF])
         i, j, w = np.searchsorted(names, pdf["a"]), np.searchsorted(names, pdf["b"]), pdf["w"].to_numpy(float)
         near = [[] for _ in names]
-        for x, y, z in zip(i, j, w, strict=True):
+        for x, y, z in zip(i.tolist(), j.tolist(), w.tolist(), strict=True):
             near[x].append((y, z))
             near[y].append((x, z))
-        phase, seen = rng.integers(0, 2, len(names)), np.zeros((len(names), 2), int)
+        phase, seen = rng.integers(0, 2, len(names)).tolist(), [[0, 0] for _ in names]
+        # of each vertex, weight and number of the edges into each phase, kept up to date
+        weight, count = [[0.0, 0.0] for _ in names], [[0, 0] for _ in names]
+        for x, edges_of in enumerate(near):
+            for y, z in edges_of:
+                weight[x][phase[y]] += z
+                count[x][phase[y]] += 1
         heat = 1.0
         for sweep in range(sweeps):
             if sweep and sweep % 100 == 0:
                 heat = max(1e-4, heat * 0.9)
-            for x in rng.permutation(len(names)):
-                mean = [np.mean([z for y, z in near[x] if phase[y] == p] or [0.0]) for p in (0, 1)]
-                whole = sum(mean) or 1.0
-                other = 1 - phase[x]
-                if np.exp(min(0.0, (mean[other] - mean[phase[x]]) / whole / heat)) > rng.random():
+            for x, draw in zip(rng.permutation(len(names)).tolist(), rng.random(len(names)).tolist(), strict=True):
+                own = phase[x]
+                other = 1 - own
+                n, sums = count[x], weight[x]
+                here = sums[own] / n[own] if n[own] else 0.0
+                there = sums[other] / n[other] if n[other] else 0.0
+                if there >= here or exp((there - here) / (there + here) / heat) > draw:
                     phase[x] = other
-                seen[x, phase[x]] += 1
+                    for y, z in near[x]:
+                        sums, n = weight[y], count[y]
+                        sums[own] -= z
+                        n[own] -= 1
+                        sums[other] += z
+                        n[other] += 1
+                seen[x][phase[x]] += 1
+        seen = np.array(seen)
         freq = seen.max(1) / sweeps
         return pd.DataFrame({"v": names, "label": label, "phase": np.where(freq < delta, -1, seen.argmax(1)), "freq": freq})
 

@@ -100,10 +100,13 @@ def _phased(s: SparkSession, d: str) -> DataFrame:
 _EDGES_ALL = "SELECT DISTINCT CAST(c_custkey AS BIGINT) AS a, CAST(1000000 + c_nationkey * 50 + c_custkey % 45 AS BIGINT) AS b FROM {customer}"
 
 
+#: Documents as reads along contigs of 64: one starts every 400 bases.
+_READ_ALN = "SELECT doc_id AS key, CAST(doc_id div 64 AS STRING) AS rname, doc_id % 64 * 400 AS start, doc_id % 64 * 400 + length(text) AS stop, 60 AS mapq, 0 AS flag FROM {documents}"
+
+
 def _anneal(s: SparkSession, d: str) -> DataFrame:
     k = kmers(s, d).where("strand = 'fwd'").select("key", "kmer")
-    pairs = docs(s, d).select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"), "source")
-    return P.anneal(P.similarity_edges(k, pairs.select("a", "b")), sweeps=20)
+    return P.anneal(P.overlap_edges(k, view(s, d, _READ_ALN)))
 
 
 _CONFIG = "genome=5M; coverage = 30\nmin_len=500;"

@@ -102,6 +102,37 @@ def test_phasing(spark):
     assert {r.v for r in P.anneal(edges, sweeps=5).collect()} == {1, 2, 3, 7, 8}
 
 
+def test_phasing_separates_reads(spark):
+    """Two groups of alike reads come apart, each read more often in its phase than delta, once sweeps below half the first heat outweigh the others."""
+    import itertools
+
+    edges = spark.createDataFrame([(a, b, 900 if a % 2 == b % 2 else 1) for a, b in itertools.combinations(range(16), 2)], "a long, b long, w long")
+    got = {r.v: r.phase for r in P.anneal(edges, sweeps=4000).collect()}
+    assert {got[0], got[1]} == {0, 1} and all(got[v] == got[v % 2] for v in range(16))
+
+
+def test_phasing_query_has_the_defaults(spark, monkeypatch):
+    import inspect
+
+    from readloom.plans import read_queries
+
+    assert inspect.signature(P.anneal).parameters["sweeps"].default == 1000
+    monkeypatch.setattr(P, "anneal", lambda edges, **given: (edges, given))
+    edges, given = read_queries.QUERIES["phase_anneal"][0](spark, "/root/testdata/sf0.001")
+    got = {(r.a, r.b): r.w for r in edges.collect()}
+    at = {r.doc_id: (r.doc_id // 64, r.doc_id % 64 * 400, r.doc_id % 64 * 400 + len(r.text)) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert given == {} and min(got.values()) >= 1
+    assert set(got) == {(x, y) for x in at for y in at if x < y and at[x][0] == at[y][0] and max(at[x][1], at[y][1]) < min(at[x][2], at[y][2])}
+
+
+def test_overlapping_reads(spark):
+    aln = [(1, "x", 0, 100, 60, 0), (2, "x", 99, 30_000, 20, 16), (3, "x", 100, 200, 60, 0), (4, "y", 0, 100, 60, 0), (5, "x", 0, 100, 19, 0), (6, "x", 0, 100, 60, 256), (7, "x", 50, 50, 60, 0), (3, "x", 150, 260, 60, 2048), (1, "x", 25_000, 25_100, 60, 0)]
+    aln = spark.createDataFrame(aln, "key long, rname string, start long, stop long, mapq int, flag int")
+    assert sorted(map(tuple, P.overlapping_pairs(aln).collect())) == [(1, 2), (2, 3)]
+    seeds = spark.createDataFrame([(1, 5), (1, 6), (2, 6), (3, 9)], "key long, kmer long")
+    assert sorted(map(tuple, P.overlap_edges(seeds, aln).collect())) == [(1, 2, 334), (2, 3, 1)]
+
+
 def test_greedy_blocks_fold_over_ranges(spark):
     import random
 
