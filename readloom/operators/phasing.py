@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,22 +35,23 @@ def overlap_edges(seeds: DataFrame, aln: DataFrame, **kept: int) -> DataFrame:
     return pairs.join(similarity_edges(seeds, pairs), ["a", "b"], "left").select("a", "b", F.coalesce("w", F.lit(1).cast("long")).alias("w"))
 
 
-def graph_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(v, label) of the vertices of edges (a, b): smallest vertex within reach. Labels spread and jump, each round checkpointed."""
+def graph_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(v, label) of the vertices of edges (a, b): smallest vertex within reach. Labels spread and jump, each round checkpointed, until none changes; an error if that takes more than the given rounds."""
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
     both = keep(both)
     labels = keep(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("label")))
     total = None
-    for _ in range(rounds):
+    for done in count():
+        if done == rounds:
+            raise RuntimeError(f"labels still changed after {rounds} rounds")
         near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
         new = labels.join(near, "v").select("v", F.least("label", "near").alias("label"))
         far = labels.select(F.col("v").alias("label"), F.col("label").alias("far"))
         labels = keep(new.join(far, "label").select("v", F.least("label", "far").alias("label")))
         now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if now == total:
-            break
+            return labels
         total = now
-    return labels
 
 
 def anneal(edges: DataFrame, seed: int = 1, sweeps: int = 1000, delta: float = 0.75) -> DataFrame:
@@ -74,11 +77,11 @@ def anneal(edges: DataFrame, seed: int = 1, sweeps: int = 1000, delta: float = 0
             near[y].append((x, z))
         phase, seen = rng.integers(0, 2, len(names)).tolist(), [[0, 0] for _ in names]
         # of each vertex, weight and number of the edges into each phase, kept up to date
-        weight, count = [[0.0, 0.0] for _ in names], [[0, 0] for _ in names]
+        weight, number = [[0.0, 0.0] for _ in names], [[0, 0] for _ in names]
         for x, edges_of in enumerate(near):
             for y, z in edges_of:
                 weight[x][phase[y]] += z
-                count[x][phase[y]] += 1
+                number[x][phase[y]] += 1
         heat = 1.0
         for sweep in range(sweeps):
             if sweep and sweep % 100 == 0:
@@ -86,13 +89,13 @@ def anneal(edges: DataFrame, seed: int = 1, sweeps: int = 1000, delta: float = 0
             for x, draw in zip(rng.permutation(len(names)).tolist(), rng.random(len(names)).tolist(), strict=True):
                 own = phase[x]
                 other = 1 - own
-                n, sums = count[x], weight[x]
+                n, sums = number[x], weight[x]
                 here = sums[own] / n[own] if n[own] else 0.0
                 there = sums[other] / n[other] if n[other] else 0.0
                 if there >= here or exp((there - here) / (there + here) / heat) > draw:
                     phase[x] = other
                     for y, z in near[x]:
-                        sums, n = weight[y], count[y]
+                        sums, n = weight[y], number[y]
                         sums[own] -= z
                         n[own] -= 1
                         sums[other] += z

@@ -102,6 +102,13 @@ def test_phasing(spark):
     assert {r.v for r in P.anneal(edges, sweeps=5).collect()} == {1, 2, 3, 7, 8}
 
 
+def test_components_are_whole_or_an_error(spark):
+    path = spark.createDataFrame([(v, v + 1) for v in range(40)], "a long, b long")
+    assert {r.label for r in P.graph_components(path).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        P.graph_components(path, rounds=1)
+
+
 def test_phasing_separates_reads(spark):
     """Two groups of alike reads come apart, each read more often in its phase than delta, once sweeps below half the first heat outweigh the others."""
     import itertools
