@@ -228,10 +228,22 @@ def test_bpe(docs, none):
     letters = [*"abcdeéßñ01 \n\t\r    \x85'!?.,#<|>ŁΩж中文😀", "'s", "<|endoftext|>", "  ", "the "]
     texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(2000)]
     ids, counts = vocab.encode(texts)
-    at = np.concatenate(([0], np.cumsum(counts)))
+    at, decoded = np.concatenate(([0], np.cumsum(counts))), vocab.decode(ids, counts).to_pylist()
     for k, t in enumerate(texts):
         mine = ids[at[k] : at[k + 1]]
-        assert mine.tolist() == tok.encode(t, add_special_tokens=False).ids and vocab.decode(mine) == t
+        assert mine.tolist() == tok.encode(t, add_special_tokens=False).ids and decoded[k] == t
+    # words of any length, over and under the one that is merged alone, and with equal tokens in a row
+    texts = ["".join(r.choice(a) for _ in range(n)) for a in ("a", "ab", "abcdefghijklmnopqrstuvwxyz", "éß中", ".-=", "01") for n in (1, 2, 3, 7, 8, 255, 256, 257, 3000)]
+    texts += ["\0a b", "a \0b", "b\0a", " a", "  a", "a ", ""]
+    vocab.clear()
+    ids, counts = vocab.encode(texts * 2)
+    at = np.concatenate(([0], np.cumsum(counts)))
+    for k, t in enumerate(texts * 2):
+        assert ids[at[k] : at[k + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids, t[:20]
+    # ids that give no UTF-8: what the library's decoder says
+    for _ in range(200):
+        some = np.array([r.randrange(256) for _ in range(6)])
+        assert vocab.decode(some, np.array([3, 3])).to_pylist() == [tok.decode(x.tolist(), skip_special_tokens=False) for x in (some[:3], some[3:])]
     got = {x.id: x for x in bpe.bpe_round_trip(docs, path).collect()}
     for row in rows():
         assert got[row[0]].decoded == (row[1] or "") and got[row[0]].tokens == tok.encode(row[1] or "", add_special_tokens=False).ids
