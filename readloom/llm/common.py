@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from pathlib import Path
+from zipfile import ZipFile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but ASCII white space; bytes.split() parts at exactly these six.
 WORD = r"[^\x20\x09-\x0D]+"
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-_ROOT = str(Path(__file__).resolve().parents[2])
+_PACKAGE = Path(__file__).resolve().parents[1]
+_shipped: set[str] = set()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,17 +22,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package, wherever the driver was started."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if _ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
+    """Lets Python workers import this package: Spark serves the driver's archive of it to every executor."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped or not _PACKAGE.is_dir():  # within an archive, Spark has it already
+        return
+    archive = Path(tempfile.mkdtemp(prefix="spark-code-")) / f"{_PACKAGE.name}.zip"
+    with ZipFile(archive, "w") as z:
+        for file in sorted(_PACKAGE.rglob("*.py")):
+            z.write(file, file.relative_to(_PACKAGE.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset, as in tests, a temporary one."""
+    """The folder named in spark.checkpoint.dir; where that is unset, a temporary one in local mode, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -99,11 +99,21 @@ def plan_mix(rows: DataFrame, levels: Sequence[str] = LEVELS, weights: Mapping[s
     return materialize(dealt.join(last, list(levels), "left").select(*levels, "budget", "epoch", cut.alias("cut")), "mix-plan"), small
 
 
+def _levels(given: Mapping[str, Column] | None) -> dict[str, Column]:
+    named = given or {"domain": source_domain(), "lang": F.col("lang"), "source": F.col("source")}
+    return {k: F.coalesce(c.cast("string"), F.lit("")) for k, c in named.items()}
+
+
+def _rows(docs: DataFrame, levels: Mapping[str, Column], id_col: str, text_col: str) -> DataFrame:
+    """(id, levels, tokens) of every row, as a written table."""
+    tokens = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    return materialize(docs.select(F.col(id_col).alias("id"), *[c.alias(k) for k, c in levels.items()], tokens.alias("tokens")), "mix-rows")
+
+
 def mix_sources(docs: DataFrame, levels: Mapping[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """(id, levels, tokens, copies, kept): how often each row is in the mix. levels: columns of docs by the level's name."""
-    named = levels or {"domain": source_domain(), "lang": F.col("lang"), "source": F.col("source")}
-    tokens = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = materialize(docs.select(F.col(id_col).alias("id"), *[F.coalesce(c.cast("string"), F.lit("")).alias(k) for k, c in named.items()], tokens.alias("tokens")), "mix-rows")
+    named = _levels(levels)
+    rows = _rows(docs, named, id_col, text_col)
     plan, small = plan_mix(rows, tuple(named), **params)
     return _copies(_with_leaf(rows, plan, tuple(named), small), params.get("seed", SEED)).select("id", *named, "tokens", "copies", (F.col("copies") > 0).alias("kept"))
 
@@ -113,10 +123,12 @@ def _copies(rows: DataFrame, seed: int) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
-    """docs, each row as often as the mix takes it."""
-    taken = mix_sources(docs, **params).where("kept").select(F.col("id").alias("mix_id"), "copies").distinct()
-    out = docs.join(taken, docs.doc_id.eqNullSafe(taken.mix_id))
-    return out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    """docs, each row as often as the mix takes it, by its own leaf and key; columns may have any names."""
+    levels, id_col = _levels(params.pop("levels", None)), params.pop("id_col", "doc_id")
+    plan, small = plan_mix(_rows(docs, levels, id_col, params.pop("text_col", "text")), tuple(levels), **params)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), *[c.alias(k) for k, c in levels.items()])
+    out = _copies(_with_leaf(whole, plan, tuple(levels), small), params.get("seed", SEED)).where("copies > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))).select("doc.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule's cost (seconds a document) and selectivity (share rejected) are estimated on a bounded random
-sample, and the rules are ordered by rejections per cost. The cascade then reads every whole text and
+Each rule's cost (seconds a document) and selectivity are estimated on a bounded random sample. The rule with
+the most rejections per cost comes first; then the one with the most among the texts that are left, and so on.
+Counts that are asked of every text anyway cost a rule nothing. The cascade then reads every whole text and
 stops at the first rule that rejects it. The sample decides the order alone: a document is kept if no
 rule rejects it, so the verdict is the same for every order.
 
@@ -135,31 +136,42 @@ BASE = (Rule("few_words", few_words), Rule("repeated_words", repeated_words))
 RULES = (*BASE, *(Rule(f.__name__, f) for f in (many_symbols, odd_word_length, repeated_lines, few_letters, shouting, many_exclamations)))
 
 
-def profile_rules(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", rows: int = SAMPLE_ROWS, seed: int = 7) -> dict[str, tuple[float, float]]:
-    """Name: (seconds a document, share rejected), each rule on its own, on about `rows` rows."""
+def profile_rules(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", rows: int = SAMPLE_ROWS, seed: int = 7, paid: Sequence[str] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each text of a sample of about `rows` rows is rejected by each rule on its own, seconds that took); paid: what is known of a text before the rules ask."""
     total = docs.count()
-    if not total:
-        return {}
 
     def timed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, out = batch.column(0).to_pylist(), []
-            for rule in rules:
-                began = time.perf_counter()
-                rejected = sum(rule.rejects(Text(x)) for x in texts)
-                out.append((rule.name, time.perf_counter() - began, rejected, len(texts)))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["rule", "seconds", "rejected", "n"])
+            rejected, seconds = [], []
+            for x in batch.column(0):
+                verdicts, costs = [], []
+                for rule in rules:
+                    text = Text(x.as_py())
+                    for c in paid:
+                        getattr(text, c)
+                    began = time.perf_counter()
+                    verdicts.append(rule.rejects(text))
+                    costs.append(time.perf_counter() - began)
+                rejected.append(verdicts)
+                seconds.append(costs)
+            yield pa.RecordBatch.from_arrays([pa.array(rejected, pa.list_(pa.bool_())), pa.array(seconds, pa.list_(pa.float64()))], ["rejected", "seconds"])
 
     ship(docs.sparkSession)
-    sample = docs.select(F.col(text_col).alias("body")).sample(min(1.0, rows / total), seed)
-    sums = sample.mapInArrow(timed, "rule string, seconds double, rejected long, n long").groupBy("rule").agg(F.sum("seconds"), F.sum("rejected"), F.sum("n"))
-    return {r[0]: (r[1] / max(1, r[3]), r[2] / max(1, r[3])) for r in sums.collect()}
+    sample = docs.select(F.col(text_col).alias("body")).sample(min(1.0, rows / max(1, total)), seed)
+    found = sample.mapInArrow(timed, "rejected array<boolean>, seconds array<double>").collect()  # some `rows` rows
+    shape = len(found), len(rules)
+    return np.array([r.rejected for r in found], bool).reshape(shape), np.array([r.seconds for r in found], float).reshape(shape)
 
 
-def ordered(rules: Sequence[Rule], profile: dict[str, tuple[float, float]]) -> list[Rule]:
-    """By rejections per cost, most first."""
-    gain = {name: share / max(cost, 1e-9) for name, (cost, share) in profile.items()}
-    return sorted(rules, key=lambda r: -gain.get(r.name, 0.0))
+def ordered(rules: Sequence[Rule], rejected: np.ndarray, seconds: np.ndarray) -> list[Rule]:
+    """By rejections per cost among the texts that the rules before leave, most first; ties in the given order."""
+    left, alive, out = list(range(len(rules))), np.ones(len(rejected), bool), []
+    while left:
+        gain = [rejected[alive, k].sum() / max(seconds[alive, k].sum(), 1e-9) for k in left]
+        best = left.pop(int(np.argmax(gain)))
+        out.append(rules[best])
+        alive &= ~rejected[:, best]
+    return out
 
 
 def first_rejection(t: Text, rules: Sequence[Rule]) -> str | None:
@@ -171,7 +183,7 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def quality_verdicts(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, the five counts, base_failed, kept) of every row; the counts are asked of all, the other rules in cascade."""
-    rules = ordered(rules, profile_rules(docs, rules, text_col))
+    rules = ordered(rules, *profile_rules(docs, rules, text_col, paid=_COUNTS))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,7 +202,7 @@ def quality_verdicts(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text") -> DataFrame:
     """docs without the rows that a rule rejects."""
-    rules = ordered(rules, profile_rules(docs, rules, text_col))
+    rules = ordered(rules, *profile_rules(docs, rules, text_col))
 
     @F.pandas_udf("boolean")
     def good(texts):  # noqa: ANN001, ANN202

@@ -4,7 +4,7 @@ Documents are range-partitioned and sorted by id; each partition is encoded and
 ids as a list of integers (dictionary-encoded, as a vocabulary is small), the sorted and counting columns
 next to them, so that Parquet's page indexes and row-group statistics let a reader fetch the metadata
 without the tokens, or the tokens of an id range without the rest. Files hold the place of a document
-among their own ids; a small table of the files' totals turns it into the place in the corpus.
+among their own ids; a table of the files' totals, a row a file, turns it into the place in the corpus.
 
 Encoding is the tokenizers library's. A word's ids don't depend on its neighbours under the given
 vocabulary (white space is dropped before the merges), so a task encodes each different word once.
@@ -26,19 +26,20 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from readloom.llm.common import byte_characters, documents, shared_dir, ship
+from readloom.llm.common import byte_characters, documents, materialize, shared_dir, ship
 
 END_ID = 2
 #: Bytes of a row group and of a page, and how often the number of rows in a page is looked at.
 LAYOUT = {"parquet.block.size": 32 << 20, "parquet.page.size": 256 << 10, "parquet.page.row.count.limit": 1000, "parquet.writer.version": "PARQUET_2_0", "compression": "zstd"}
 #: A word of one token that stands between words while they are encoded together.
 BETWEEN = "~"
-#: Documents in a file, about.
-ROWS_PER_FILE = 10_000
+#: Documents in a file, about; files whose totals are summed in one task; totals that are broadcast at most (some 20 bytes each).
+ROWS_PER_FILE, FILES_TOGETHER, BROADCAST_FILES = 10_000, 1024, 200_000
 #: Different words that a worker remembers at a time, over its tasks.
 CACHE_WORDS = 900_000
 
@@ -202,7 +203,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = END
     """Files under folder: (id, file, place, n_tokens, tokens), ids ascending within and across files."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, at = uuid.uuid4().hex, 0
+        file, at = TaskContext.get().partitionId(), 0  # the range's number
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
@@ -211,32 +212,35 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = END
                 ids = np.insert(ids, ends, end_id)
                 offsets = np.concatenate(([0], ends + np.arange(1, len(ends) + 1)))
                 tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([name] * len(counts)), pa.array(at + offsets[:-1], pa.int64()), pa.array(counts + 1, pa.int64()), tokens], ["id", "file", "place", "n_tokens", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(counts), file, np.int32)), pa.array(at + offsets[:-1], pa.int64()), pa.array(counts + 1, pa.int64()), tokens], ["id", "file", "place", "n_tokens", "tokens"])
                 at += int(offsets[-1])
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     files = max(1, -(-docs.count() // rows_per_file))
     placed = rows.repartitionByRange(files, "id").sortWithinPartitions("id", "body")
-    made = placed.mapInArrow(encoded, "id long, file string, place long, n_tokens long, tokens array<int>")
+    made = placed.mapInArrow(encoded, "id long, file int, place long, n_tokens long, tokens array<int>")
     made.write.options(**{k: str(v) for k, v in LAYOUT.items()}).option("parquet.enable.dictionary", "true").parquet(folder)
 
 
-_SCHEMA = "id long, file string, place long, n_tokens long, tokens array<int>"
+_SCHEMA = "id long, file int, place long, n_tokens long, tokens array<int>"
 
 
 def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """(id, start, n_tokens), without a look at the tokens."""
     meta = spark.read.schema(_SCHEMA).parquet(folder).select("id", "file", "place", "n_tokens")
-    return meta.join(F.broadcast(_starts(meta)), "file").select("id", (F.col("from") + F.col("place")).alias("start"), "n_tokens")
+    return _with_start(meta, meta).select("id", "start", "n_tokens")
 
 
-def _starts(meta: DataFrame) -> DataFrame:
-    """Ids before each file: a row for each file."""
-    files = meta.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("id").alias("first"), F.max(F.col("id").isNull()).alias("nulls"))
-    # files don't overlap, but for those that share null or repeated ids at their ends
-    order = W.orderBy(F.col("nulls").desc(), F.asc_nulls_first("first"), "file").rowsBetween(W.unboundedPreceding, -1)
-    return files.select("file", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("from"))
+def _with_start(rows: DataFrame, all_: DataFrame) -> DataFrame:
+    """rows with start, the ids of all documents before; files are in the order of their numbers."""
+    files = all_.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn("some", F.expr(f"file div {FILES_TOGETHER}"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    many = files.groupBy("some").agg(F.sum("n").alias("n")).select("some", before(W.orderBy("some")).alias("more"))  # a row for many files
+    starts = files.withColumn("own", before(W.partitionBy("some").orderBy("file"))).join(many, "some").select("file", (F.col("own") + F.col("more")).alias("from"))
+    starts = materialize(starts, "token-starts")
+    starts = F.broadcast(starts) if starts.count() <= BROADCAST_FILES else starts
+    return rows.join(starts, "file").withColumn("start", F.col("from") + F.col("place"))
 
 
 def read_tokens(spark: SparkSession, folder: str, first: int | None = None, last: int | None = None) -> DataFrame:
@@ -245,7 +249,7 @@ def read_tokens(spark: SparkSession, folder: str, first: int | None = None, last
     rows = all_
     rows = rows.where(F.col("id") >= first) if first is not None else rows
     rows = rows.where(F.col("id") <= last) if last is not None else rows
-    return rows.join(F.broadcast(_starts(all_)), "file").select("id", (F.col("from") + F.col("place")).alias("start"), "n_tokens", "tokens")
+    return _with_start(rows, all_).select("id", "start", "n_tokens", "tokens")
 
 
 def token_digests(rows: DataFrame) -> DataFrame:

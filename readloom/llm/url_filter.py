@@ -1,7 +1,7 @@
 """URL filters by hashed host-suffix and path-prefix expressions (DataFrame functions only).
 
 Each URL is expanded into every expression that a rule of the given shapes could have: the last labels
-of its host, and a prefix of its path. Expressions meet the rules in an equi-join on a short hash prefix;
+of its host, and a prefix of its path, with a slash between (hosts have none). Expressions meet the rules in an equi-join on a short hash prefix;
 then full digests are compared, and of the rules that fit the longest decides (then the longer host, then block).
 
 Defined results: a null URL, or one without ://, has an empty host and path and fits no rule; rows that
@@ -30,13 +30,13 @@ def host_and_path(url: str) -> tuple[Column, Column]:
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """(id, host, path, rule, verdict) of every row; rules: (host, path, action), hosts in lower case, action allow or block.
 
-    The distinct pairs of label count and path length among the rules are brought to the driver: hosts have
-    127 labels and rule paths 2,048 characters at most, so the list is bounded however many rules there are.
+    The distinct pairs of label count and path length among the rules, two short lists of numbers, are brought to the
+    driver: hosts have 127 labels and rule paths 2,048 characters at most, so they are bounded however many rules there are.
     """
     rules = rules.select(F.col("host").alias("r_host"), F.col("path").alias("r_path"), F.col("action").alias("r_action")).dropna().distinct()
     rules = rules.withColumns({"rule": F.concat("r_host", "r_path"), "labels": F.size(F.split("r_host", r"\.")), "path_n": F.length("r_path")})
     shapes = sorted(map(tuple, rules.select("labels", "path_n").distinct().collect()))
-    rules = rules.withColumn("digest", F.sha2("rule", 256)).select(F.substring("digest", 1, SHORT).alias("short"), F.col("digest").alias("r_digest"), "rule", F.struct(F.length("rule").alias("n"), F.length("r_host").alias("h"), (F.col("r_action") == "block").alias("b"), "rule", "r_action").alias("weight"))
+    rules = rules.withColumn("digest", F.sha2(F.concat("r_host", F.lit("/"), "r_path"), 256)).select(F.substring("digest", 1, SHORT).alias("short"), F.col("digest").alias("r_digest"), "rule", F.struct(F.length("rule").alias("n"), F.length("r_host").alias("h"), (F.col("r_action") == "block").alias("b"), "rule", "r_action").alias("weight"))
 
     host, path = host_and_path("url")
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).groupBy("id", "url").agg(F.count("*").alias("times"))
@@ -44,7 +44,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     if not shapes:
         best = urls.withColumn("best", F.lit(None).cast("struct<rule:string,r_action:string>"))
     else:
-        forms = F.array_distinct(F.array(*[F.concat(F.substring_index("host", ".", -k), F.substring(F.col("path"), 1, n)) for k, n in shapes]))
+        labels, lengths = (f"array({', '.join(map(str, x))})" for x in zip(*shapes, strict=True))
+        forms = F.expr(f"array_distinct(transform(arrays_zip({labels}, {lengths}), s -> concat(substring_index(host, '.', -s.`0`), '/', substring(path, 1, s.`1`))))")
         spread = urls.withColumn("form", F.explode(forms)).withColumn("digest", F.sha2("form", 256)).withColumn("short", F.substring("digest", 1, SHORT))
         hits = spread.drop("form").join(rules, "short", "left")
         best = hits.groupBy("id", "url").agg(F.first("times").alias("times"), F.first("host").alias("host"), F.first("path").alias("path"), F.max(F.when(F.col("digest") == F.col("r_digest"), F.col("weight"))).alias("best"))

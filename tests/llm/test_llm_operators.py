@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from readloom.llm import bpe, exact_dedup, jaccard_join, mixing, pii, quality, sharding, suffix_dedup, token_files, url_filter
 from readloom.llm.common import documents, materialize
@@ -51,7 +52,9 @@ def test_exact_dedup(docs, none):
     assert table(got) == sorted(want, key=repr)
     assert exact_dedup.exact_dedup(none).count() == 0
     kept = exact_dedup.drop_exact_duplicates(docs)
-    assert kept.columns == docs.columns and kept.select("text").distinct().count() >= len(groups)
+    assert kept.columns == docs.columns
+    best = {t: max([i for i in ids if i is not None], default=None) for t, ids in groups.items()}
+    assert table(kept) == sorted([r for r in rows() if r[0] == best[r[1] or ""]], key=repr)
 
 
 def test_chunks_are_whole(spark):
@@ -105,8 +108,12 @@ def test_minimax():
 
 
 def test_quality(spark, docs, none):
-    order = {r.name: (1.0, 0.5) for r in quality.RULES}
-    assert [r.name for r in quality.ordered(quality.RULES, order | {"shouting": (0.1, 0.5)})][0] == "shouting"
+    # two rules reject the same texts: after the cheaper one, the other rejects nothing more
+    rejected = np.array([[1, 1, 0], [1, 1, 0], [0, 0, 1], [0, 0, 0]], bool)
+    seconds = np.tile([2.0, 1.0, 3.0], (4, 1))
+    assert quality.ordered(list("abc"), rejected, seconds) == ["b", "c", "a"]
+    assert quality.ordered(list("abc"), rejected[:0], seconds[:0]) == ["a", "b", "c"]
+    assert {x.shape for x in quality.profile_rules(docs, quality.RULES)} == {(len(rows()), len(quality.RULES))}
     got = {r.id: r for r in quality.quality_verdicts(docs).collect()}
     assert got[17 + 2].n_words == 0 and got[19].base_failed and not got[19].kept
     for r in rows():
@@ -117,7 +124,10 @@ def test_quality(spark, docs, none):
         assert t.n_repeat_words == len(again)
         assert got[r[0]].kept == (quality.first_rejection(t, quality.RULES) is None)
     assert quality.quality_verdicts(none).count() == 0
-    assert quality.keep_good(docs).columns == docs.columns
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns
+    want = [r for r in rows() if quality.first_rejection(quality.Text(r[1]), quality.RULES) is None]
+    assert table(kept) == sorted(want, key=repr) and 0 < len(want) < len(rows())
 
 
 def test_pii(docs, none):
@@ -304,7 +314,18 @@ def test_mixing(docs, none):
     total = sum(r.tokens for r in got)
     assert len(got) == len(rows()) and total * 0.2 < sum(r.tokens * r.copies for r in got) <= total // 2
     assert all(r.copies <= 2 or not r.tokens for r in got) and mixing.mix_sources(none).count() == 0
-    assert mixing.mixed_documents(docs, epochs=1, share=(1, 1)).columns == docs.columns
+    assert mixing.mixed_documents(none).count() == 0
+    # a row goes by its own leaf, whatever the others with its id do, and columns may be named as in the plan
+    named = docs.withColumns({"copies": F.lit(7), "doc": F.lit(8), "epoch": F.lit(9)})
+    want = Counter({tuple(map(str, (r[0], r[3]))): 0 for r in rows()})
+    for r in got:
+        want[str(r.id), str(r.source or None)] += r.copies
+    taken = mixing.mixed_documents(named, epochs=2, share=(1, 2))
+    assert taken.columns == named.columns
+    assert +want == Counter((str(r.doc_id), str(r.source)) for r in taken.collect())
+    twice = docs.sparkSession.createDataFrame([(1, "a b", "en", "src1"), (1, "c d e f", "en", "src2"), (2, "g", "en", "src2")], "doc_id long, text string, lang string, source string")
+    own = Counter({(r.id, r.source): r.copies for r in mixing.mix_sources(twice, epochs=3, share=(3, 2)).collect()})
+    assert +own == Counter((r.doc_id, r.source) for r in mixing.mixed_documents(twice, epochs=3, share=(3, 2)).collect())
 
 
 def test_urls(spark):
@@ -313,6 +334,13 @@ def test_urls(spark):
     got = {r.id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, url_filter.rule_table(spark)).collect()}
     assert got == {0: ("a.example.net", "/en/1", "example.net/en/", "allow"), 1: ("net", "/", "net/", "block"), 2: ("x.org", "/fr/", "org/fr/", "allow"), 3: ("example.com", "/de/a", "example.com/de/", "block"), 4: ("host", "", None, "allow"), 5: ("", "", None, "allow"), 6: ("", "", None, "allow"), 7: ("net", "", None, "allow")}
     assert url_filter.filter_urls(pages, url_filter.rule_table(spark)).count() == 9
+    assert {r.verdict for r in url_filter.filter_urls(pages, url_filter.rule_table(spark).where("false"), default="block").collect()} == {"block"}
+    assert url_filter.filter_urls(pages.where("false"), url_filter.rule_table(spark)).count() == 0
+    # host and path of a rule don't run into each other; of rules of one length the longer host decides, then block
+    rules = url_filter.rule_table(spark, [("example.co", "m", "block"), ("org", "", "block"), ("a.net", "/b", "allow"), ("net", "/b/c", "block"), ("x.de", "/", "allow"), ("x.de", "/", "block")])
+    pages = spark.createDataFrame(list(enumerate(["http://example.com", "http://q.org/x", "http://a.net/b/c", "http://x.de/"])), "page_id long, url string")
+    got = {r.id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules).collect()}
+    assert got == {0: (None, "allow"), 1: ("org", "block"), 2: ("a.net/b", "allow"), 3: ("x.de/", "block")}
 
 
 def test_pipeline(spark):
