@@ -136,7 +136,10 @@ def test_pii(docs, none):
         new = fn(s, k)
         assert new != s and fn(s, k) == new and fn(new, k, True) == s
     assert pii.card("4111 1111 1111 1112", k) is None and pii.ip("1.2.3.256", k) is None and pii.date("2023-02-29", k) is None
-    assert sorted(pii.permute_below(i, 100, k, "t") for i in range(100)) == list(range(100))
+    for n in (1, 2, 3, 100, 128, 1000):
+        new = [pii.permute(i, n, k, "t") for i in range(n)]
+        assert sorted(new) == list(range(n)) and [pii.permute(i, n, k, "t", True) for i in new] == list(range(n))
+        assert n == 1 or all(i != j for i, j in enumerate(new))
     text = "call +1 (017) 555-7713, mail und.34@mail7.example.com### from 97.51.17.173. version 4.0."
     new, spans = pii.pseudonymise_text(text, k)
     assert [s[0] for s in spans] == ["phone", "mail", "ip"] and pii.pseudonymise_text("version 4.0 of 2", k) == ("version 4.0 of 2", [])
@@ -145,6 +148,52 @@ def test_pii(docs, none):
     assert pii.date("2024-02-29", k).split("-") == pii.date("29.02.2024", k).split(".")[::-1]
 
 
+def test_pii_dates():
+    """All spellings of all days: one pseudonym a day, no two days with the same, nothing in its place, and back again."""
+    import datetime
+
+    k, became = b"key", {}
+    days = [datetime.date(1990, 1, 1) + datetime.timedelta(n) for n in range(2000)] + [datetime.date(y, m, d) for y in (1, 4, 1899, 1900, 2099, 2100, 9999) for m, d in ((1, 1), (2, 28), (12, 12), (12, 13), (12, 31))]
+    for d in days:
+        y, m, n = f"{d.year:04d}", f"{d.month:02d}", f"{d.day:02d}"
+        for s, order in ((f"{y}-{m}-{n}", "ymd"), (f"{y}/{m}/{n}", "ymd"), (f"{n}.{m}.{y}", "dmy"), (f"{m}/{n}/{y}", "mdy"), *([(f"{n}/{m}/{y}", "dmy")] if d.day > 12 else [])):
+            new = pii.date(s, k)
+            assert pii.date(new, k, True) == s and len(new) == len(s)
+            parts = dict(zip(order, map(int, new.replace("/", "-").replace(".", "-").split("-")), strict=True))
+            became.setdefault(d, set()).add(datetime.date(parts["y"], parts["m"], parts["d"]))
+    assert all(len(v) == 1 and d not in v for d, v in became.items())
+    assert len(set.union(*became.values())) == len(became)
+
+
+def test_pii_of_all_scripts(docs):
+    """Digits and letters beyond ASCII are replaced within their script, and a span never is what it was."""
+    k, r = b"key", random.Random(9)
+    arabic = str.maketrans("0123456789", "٠١٢٣٤٥٦٧٨٩")
+    for s in ("4111 1111 1111 1111", "+1 (017) 555-7713", "2024-02-29", "10.0.0.255"):
+        new, spans = pii.pseudonymise_text("no " + s.translate(arabic) + " ok", k)
+        plain = pii.pseudonymise_text("no " + s + " ok", k)
+        assert spans == plain[1] and len(spans) == 1 and new == plain[0].translate(arabic)
+    for local in ("иван", "王小明", "ΑΒγ", "a", "я", "é", "ab.ш1"):
+        new, spans = pii.pseudonymise_text(f"to {local}@x.org now", k)
+        assert [s[0] for s in spans] == ["mail"] and new != f"to {local}@x.org now" and new.endswith("@x.org now") and len(new) == len(local) + len("to @x.org now")
+    assert pii.pseudonymise_text("-@x.org", k) == ("-@x.org", [])
+    # every span that is counted has changed, whatever the text
+    pieces = ["4111111111111111", "a@b.de", "я@b.de", "1.1.2000", "2000-01-31", "12/31/1999", "31/12/1999", "127.0.0.1", "123-45-6789", "DE89370400440532013000", "0a" * 16, "٣", "x", " ", "\n", "+49 171 2345 6789", ".", "é"]
+    for _ in range(300):
+        text = "".join(r.choice([*pieces, " ", " "]) for _ in range(r.randint(1, 12)))
+        new, spans = pii.pseudonymise_text(text, k)
+        at_old = at_new = 0
+        for kind, a, b in spans:  # what is between the spans stays, and each is what its own function gives
+            assert new[at_new : at_new + a - at_old] == text[at_old:a]
+            own = pii.KINDS[kind][1](text[a:b].translate(pii._FOLD), k)
+            at_new += a - at_old
+            assert own != text[a:b] and new[at_new : at_new + len(own)].translate(pii._FOLD) == own
+            at_old, at_new = b, at_new + len(own)
+        assert new[at_new:] == text[at_old:]
+    got = {(x.id, x.text, tuple(map(tuple, x.spans))) for x in pii.pseudonymise(docs, k).collect()}
+    assert got == {(row[0], *(lambda o: (o[0], tuple(o[1])))(pii.pseudonymise_text(row[1], k) if row[1] is not None else (None, []))) for row in rows()}
+
+
 @pytest.mark.parametrize("kind,number", [("card", "4111 1111 1111 1111"), ("card", "3782-822463-10005"), ("iban", "BE68 5390 0754 7034"), ("iban", "DE89370400440532013000"), ("phone", "+49 171 2345 6789"), ("date", "31.12.1899"), ("date", "2100-01-01")])
 def test_pii_with_neighbours(kind, number):
     """A valid number is replaced whatever digits or capitals stand beside it."""
