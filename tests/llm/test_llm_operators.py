@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -58,8 +59,6 @@ def test_exact_dedup(docs, none):
 
 
 def test_chunks_are_whole(spark):
-    import re
-
     pattern = re.compile(exact_dedup.chunk_pattern(16, 64).replace(r"\z", r"\Z"))
     for t in [r[1] or "" for r in rows()]:
         assert "".join(m.group(0) for m in pattern.finditer(t)) == t
@@ -339,23 +338,70 @@ def test_merged_transforms():
         assert flags.tolist() == [seen[s[i : i + 200]] > 1 for i in range(len(s) - 199)]
 
 
-def test_jaccard(docs, none):
-    texts = [r[1] or "" for r in rows()]
-    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or (frozenset([tuple(w)]) if w else frozenset()) for w in ([x for x in t.lower().split(" ") if x] for t in texts)]
+def linked(texts):
+    """(shingle sets, linked pairs of places) by brute force."""
+    words = [[w for w in re.split(r"[\x20\x09-\x0d]+", t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) if w] for t in texts]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or (frozenset([tuple(w)]) if w else frozenset()) for w in words]
+    return sets, [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a and b and 100 * len(a & b) >= 80 * len(a | b)]
+
+
+def component_ids(ids, sets, pairs):
     up = list(range(len(sets)))
     find = lambda i: i if up[i] == i else find(up[i])
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if a and b and 100 * len(a & b) >= 80 * len(a | b):
-                up[find(i)] = find(j)
-    ids = [r[0] for r in rows()]
+    for i, j in pairs:
+        up[find(i)] = find(j)
     least = {}
     for i, d in enumerate(ids):
         if d is not None:
             least[find(i)] = min(d, least.get(find(i), d))
-    want = [(d, len(s), least.get(find(i)) if s else d) for i, (d, s) in enumerate(zip(ids, sets, strict=True))]
-    assert table(jaccard_join.jaccard_components(docs)) == sorted(want, key=repr)
-    assert jaccard_join.jaccard_components(none).count() == 0
+    return [(d, len(s), least.get(find(i)) if s else d) for i, (d, s) in enumerate(zip(ids, sets, strict=True))]
+
+
+@pytest.mark.parametrize("bits,long_", [(64, jaccard_join.LONG), (3, 2)])
+def test_jaccard(docs, none, bits, long_):
+    """With names of three bits, which all meet, and with lists that are long from three rows on, too."""
+    sets, pairs = linked([r[1] or "" for r in rows()])
+    want = component_ids([r[0] for r in rows()], sets, pairs)
+    assert table(jaccard_join.jaccard_components(docs, bits=bits, long_=long_)) == sorted(want, key=repr)
+    assert jaccard_join.jaccard_components(none, bits=bits).count() == 0
+
+
+def test_jaccard_links(spark):
+    """All links between different sets, in families of near copies, small sets and long ones."""
+    r = random.Random(8)
+    texts = []
+    for n in (6, 9, 14, 25, 40, 90):
+        base = [r.choice("abcdefghijklmnop") * 2 + str(r.randint(0, 99)) for _ in range(n)]
+        for _ in range(7):
+            w = list(base)
+            for _ in range(r.randint(0, 2)):
+                w[r.choice([0, -1])] = f"w{r.randint(0, 9)}"
+            texts.append(" ".join(w + base[: r.randint(0, 2)]))
+    sets, pairs = linked(texts)
+    links, members = jaccard_join.jaccard_links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), long_=3)
+    of = dict(map(tuple, members.collect()))
+    want = {frozenset((of[i], of[j])) for i, j in pairs if sets[i] != sets[j]}
+    got = [frozenset(p) for p in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
+
+
+def test_jaccard_common_passage(spark):
+    """Texts that share half their words, each in a task of its own: no pair of them is looked at."""
+    common, n = " ".join(f"c{i}" for i in range(60)), 150
+    texts = [(i, common + " " + " ".join(f"x{i}y{k}" for k in range(60))) for i in range(n)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(50, "doc_id")
+    join = jaccard_join._lists(docs, "doc_id", "text", 64, 8)
+    assert jaccard_join._candidates(join, None).count() < n
+    assert {r.component_id for r in jaccard_join._labelled(join, 8).collect()} == set(range(n))
+
+
+def test_drop_near_duplicates(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    given = [(1, base, "k"), (5, base + " more", "k"), (5, "something else " * 9, "k"), (None, base, "k"), (None, "alone here", "k"), (7, None, "k"), (8, "", "k"), (9, "alone here", "k"), (9, "alone here", "k"), (None, "no id at all", None), (None, "no id at all", None)]
+    docs = spark.createDataFrame(given, "doc_id long, text string, gone_id string")
+    want = [given[i] for i in (0, 2, 5, 6, 7, 8, 9, 10)]
+    assert table(jaccard_join.drop_near_duplicates(docs)) == sorted(want, key=repr)
+    assert jaccard_join.drop_near_duplicates(docs.where("false")).count() == 0
 
 
 def test_mixing(docs, none):
