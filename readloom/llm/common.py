@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from pathlib import Path
+from weakref import WeakKeyDictionary
 from zipfile import ZipFile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 _PACKAGE = Path(__file__).resolve().parents[1]
 _shipped: set[str] = set()
+_tables: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +51,19 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     """Cuts the lineage: df as a written table in the shared folder, which outlives any executor."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _tables[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that materialize() wrote, once all that reads them is written itself."""
+    for table in tables:
+        path = _tables.pop(table, None)
+        if path:
+            spark = table.sparkSession
+            name = spark._jvm.org.apache.hadoop.fs.Path(path)
+            name.getFileSystem(spark._jsc.hadoopConfiguration()).delete(name, True)
 
 
 def text_or_empty(col: str = "text") -> "F.Column":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import materialize
+from readloom.llm.common import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,18 +17,21 @@ def components(edges: DataFrame) -> DataFrame:
     round at most.
     """
     left = materialize(edges.where("a != b").select("a", "b").distinct(), "edges")
-    labels = None
+    labels = table = None
     while labels is None or not left.isEmpty():
         both = left.union(left.select("b", "a"))
         least = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("near")), "near")
         further = least.select(F.col("v").alias("near"), F.col("near").alias("to"))
         to = materialize(least.join(further, "near").select("v", "to"), "to")
+        done = [left, least]
         if labels is None:
-            labels = to.withColumnRenamed("to", "label")
+            labels, table = to.withColumnRenamed("to", "label"), to
         else:
-            labels = materialize(labels.join(to.withColumnRenamed("v", "label"), "label", "left").select("v", F.coalesce("to", "label").alias("label")), "labels")
+            done += [table, to]
+            labels = table = materialize(labels.join(to.withColumnRenamed("v", "label"), "label", "left").select("v", F.coalesce("to", "label").alias("label")), "labels")
         left = left.join(to.select(F.col("v").alias("a"), F.col("to").alias("to_a")), "a").join(to.select(F.col("v").alias("b"), F.col("to").alias("to_b")), "b")
         left = materialize(left.where("to_a != to_b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct(), "edges")
+        discard(*done)
     return labels
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from readloom.llm.common import documents, materialize, ship
+from readloom.llm.common import discard, documents, materialize, ship
 from readloom.llm.graph import components, joined
 
 SHINGLE = 5
@@ -234,7 +234,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, name: Names
     left, right = (sets.select(F.col("sig").alias(k), F.col("elements").alias(f"in_{k}")) for k in "ab")
     both = F.size(F.array_intersect("in_a", "in_b"))
     linked = pairs.join(left, "a").join(right, "b").where(100 * both >= 80 * (F.size("in_a") + F.size("in_b") - both))
-    return materialize(linked.select("a", "b"), "jaccard-links")
+    links = materialize(linked.select("a", "b"), "jaccard-links")
+    discard(pairs, sets)
+    return links
 
 
 class _Join(NamedTuple):
@@ -277,6 +279,7 @@ def _lists(docs: DataFrame, id_col: str, text_col: str, bits: int, long_: int) -
         if not n or len(heavy) + n > MAX_HEAVY:
             return _Join(rows, own, classes, lists, small, name)
         heavy = np.concatenate((heavy, elements(more)))
+        discard(lists)
 
 
 def _candidates(join: _Join, labels: DataFrame | None) -> DataFrame:

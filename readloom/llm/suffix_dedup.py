@@ -13,8 +13,10 @@ stably, which sorts the merged suffixes by one symbol more. A boundary that firs
 that the common prefix there has r - 1 symbols; after five rounds what has no boundary between is a repeated
 interval. No suffix of one shard is compared with one of another. Symbol names are verified byte by byte.
 
-An anchor with very many runs is dealt out window by window, keyed by the whole window. Texts are told
-apart by a 64-bit hash; copies of one text take part once, and go as a whole.
+Runs are counted by anchor with partial sums before any of them moves, so anchors that come up once never move
+and hot ones are known: an anchor with very many runs is dealt out window by window, keyed by the whole window.
+Copies of one text take part once, and go as a whole. Texts go by a 64-bit hash; those whose hash has several
+owners by their SHA-256 go by another one.
 
 Defined results: a null text counts as empty; texts under 200 bytes lose
 nothing; repeated rows are copies of each other; null ids are kept; an empty table gives an empty
@@ -27,11 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import documents, materialize, ship, text_or_empty
+from readloom.llm.common import discard, documents, materialize, ship, text_or_empty
 
 WINDOW, SYMBOL, KMER = 200, 40, 64
 #: Suffixes in a shard, and in the shards that a task merges at a time; bytes of text looked at at a time.
@@ -281,21 +282,38 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pair), strict=True)], names)
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """(id, n_bytes, kept, spans) of every row: the bytes that stay, and the maximal runs that go."""
+def _named(rows: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(rows (id, body) with sig, texts (sig, first_id, copies, size))."""
+    sha, shared = F.sha2("body", 256), []
+    sig: Column = F.xxhash64("body") if bits == 64 else F.xxhash64("body").bitwiseAND(F.lit((1 << bits) - 1))
+    for _ in range(2):
+        named = rows.withColumn("sig", F.when(sig.isin(shared), F.xxhash64(F.lit(1), sha)).otherwise(sig) if shared else sig)
+        per = named.select("id", "sig", F.octet_length("body").alias("size"), F.substring(sha, 1, 32).alias("sha")).groupBy("sig")
+        texts = materialize(per.agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.max("size").alias("size"), F.min("sha").alias("lo"), F.max("sha").alias("hi")), "suffix-texts")
+        shared = [r.sig for r in texts.where("lo != hi").select("sig").collect()]  # some 300 of 10**11 texts
+        if not shared:
+            break
+    else:
+        raise RuntimeError("texts share both hashes")
+    return named, texts.drop("lo", "hi")
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, bits: int = 64) -> DataFrame:
+    """(id, n_bytes, kept, spans) of every row: the bytes that stay, and the maximal runs that go. Fewer bits of a text's hash are for tests."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("body")).withColumn("sig", F.xxhash64("body"))
-    texts = materialize(rows.select("id", "sig", F.octet_length("body").alias("size")).groupBy("sig").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.max("size").alias("size")), "suffix-texts")
+    rows, texts = _named(docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("body")), bits)
     runs = rows.where(F.octet_length("body") >= WINDOW).select("sig", "body").mapInArrow(lambda b: _gathered(_runs(b)), "anchor long, sig long, at long, n long, self boolean")
-    same = W.partitionBy("anchor")
-    differ = lambda c: F.min(c).over(same) != F.max(c).over(same)
-    again = runs.withColumns({"more": differ("sig") | differ("at"), "hot": F.count("*").over(same) > hot}).where("self OR more")
+    runs = materialize(runs, "suffix-anchors")
+    place = F.xxhash64("sig", "at")
+    twice = runs.groupBy("anchor").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.max("self").alias("self"), F.count("*").alias("runs")).where("self OR lo != hi")
+    again = runs.drop("self").join(twice.select("anchor", (F.col("runs") > hot).alias("hot")), "anchor")
     by_text = materialize(again.groupBy("sig").agg(F.collect_set(F.struct("anchor", "at", "n", "hot")).alias("runs")), "suffix-runs")
 
     one = texts.join(by_text, "sig").select(F.col("sig").alias("of"), "first_id", "runs")
     found = rows.join(one, rows.id.eqNullSafe(one.first_id) & (rows.sig == one.of)).select("sig", "body", "runs")
     placed = materialize(found.mapInArrow(_segments, "anchor long, segment_id long, segment binary, sig long, at long"), "suffix-segments", compression="zstd")
     distinct = placed.groupBy("anchor", "segment_id", "segment").agg(F.count("*").alias("times"))
+    discard(runs)
     size = placed.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
     parts = max(8, -(-size // (2 * MERGED)))
     met = distinct.repartition(parts, "anchor").sortWithinPartitions("anchor")

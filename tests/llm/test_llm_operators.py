@@ -321,9 +321,10 @@ def repeats(texts, window=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_suffix_dedup(docs, none, hot):
-    got = suffix_dedup.suffix_dedup(docs, hot=hot).collect()
+@pytest.mark.parametrize("hot,bits", [(20_000, 64), (1, 64), (20_000, 2)])
+def test_suffix_dedup(docs, none, hot, bits):
+    """With hot anchors, and with text hashes of two bits, which all meet, too."""
+    got = suffix_dedup.suffix_dedup(docs, hot=hot, bits=bits).collect()
     want = [(r[0], *x) for r, x in zip(rows(), repeats([r[1] for r in rows()]), strict=True)]
     assert sorted(((r.id, r.n_bytes, bytes(r.kept)) for r in got), key=repr) == sorted(want, key=repr)
     assert suffix_dedup.suffix_dedup(none).count() == 0
