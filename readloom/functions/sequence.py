@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+from functools import reduce
+from operator import add
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from readloom.shipping import ship
+
 #: Largest k: two bits a base in a signed 64-bit integer.
 MAX_K = 31
-#: Positions of a text that are cut out of it together.
-PIECE = 500
+#: Places of a text that are looked at together, and rows handed on together.
+PIECE = 250_000
 
 
 def revcomp(seq: Column, fix_t: bool = False) -> Column:
@@ -18,8 +26,9 @@ def revcomp(seq: Column, fix_t: bool = False) -> Column:
 
 
 def base_count(seq: Column, bases: str) -> Column:
-    """Number of these letters in either case."""
-    return F.length(seq) - F.length(F.translate(seq, bases.upper() + bases.lower(), ""))
+    """Number of these letters in either case: a sum over single letters, which Spark counts once however often they are asked for."""
+    one = lambda b: F.length(seq) - F.length(F.translate(seq, b.upper() + b.lower(), ""))
+    return reduce(add, map(one, bases))
 
 
 def base_counts(seq: Column) -> Column:
@@ -45,13 +54,30 @@ def wrap(seq: Column, width: int = 80) -> Column:
     return F.regexp_replace(seq, f"(.{{{width}}})(?!$)", "$1\n")
 
 
+def _letters(text: str) -> np.ndarray:
+    """Code points of a text."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
 def windows(df: DataFrame, key: str, seq: str, window: int, step: int) -> DataFrame:
-    """(key, pos, skew, accum): skew of window + 1 letters from each step, and its running sum; letters without G or C add nothing."""
-    long_ = df.where(F.length(seq) > window)
-    at = long_.select(key, seq, F.explode(F.expr(f"sequence(0, length({seq}) - {window} - 1, {step})")).alias("pos"))
-    skews = at.select(key, "pos", gc_skew(F.substring(F.col(seq), F.col("pos") + 1, F.lit(window + 1))).alias("skew"))
-    upto = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    return skews.withColumn("accum", F.sum(F.coalesce("skew", F.lit(0.0))).over(upto))
+    """(key, pos, skew, accum): skew of window + 1 letters from each step, and its running sum; letters without G or C add nothing. A text is one row, so its sums run where it is."""
+
+    def skews(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in enumerate(batch.column(1)):
+                letters = _letters(text.as_py() or "")
+                if len(letters) <= window:
+                    continue
+                pos = np.arange(0, len(letters) - window, step)
+                upto = [np.concatenate(([0], np.cumsum((letters == ord(b)) | (letters == ord(b.lower()))))) for b in "GC"]
+                g, c = (x[pos + window + 1] - x[pos] for x in upto)
+                none = g + c == 0
+                skew = (g - c) / np.where(none, 1, g + c)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(pos), k))), pa.array(pos, pa.int32()), pa.array(skew, mask=none), pa.array(np.cumsum(np.where(none, 0.0, skew)))], [key, "pos", "skew", "accum"])
+
+    ship(df.sparkSession)
+    rows = df.select(key, F.col(seq).alias("letters"))
+    return rows.mapInArrow(skews, f"`{key}` {rows.schema[key].dataType.simpleString()}, pos int, skew double, accum double")
 
 
 def least_skew(df: DataFrame, key: str, seq: str, window: int, step: int, allowed: DataFrame | None = None) -> DataFrame:
@@ -62,21 +88,69 @@ def least_skew(df: DataFrame, key: str, seq: str, window: int, step: int, allowe
     return low.join(allowed.select(key).withColumn("ok", F.lit(True)), key, "left").select(key, F.when(F.col("ok"), F.col("shift")).otherwise(0).alias("shift"))
 
 
+def _runs(codes: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """Stretches that k-mers are read from: another letter than ACGT ends one, and the k letters after it are passed over, whatever they are."""
+    others, runs, at = np.flatnonzero(codes > 3).tolist(), [], 0
+    n = 0
+    while n < len(others):
+        runs.append((at, others[n]))
+        at = others[n] + k + 1
+        n = bisect.bisect_left(others, at, n)
+    runs.append((at, len(codes)))
+    return [r for r in runs if r[1] - r[0] >= k]
+
+
+def _packed(codes: np.ndarray, k: int, reverse: bool) -> np.ndarray:
+    """Two bits a letter of the k letters from each place: in order, or the complement backwards."""
+    part, width = ((3 - codes) if reverse else codes).astype(np.int64), 1
+    out, done = np.zeros(len(codes) + 1, np.int64), 0
+    while k >> (width.bit_length() - 1):  # widths double; those that k has bits of are put together
+        if k & width:
+            ahead = part[done:]
+            out = out[: len(ahead)] | ahead << 2 * done if reverse else out[: len(ahead)] << 2 * width | ahead
+            done += width
+        part, width = (part[:-width] | part[width:] << 2 * width if reverse else part[:-width] << 2 * width | part[width:]), 2 * width
+    return out
+
+
 def kmers(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
-    """(key, pos, strand, kmer): two-bit codes of every k letters and of their reverse complement. After another letter than ACGT, k more are skipped."""
-    if k > MAX_K:
-        raise ValueError(f"k is {MAX_K} at most")
-    # runs of bases; but for the first, each loses k letters at its front
-    runs = df.select(key, F.expr(f"regexp_replace(translate({seq}, 'acgt', 'ACGT'), '[^ACGT]', 'N')").alias("s")).withColumn("n", F.length("s"))
-    # pieces first, with the k letters before them: a long text isn't copied or walked for each position
-    cut = f"transform(sequence(0, n - {k}, {PIECE}), p -> struct(p AS base, least(p, {k}) AS lead, substring(s, greatest(1, p + 1 - {k}), least(p, {k}) + {PIECE + k - 1}) AS s))"
-    pieces = runs.where(F.col("n") >= k).select(key, F.expr(f"inline({cut})"))
-    at = pieces.select(key, "base", "lead", "s", F.explode(F.expr(f"sequence(0, length(s) - lead - {k})")).alias("i")).withColumn("j", F.col("lead") + F.col("i"))
-    word, before = F.substring(F.col("s"), F.col("j") + 1, F.lit(k)), F.expr(f"substring(s, greatest(1, j + 1 - {k}), least(j, {k}))")
-    at = at.select(key, (F.col("base") + F.col("i")).alias("pos"), word.alias("w"), before.alias("b")).where("instr(w, 'N') = 0 AND instr(b, 'N') = 0")
-    code = lambda s: F.conv(F.translate(s, "ACGT", "0123"), 4, 10).cast("long")
-    both = F.array(F.struct(F.lit("fwd").alias("strand"), code(F.col("w")).alias("kmer")), F.struct(F.lit("rev").alias("strand"), code(F.translate(F.reverse("w"), "ACGT", "TGCA")).alias("kmer")))
-    return at.select(key, "pos", F.inline(both))
+    """(key, pos, strand, kmer): two-bit codes of every k letters and of their reverse complement, pos where they start. After another letter than ACGT, k more are passed over unread."""
+    if not 1 <= k <= MAX_K:
+        raise ValueError(f"k is from 1 to {MAX_K}")
+    code = np.full(128, 4, np.uint8)
+    for i, b in enumerate("ACGT"):
+        code[[ord(b), ord(b.lower())]] = i
+    names = [key, "pos", "strand", "kmer"]
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strands = pa.array(["fwd", "rev"])
+        for batch in batches:
+            held: list[tuple[int, np.ndarray, np.ndarray]] = []
+            n = 0
+
+            def table(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                pos = np.repeat(np.concatenate([p for _, p, _ in held]), 2)
+                who = np.repeat([i for i, _, _ in held], [2 * len(p) for _, p, _ in held])
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), pa.array(pos, pa.int32()), strands.take(pa.array(np.arange(len(pos)) % 2)), pa.array(np.concatenate([x for _, _, x in held]))], names)
+
+            for i, text in enumerate(batch.column(1)):
+                letters = _letters(text.as_py() or "")
+                codes = code[np.minimum(letters, 127)]
+                for a, b in _runs(codes, k):
+                    for at in range(a, b - k + 1, PIECE):
+                        part = codes[at : min(b, at + PIECE + k - 1)]
+                        both = np.stack((_packed(part, k, False), _packed(part, k, True)), 1)
+                        held.append((i, np.arange(at, at + len(both)), both.ravel()))
+                        n += both.size
+                        if n > PIECE:
+                            yield table()
+                            held, n = [], 0
+            if held:
+                yield table()
+
+    ship(df.sparkSession)
+    rows = df.select(key, F.col(seq).alias("letters"))
+    return rows.mapInArrow(seeds, f"`{key}` {rows.schema[key].dataType.simpleString()}, pos int, strand string, kmer long")
 
 
 def kmer_text(kmer: Column, k: int) -> Column:
@@ -92,3 +166,13 @@ def shared_kmers(a: DataFrame, b: DataFrame) -> DataFrame:
 def kmer_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Seeds of a whose k-mer isn't in b, as often as they come."""
     return a.join(b.select("kmer").distinct(), "kmer", "left_anti")
+
+
+def has_kmer(seeds: DataFrame, words: DataFrame) -> DataFrame:
+    """words (kmer, ...) that some seed has."""
+    return words.join(seeds.select("kmer").distinct(), "kmer", "left_semi")
+
+
+def distinct_kmers(seeds: DataFrame) -> DataFrame:
+    """(key, n): different k-mers of each text."""
+    return seeds.groupBy("key").agg(F.count_distinct("kmer").alias("n"))

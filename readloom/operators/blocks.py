@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.operators.running import PART, place, totals_before
+from readloom.shipping import ship
 
 
 def _fold(weights: np.ndarray, open_sum: int, target: int) -> tuple[np.ndarray, int]:
@@ -55,6 +56,7 @@ def _exits(placed: DataFrame, entries: Mapping[int, int], target: int) -> list:
 
 def greedy_blocks(df: DataFrame, order: str, weight: str, target: int) -> DataFrame:
     """(order, weight, block): a new block starts when the current one has reached the target. Weights aren't negative; null weighs nothing."""
+    ship(df.sparkSession)
     placed = place(df.select(F.col(order).cast("long").alias("o"), F.coalesce(F.col(weight).cast("long"), F.lit(0)).alias("w")), ["o"])
     parts = sorted(map(tuple, placed.groupBy(PART).agg(F.sum("w")).collect()))  # a row a range
     known: dict[tuple[int, int], tuple[int, int]] = {}

@@ -22,16 +22,20 @@ def subtract(rows: DataFrame, masks: DataFrame, width: int = 10_000, merged: boo
 
     Each gap is taken from the previous mask's end, so a mask within another exposes bases again; merged uses the furthest end so far.
     """
-    m = masks.select("seq", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    hit = interval_join(rows, m, ["seq"], width)
-    order = W.partitionBy("id", "seq", "start", "end").orderBy("r_start", "r_end")
+    bins = lambda a, b: F.explode(F.expr(f"sequence({a} div {width}, {b} div {width})")).alias("bin")
+    m = masks.where("start <= end").select("seq", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    m = m.select("*", bins("r_start", "r_end"))
+    x = rows.join(masks.select("seq").distinct(), "seq", "left_semi").select("id", "seq", "start", "end").where("start <= end").select("*", bins("start", "end")).alias("x")
+    meets = F.expr(f"x.seq = m.seq AND x.bin = m.bin AND start <= r_end AND r_start <= end AND x.bin = greatest(start, r_start) div {width}")
+    hit = x.join(m.alias("m"), meets, "left").select("id", "x.seq", "start", "end", "r_start", "r_end")  # a row without a mask in each bin that has none
+    whole = W.partitionBy("id", "seq", "start", "end")
+    order = whole.orderBy(F.asc_nulls_first("r_start"), "r_end")
     before = F.max("r_end").over(order.rowsBetween(W.unboundedPreceding, -1)) if merged else F.lag("r_end").over(order)
-    at = hit.withColumns({"from": F.coalesce(before + 1, F.col("start")), "last": F.lead("r_start").over(order).isNull(), "reach": F.max("r_end").over(order) if merged else F.col("r_end")})
-    gaps = at.select("id", "seq", "end", "from", "r_start", "reach", "last", F.col("start").alias("row_start"))
-    head = gaps.select("id", "seq", F.greatest("from", "row_start").alias("start"), (F.col("r_start") - 1).alias("end"))
-    tail = gaps.where("last").select("id", "seq", F.greatest(F.col("reach") + 1, F.col("row_start")).alias("start"), "end")
-    free = rows.join(masks.select("seq").distinct(), "seq", "left_semi").join(hit.select("id", "seq", F.col("start").alias("s"), F.col("end").alias("e")).distinct().withColumnRenamed("id", "hit_id").withColumnRenamed("seq", "hit_seq"), (F.col("id") == F.col("hit_id")) & (F.col("seq") == F.col("hit_seq")) & (F.col("start") == F.col("s")) & (F.col("end") == F.col("e")), "left_anti")
-    return head.union(tail).where("start <= end").union(free.select("id", "seq", "start", "end"))
+    at = hit.withColumns({"from": F.greatest(F.coalesce(before + 1, F.col("start")), F.col("start")), "last": F.lead("r_start").over(order).isNull(), "reach": F.max("r_end").over(whole) if merged else F.col("r_end"), "first": F.row_number().over(order) == 1})
+    gaps = F.expr("""filter(array(if(r_start IS NOT NULL, struct(from AS start, r_start - 1 AS end), NULL),
+      if(last AND r_start IS NOT NULL, struct(greatest(reach + 1, start) AS start, end AS end), NULL),
+      if(first AND last AND r_start IS NULL, struct(start AS start, end AS end), NULL)), g -> g.start <= g.end)""")
+    return at.select("id", "seq", F.inline(gaps))
 
 
 def span_summary(rows: DataFrame, span: Column) -> DataFrame:

@@ -90,7 +90,7 @@ def gap_in_coverage(ovl: DataFrame, min_depth: int, min_avg: float = 0.0) -> Dat
     near = F.exists(F.flatten("dips"), lambda d: F.exists("clips", lambda c: F.abs(c - d) < NEAR))
     lens = ovl.groupBy("a_name").agg(F.max("a_len").alias("a_len"))
     out = lens.join(per, "a_name", "left")
-    return out.select("a_name", F.coalesce((F.coalesce("area", F.lit(0)) / F.col("a_len") >= min_avg) & (F.col("zero_dip") | near), F.lit(False)).alias("gap"))
+    return out.select("a_name", F.coalesce((F.try_divide(F.coalesce("area", F.lit(0)), F.col("a_len")) >= min_avg) & (F.col("zero_dip") | near), F.lit(False)).alias("gap"))
 
 
 def average_coverage(ovl: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def average_coverage(ovl: DataFrame) -> DataFrame:
     order = W.partitionBy("a_name").orderBy("pos")
     area = (F.col("pos") - F.lag("pos", 1, 0).over(order)) * F.lag("cov", 1, 0).over(order)
     per = coverage_profile(ovl).withColumn("area", area).groupBy("a_name").agg(F.sum("area").alias("area"))
-    return ovl.groupBy("a_name").agg(F.max("a_len").alias("a_len")).join(per, "a_name", "left").select("a_name", (F.coalesce("area", F.lit(0)) / F.col("a_len")).alias("avg_cov"))
+    return ovl.groupBy("a_name").agg(F.max("a_len").alias("a_len")).join(per, "a_name", "left").select("a_name", F.try_divide(F.coalesce("area", F.lit(0)), F.col("a_len")).alias("avg_cov"))
 
 
 def stage1_flags(ovl: DataFrame, max_diff: int = 100, max_cov: int = 200, min_cov: int = 2, min_len: int = 6000, min_idt: float = 95.0, gap_filter: bool = False, min_depth: int = 2, min_avg: float = 0.0, sample_rate: float | None = None, name_hash: Column | None = None) -> DataFrame:
@@ -106,7 +106,7 @@ def stage1_flags(ovl: DataFrame, max_diff: int = 100, max_cov: int = 200, min_co
     clean = (F.col("tag") != "u") & (F.col("idt") >= min_idt)
     short_a_, short_b = F.col("a_len") < min_len, F.col("b_len") < min_len
     use = clean & ~short_a_ & ~short_b
-    per = ovl.groupBy("a_name").agg(F.count_if(use & (F.col("a_start") == 0)).alias("five"), F.count_if(use & (F.col("a_end") == F.col("a_len"))).alias("three"))
+    per = ovl.groupBy("a_name").agg(F.count_if(use & (F.col("a_start") == 0)).alias("five"), F.count_if(use & (F.col("a_end") == F.col("a_len"))).alias("three"), F.max(clean & short_a_).alias("short"))
     low, high = F.least("five", "three"), F.greatest("five", "three")
     when = lambda c, bit: F.when(c, bit).otherwise(0)
     if sample_rate is None:
@@ -116,10 +116,12 @@ def stage1_flags(ovl: DataFrame, max_diff: int = 100, max_cov: int = 200, min_co
         spared = F.lit(False) if sample_rate <= 0 else (high < 1.5 * F.col("avg_cov")) & (F.expr("avg_cov") > 0) & (F.pmod(name_hash if name_hash is not None else F.xxhash64("a_name"), F.greatest(F.lit(1), F.ceil(F.col("avg_cov") / sample_rate))) < max_cov)
         flags = when(~spared & (high > max_cov), HIGH).bitwiseOR(when(~spared & (high - low > max_diff), UNEVEN))
     per = per.withColumn("flags", flags.bitwiseOR(when(low < min_cov, LOW)))
+    good = per.where("flags = 0").select(F.col("a_name").alias("container"))
+    of_b = ovl.where(clean & (short_b | (use & is_contains()))).select("a_name", "b_name", when(short_b, SHORT).alias("short"), is_contains().alias("contains"))
+    inner = of_b.join(good, (F.col("a_name") == F.col("container")) & F.col("contains") & (F.col("short") == 0), "left")
     found = [
-        per.where("flags > 0").select(F.col("a_name").alias("name"), "flags"),
-        ovl.where(clean & short_a_).select("a_name", F.lit(SHORT)), ovl.where(clean & short_b).select("b_name", F.lit(SHORT)),
-        ovl.where(use & is_contains()).join(per.where("flags = 0").select("a_name"), "a_name", "left_semi").select("b_name", F.lit(CONTAINED)),
+        per.select(F.col("a_name").alias("name"), F.col("flags").bitwiseOR(when(F.col("short"), SHORT)).alias("flags")).where("flags > 0"),
+        inner.select("b_name", F.col("short").bitwiseOR(when(F.col("container").isNotNull(), CONTAINED)).alias("flags")).where("flags > 0"),
     ]
     if gap_filter:
         found.append(gap_in_coverage(ovl, min_depth, min_avg).where("gap").select("a_name", F.lit(GAP)))
@@ -159,15 +161,20 @@ def filter_overlaps(ovl: DataFrame, idt1: float = 90.0, idt2: float = 90.0, min_
     return stage2_best(ovl, flags, idt2, best_n, min_overhang)
 
 
-def pile_index(lines: DataFrame) -> DataFrame:
-    """lines: ord, a_name, line. (first_ord, a_name, n, pos, bytes) of each run of one A read, as in a text file of these lines in order."""
-    placed = place(lines.select("ord", "a_name", (F.octet_length("line") + 1).alias("bytes")), ["ord"])
-    x = value_before(placed, ["ord"], "a_name", "prior").withColumn("new", (~F.col("prior").eqNullSafe(F.col("a_name"))).cast("int"))
-    x = totals_before(x, ["ord"], {"earlier": "new", "pos": "bytes"}).withColumn("run", F.col("earlier") + F.col("new"))
-    runs = x.groupBy("run", "a_name").agg(F.min("ord").alias("first_ord"), F.count("*").alias("n"), F.min("pos").alias("pos"), F.sum("bytes").alias("bytes"))
+def pile_index(lines: DataFrame, order: list[str]) -> DataFrame:
+    """lines: a_name, line and the columns of the order. (first_ord, a_name, n, pos, bytes) of each run of one A read, as in a text file of these lines in that order; lines count from 1."""
+    placed = place(lines.select(*order, F.col("a_name").alias("pile"), (F.octet_length("line") + 1).alias("bytes"), F.lit(1).alias("one")), order)
+    x = value_before(placed, order, "pile", "prior").withColumn("new", (~F.col("prior").eqNullSafe(F.col("pile"))).cast("int"))
+    x = totals_before(x, order, {"earlier": "new", "pos": "bytes", "ord": "one"}).withColumn("run", F.col("earlier") + F.col("new"))
+    runs = x.groupBy("run", F.col("pile").alias("a_name")).agg((F.min("ord") + 1).alias("first_ord"), F.count("*").alias("n"), F.min("pos").alias("pos"), F.sum("bytes").alias("bytes"))
     return runs.select("first_ord", "a_name", "n", "pos", "bytes")
 
 
+def index_text() -> Column:
+    """A line of a pile index: read, number of lines, where they start, bytes."""
+    return F.concat_ws(" ", "a_name", *[F.col(c).cast("string") for c in ("n", "pos", "bytes")])
+
+
 def overlap_text() -> Column:
     """A line of an overlap file."""
     return F.format_string("%s %s %d %.3f %d %d %d %d %d %d %d %d %s", "a_name", "b_name", "score", "idt", F.col("a_rev").cast("int"), "a_start", "a_end", "a_len", F.col("b_rev").cast("int"), "b_start", "b_end", "b_len", "tag")

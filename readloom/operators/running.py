@@ -18,10 +18,12 @@ PART = "_part"
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder of spark.checkpoint.dir; only where that is unset, as in tests, in a temporary one."""
+    """df checkpointed in the folder of spark.checkpoint.dir; where that is unset, in a temporary one in local mode, else an error."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
     return df.checkpoint()
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from readloom.operators import overlaps as O
@@ -62,10 +61,11 @@ _pick = "SELECT a_name, b_name, score, a_start, b_start FROM o WHERE "
 pick = lambda x: x.select("a_name", "b_name", "score", "a_start", "b_start")
 
 
+ORDER = ["a_number", "score", "b_name", "idt", "a_start", "a_end", "b_start", "b_end", "b_rev", "tag"]
+
+
 def _lines(s, d):  # noqa: ANN001, ANN202
-    x = o(s, d)
-    rank = F.row_number().over(Window.orderBy(F.col("a_name").cast("int"), "score", "b_name", "idt", "a_start", "a_end", "b_start", "b_end", "b_rev", "tag"))
-    return x.select(rank.cast("long").alias("ord"), "a_name", O.overlap_text().alias("line"))
+    return o(s, d).select("*", F.col("a_name").cast("int").alias("a_number"), O.overlap_text().alias("line"))
 
 
 QUERIES = {
@@ -85,6 +85,6 @@ QUERIES = {
     "m4_gap_min_average": (lambda s, d: O.gap_in_coverage(o(s, d), 4, 5.0), W + GAP.format(d=4, m="5.0") + " SELECT a_name, gap FROM gp"),
     "m4_stage2_best": (lambda s, d: O.stage2_best(o(s, d), None, 90.0, 2), W + best_sql("idt >= 90 AND tag <> 'u'", 2)),
     "m4_filter": (lambda s, d: O.filter_overlaps(o(s, d), 92.0, 90.0, 1100, 2, 8, 3, None), W + flags_sql() + best_sql("idt >= 90 AND tag <> 'u' AND a_name NOT IN (SELECT name FROM fl) AND b_name NOT IN (SELECT name FROM fl)", 10)),
-    "m4_pile_index": (lambda s, d: O.pile_index(_lines(s, d)), W + f", l AS (SELECT row_number() OVER (ORDER BY CAST(a_name AS INT), score, b_name, idt, a_start, a_end, b_start, b_end, b_rev, tag) AS ord, a_name, {LINE} AS line FROM o), g AS (SELECT min(ord) AS first_ord, a_name, count(*) AS n, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes FROM l GROUP BY a_name) SELECT first_ord, a_name, n, CAST(sum(bytes) OVER (ORDER BY first_ord) - bytes AS BIGINT) AS pos, bytes FROM g"),
+    "m4_pile_index": (lambda s, d: O.pile_index(_lines(s, d), ORDER), W + f", l AS (SELECT row_number() OVER (ORDER BY CAST(a_name AS INT), score, b_name, idt, a_start, a_end, b_start, b_end, b_rev, tag) AS ord, a_name, {LINE} AS line FROM o), g AS (SELECT min(ord) AS first_ord, a_name, count(*) AS n, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes FROM l GROUP BY a_name) SELECT first_ord, a_name, n, CAST(sum(bytes) OVER (ORDER BY first_ord) - bytes AS BIGINT) AS pos, bytes FROM g"),
     "ovl_cov_stats": (lambda s, d: O.coverage_stats(o(s, d)).select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "median", "min", "max", "n"), W + ", p AS (SELECT count(*) FILTER (a_start = 0) AS f, count(*) FILTER (a_end = a_len) AS t FROM o GROUP BY a_name), c AS (SELECT f AS c FROM p UNION ALL SELECT t FROM p) SELECT round(avg(c), 6) AS mean, round(stddev_pop(c), 6) AS std, median(c) AS median, min(c) AS min, max(c) AS max, count(*) AS n FROM c"),
 }

@@ -81,8 +81,12 @@ g AS (SELECT key, CAST(pos AS INT) AS pos, length(regexp_replace(w, '[^gG]', '',
 k AS (SELECT key, pos, CASE WHEN g + c = 0 THEN NULL ELSE CAST(g - c AS DOUBLE) / (g + c) END AS skew FROM g), z AS (SELECT *, sum(coalesce(skew, 0.0)) OVER (PARTITION BY key ORDER BY pos) AS accum FROM k)"""
 _KSEQ = "SELECT doc_id AS key, translate(lower(text), 'abcdefghijklmnopqrstuvwxyz ', 'ACGTACGTACGTACGTACGTACGTACG') AS seq FROM {documents}"
 _K = 12
-WK = f"""WITH q AS (SELECT key, regexp_replace(seq, '[^ACGT]', 'N', 'g') AS s FROM ({plain(_KSEQ)})), p AS (SELECT key, s, unnest(generate_series(0, length(s) - {_K})) AS pos FROM q WHERE length(s) >= {_K}),
-w AS (SELECT key, CAST(pos AS INT) AS pos, substring(s, pos + 1, {_K}) AS w FROM p WHERE strpos(substring(s, pos + 1, {_K}), 'N') = 0 AND strpos(substring(s, greatest(1, pos + 1 - {_K}), least(pos, {_K})), 'N') = 0),
+#: Other letters end a stretch of k-mers, but for those among the _K letters after one that does.
+WK = f"""WITH q AS (SELECT key, regexp_replace(seq, '[^ACGT]', 'N', 'g') AS s FROM ({plain(_KSEQ)})),
+o AS (SELECT key, s, list_filter(list_transform(string_split(s, ''), lambda c, i: CASE WHEN c = 'N' THEN i - 1 END), lambda i: i IS NOT NULL) AS o FROM q),
+e AS (SELECT key, s, list_append(list_reduce(list_prepend([{-_K - 1}::BIGINT], list_transform(o, lambda i: [i::BIGINT])), lambda a, i: CASE WHEN i[1] > a[len(a)] + {_K} THEN list_concat(a, i) ELSE a END), length(s)) AS e FROM o),
+r AS (SELECT key, s, unnest(list_zip(e[:-2], e[2:])) AS r FROM e), p AS (SELECT key, s, unnest(generate_series(r[1] + {_K} + 1, r[2] - {_K})) AS pos FROM r WHERE r[1] + {_K} + 1 <= r[2] - {_K}),
+w AS (SELECT key, CAST(pos AS INT) AS pos, substring(s, pos + 1, {_K}) AS w FROM p),
 b AS (SELECT key, pos, 'fwd' AS strand, w FROM w UNION ALL SELECT key, pos, 'rev', translate(reverse(w), 'ACGT', 'TGCA') FROM w),
 k AS (SELECT key, pos, strand, CAST(list_reduce(list_transform(string_split(translate(w, 'ACGT', '0123'), ''), lambda x: CAST(x AS BIGINT)), lambda a, x: a * 4 + x) AS BIGINT) AS kmer FROM b)"""
 kmers = lambda s, d: S.kmers(view(s, d, _KSEQ), "key", "seq", _K)
