@@ -1,21 +1,19 @@
-"""What the training-data operators share: shared folder, shipping of code, names of columns."""
+"""What the training-data operators share: shared folder, tables in it, names of columns."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from pathlib import Path
 from weakref import WeakKeyDictionary
-from zipfile import ZipFile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom.shipping import ship as ship
+
 #: Words are runs of anything but ASCII white space; bytes.split() parts at exactly these six.
 WORD = r"[^\x20\x09-\x0D]+"
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-_PACKAGE = Path(__file__).resolve().parents[1]
-_shipped: set[str] = set()
 _tables: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -23,19 +21,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package: Spark serves the driver's archive of it to every executor."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped or not _PACKAGE.is_dir():  # within an archive, Spark has it already
-        return
-    archive = Path(tempfile.mkdtemp(prefix="spark-code-")) / f"{_PACKAGE.name}.zip"
-    with ZipFile(archive, "w") as z:
-        for file in sorted(_PACKAGE.rglob("*.py")):
-            z.write(file, file.relative_to(_PACKAGE.parent))
-    context.addPyFile(str(archive))
-    _shipped.add(context.applicationId)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; where that is unset, a temporary one in local mode, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
