@@ -153,6 +153,48 @@ def kmers(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
     return rows.mapInArrow(seeds, f"`{key}` {rows.schema[key].dataType.simpleString()}, pos int, strand string, kmer long")
 
 
+def randomized(df: DataFrame, name: str, seq: str, seed: int = 0, draw: Column | None = None) -> DataFrame:
+    """(name, header, seq): each sequence rotated by a place that its name and the seed draw, or the given number."""
+    shift = F.pmod(draw if draw is not None else F.xxhash64(F.col(name), F.lit(seed)), (F.length(seq) + 1).cast("long")).cast("int")
+    x = df.select(name, F.col(seq).alias("s"), shift.alias("shift"))
+    return x.select(name, _moved(name, "randomly_shifted_by_bp"), rotate_left(F.col("s"), F.col("shift")).alias(seq))
+
+
+def _moved(name: str, how: str) -> Column:
+    return F.concat(F.col(name).cast("string"), F.lit(f" {how}:-"), F.col("shift"), F.lit("/"), F.length("s")).alias("header")
+
+
+def least_skew_shift(seq: Column, window: int, step: int) -> Column:
+    """The first place of the least running skew of a sequence longer than the window; shorter ones are an error. A sequence doesn't move for it."""
+
+    @F.pandas_udf("int")
+    def shift(texts):  # noqa: ANN001, ANN202
+        def least(text: str) -> int:
+            letters = _letters(text)
+            pos = np.arange(0, len(letters) - window, step)
+            g, c = (np.concatenate(([0], np.cumsum((letters == ord(b)) | (letters == ord(b.lower())))))[[pos + window + 1, pos]] for b in "GC")
+            g, c = g[0] - g[1], c[0] - c[1]
+            return int(pos[np.argmin(np.round(np.cumsum((g - c) / np.maximum(g + c, 1)), 9))])
+
+        return texts.map(least)
+
+    long_enough = F.when(F.length(seq) > window, seq).otherwise(F.raise_error(F.lit("a sequence isn't longer than the window")).cast("string"))
+    return shift(long_enough)
+
+
+def reoriented(df: DataFrame, name: str, seq: str, window: int = 500, step: int = 200, allowed: DataFrame | None = None, qual: str | None = None) -> DataFrame:
+    """(name, header, seq[, qual]): each sequence, and its qualities, from the place of its least running skew on; with allowed (name), only those."""
+    ship(df.sparkSession)
+    x = df.select(name, F.col(seq).alias("s"), *([F.col(qual).alias("q")] if qual else []))
+    shift = least_skew_shift(F.col("s"), window, step)
+    if allowed is not None:
+        x = x.join(allowed.select(name).distinct().withColumn("ok", F.lit(True)), name, "left")
+        shift = F.when(F.col("ok"), shift).otherwise(0)
+    x = x.withColumn("shift", shift)
+    turn = lambda c: rotate_left(F.col(c), F.col("shift"))
+    return x.select(name, _moved(name, "shifted_by_bp"), turn("s").alias(seq), *([turn("q").alias(qual)] if qual else []))
+
+
 def kmer_text(kmer: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(kmer.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions import cigar as C
+from readloom.functions.sequence import revcomp
 
 #: Flag bits of unmapped, secondary, failed and duplicate records, and the same with supplementary ones.
 SKIP, SKIP_MORE, REVERSE = 1796, 3844, 16
@@ -28,9 +31,9 @@ def drop_clipped(aln: DataFrame, targets: DataFrame, max_clipping: int = 100, ma
 
 
 def enrich(aln: DataFrame) -> DataFrame:
-    """aln with reference begin and end, reference and query lengths, and identity (-1 if not known)."""
+    """aln with reference begin and end, reference and query lengths (soft clips are of the query), and identity (-1 if not known)."""
     c = F.col("cigar")
-    return aln.withColumns({"xb": F.col("pos").cast("long"), "xe": F.col("pos") + C.total(c, "MDN=X"), "xr": C.total(c, "MDN=X"), "xq": F.col("seq_len") - C.total(c, "S"), "xp": F.round(C.identity(c, F.col("seq_len"), F.col("nm")), 6)})
+    return aln.withColumns({"xb": F.col("pos").cast("long"), "xe": F.col("pos") + C.total(c, "MDN=X"), "xr": C.total(c, "MDN=X"), "xq": C.total(c, C.QUERY), "xp": F.round(C.identity(c, F.col("seq_len"), F.col("nm")), 6)})
 
 
 def to_paf(aln: DataFrame, targets: DataFrame) -> DataFrame:
@@ -50,9 +53,32 @@ def augment_read_contigs(phased: DataFrame, aln: DataFrame) -> DataFrame:
     return phased.where("phase != -1").unionByName(more.select("qname", F.col("rname").alias("ctg"), *[F.lit(-1).alias(c) for c in ("block", "phase", "rest")]))
 
 
-def region_sequences(aln: DataFrame, chrom: str, start: int, end: int, exclude: int = SKIP_MORE) -> DataFrame:
-    """(qname, header, part): of alignments that reach into the region, the read's part in it."""
+def flag_mask(text: str) -> int:
+    """A mask of 16 bits from decimal or 0x digits."""
+    return int(text, 16 if text.lower().startswith("0x") else 10) & 0xFFFF
+
+
+def parse_region(region: str) -> tuple[str, int, int]:
+    """Target, start and end of target:start-end."""
+    m = re.fullmatch(r"([^:]*):(\d+)-(\d+)", region)
+    if not m:
+        raise ValueError(f"not a region: {region}")
+    return m[1], int(m[2]), int(m[3])
+
+
+def clip_count(aln: DataFrame, targets: DataFrame, **given: int) -> DataFrame:
+    """(kept, dropped) of drop_clipped."""
+    kept = drop_clipped(aln, targets, **given).agg(F.count("*").alias("kept"))
+    return aln.agg(F.count("*").alias("all")).crossJoin(kept).select("kept", (F.col("all") - F.col("kept")).alias("dropped"))  # one row each
+
+
+def region_sequences(aln: DataFrame, region: str, exclude: int = SKIP_MORE, flip: bool = False) -> DataFrame:
+    """(qname, header, part): of alignments that reach into the region, the read's part in it; with flip, its reverse complement where the read is reversed."""
+    chrom, start, end = parse_region(region)
     x = aln.withColumn("stop", F.col("pos") + C.total(F.col("cigar"), "MDN=X")).where((F.col("rname") == chrom) & (F.col("pos") < end) & (F.col("stop") > start) & (F.col("flag").bitwiseAND(F.lit(exclude)) == 0))
     x = x.withColumn("q", C.target_to_query("cigar", "pos", str(start), str(end)))
     part = F.expr("substring(seq, CAST(q.q_start AS INT) + 1, CAST(q.q_end - q.q_start AS INT) + 1)")
+    if flip:
+        x = x.withColumn("part", part).withColumn("part", F.when(F.col("flag").bitwiseAND(F.lit(REVERSE)) > 0, revcomp(F.col("part"))).otherwise(F.col("part")))
+        part = F.col("part")
     return x.select("qname", part.alias("part")).select("qname", F.concat("qname", F.lit(" len:"), F.length("part")).alias("header"), "part")

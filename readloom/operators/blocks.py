@@ -17,9 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.operators.running import PART, place, totals_before
+from readloom.operators.running import PART, keep, place, totals_before
 from readloom.shipping import ship
 
+#: Blocks that are dealt largest first at most (some 100 bytes each on the driver).
+MAX_BLOCKS = 1_000_000
+
 
 def _fold(weights: np.ndarray, open_sum: int, target: int) -> tuple[np.ndarray, int]:
     """(places where a block starts, sum of the open block at the end)."""
@@ -97,6 +100,34 @@ def block_table(df: DataFrame, order: str, weight: str, target: int) -> DataFram
     return totals_before(place(b, ["block"]), ["block"], {"first": "n"}).select("block", "first", (F.col("first") + F.col("n")).alias("stop"), "total")
 
 
+def split_table(df: DataFrame, order: str, weight: str, n: int) -> DataFrame:
+    """(order, weight, shard): contiguous shards, n at most; each takes rows up to an even share of what is left. Rows without a weight that none is left for go to the last one.
+
+    A shard's end is found by one job over the running sums; the driver holds a number a shard.
+    """
+    rows = place(df.select(F.col(order).alias("o"), F.coalesce(F.col(weight).cast("long"), F.lit(0)).alias("w")), ["o"])
+    rows = keep(totals_before(rows, ["o"], {"before": "w"}))
+    total, count = rows.agg(F.coalesce(F.sum("w"), F.lit(0)), F.count("*")).first()
+    starts, groups, at = [0], min(n, count), 0
+    while groups > 1 and at < total:
+        at = rows.where(F.expr(f"before + w >= {at + -(-(total - at) // groups)}L")).agg(F.min(F.expr("before + w"))).first()[0]
+        if at < total:
+            starts.append(at)
+        groups -= 1
+    shard = F.size(F.filter(F.array(*[F.lit(s).cast("long") for s in starts]), lambda s: s <= F.col("before"))) - 1
+    return rows.select(F.col("o").alias(order), F.col("w").alias(weight), shard.alias("shard"))
+
+
+def largest_first_table(df: DataFrame, name: str, weight: str, n: int) -> DataFrame:
+    """(name, weight, bin) by largest_first; bins by sum. The items are blocks of reads, each of which fills a file: more than MAX_BLOCKS are an error."""
+    items = [tuple(r) for r in df.select(name, F.col(weight).cast("long")).orderBy(name).limit(MAX_BLOCKS + 1).collect()]
+    if len(items) > MAX_BLOCKS:
+        raise ValueError(f"more than {MAX_BLOCKS} blocks")
+    bins = largest_first(n, [w for _, w in items])
+    kind = df.schema[name].dataType.simpleString()
+    return df.sparkSession.createDataFrame([(*items[i], b) for b, held in enumerate(bins) for i in held], f"`{name}` {kind}, `{weight}` long, bin int")
+
+
 def split_weighted(n: int, sizes: Sequence[int]) -> list[int]:
     """Lengths of at most n contiguous groups; each takes elements up to an even share of what is left. Weights without a sum go to the last group."""
     out: list[int] = []

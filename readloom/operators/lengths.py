@@ -54,9 +54,53 @@ def length_cutoff(df: DataFrame, col: str, genome: int, coverage: float, fail_lo
     return c.agg(F.coalesce(met, other).alias("cutoff"))
 
 
+def length_report(df: DataFrame, col: str, percents: Sequence[int] = (50, 95)) -> DataFrame:
+    """One row: number, total, mean, median, p95 (both nearest rank from the largest), min, max, esize, and n and l of each percentage; zeros if empty."""
+    c = length_counts(df, col)
+    all_ = c.agg(F.max("upto").alias("total"), F.max("rank").alias("number"))
+    x = c.crossJoin(F.broadcast(all_))  # one row
+    at = lambda p: F.max(F.when(F.col("rank") > F.least(F.floor(F.col("number") * F.lit(1 - p)), F.col("number") - 1), F.col("len")))
+    reached = lambda p: F.when(F.expr(f"100 * upto >= {p} * total"), F.struct("len", (F.expr("rank - n") + F.greatest(F.lit(1), F.ceil((p * F.col("total") / 100 - F.expr("upto - len * n")) / F.col("len")))).cast("long").alias("l")))
+    one = x.agg(
+        F.max("number").alias("number"), F.max("total").alias("total"), F.expr("try_divide(CAST(max(total) AS DOUBLE), max(number))").alias("mean"), at(0.5).alias("median"), at(0.95).alias("p95"),
+        F.min("len").alias("min"), F.max("len").alias("max"), F.expr("try_divide(CAST(sum(len * len * n) AS DOUBLE), max(total))").alias("esize"), *[F.max(reached(p)).alias(f"r{p}") for p in percents],
+    )
+    zero = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("double" if name in ("mean", "esize") else "long").alias(name.split(".")[0])
+    points = [F.coalesce(F.col(f"r{p}.{k}"), F.lit(0)).cast("long").alias(f"{name}{p}") for p in percents for k, name in (("len", "n"), ("l", "l"))]
+    return one.select(*map(zero, ("number", "total", "mean", "median", "p95", "min", "max", "esize")), *points)
+
+
+#: Names of the figures of an assembly.
+ASSEMBLY = {"sum": "total", "mean": "mean", "median": "median", "max": "max", "N100": "n100", "L100": "l100", "N90": "n90", "L90": "l90", "N50": "n50", "L50": "l50", "esize": "esize"}
+
+
+def assembly_stats(df: DataFrame, col: str) -> DataFrame:
+    """One row of ASSEMBLY; mean and esize to whole bases."""
+    r = length_report(df, col, (50, 90, 100))
+    return r.select(*[(F.round(F.col(c)) if c in ("mean", "esize") else F.col(c)).alias(name) for name, c in ASSEMBLY.items()])
+
+
+def assembly_table(stats: DataFrame) -> DataFrame:
+    """(report): the row as lines of figure and name."""
+    names = {"N100": "min (aka N100)", "L100": "number (aka L100)", "esize": "E-Size (aka expected size of contig for a random base)"}
+    line = lambda k: F.format_string("%12.1f %s" if k in ("mean", "esize") else "%10d   %s", F.col(k), F.lit(names.get(k, k)))
+    return stats.select(F.concat_ws("\n", F.lit("Assembly statistics"), *map(line, ASSEMBLY)).alias("report"))
+
+
 def preassembly_stats(raw: DataFrame, preads: DataFrame, cutoff: int, genome: int) -> DataFrame:
-    """raw, preads: pos and len. One row: statistics of raw reads, of seeds (cutoff or longer) and of preads, yield, coverage and mean truncation by position."""
-    side = lambda d, k: length_stats(d, "len").select(*[F.col(c).alias(f"{k}_{c}") for c in ("number", "total", "mean", "median", "esize")])
-    cut = preads.select("pos", F.col("len").alias("p_len")).join(raw, "pos").agg(F.coalesce(F.avg(F.col("len") - F.col("p_len")), F.lit(-1.0)).alias("truncation"))
-    out = side(raw, "raw").crossJoin(side(raw.where(F.col("len") >= cutoff), "seed")).crossJoin(side(preads, "preads")).crossJoin(cut)
-    return out.withColumns({"yield": F.expr("coalesce(try_divide(preads_total, seed_total), 0)").cast("double"), "coverage": F.col("raw_total") / genome})
+    """raw, preads: pos and len. One row of 26 figures: of raw reads, of seeds (cutoff or longer) and of preads, yield and mean truncation by position, to two decimals."""
+    r2 = lambda c: F.floor(c.cast("double") * 100 + 0.5) / 100
+
+    def side(d: DataFrame, k: str) -> DataFrame:
+        x = length_report(d, "len", (50,))
+        return x.select(F.col("number").alias(f"{k}_reads"), F.col("total").alias(f"{k}_bases"), r2(F.col("mean")).alias(f"{k}_mean"), F.col("n50").alias(f"{k}_n50"), F.col("p95").alias(f"{k}_p95"), r2(F.col("total") / genome).alias(f"{k}_coverage"), r2(F.col("esize")).alias(f"{k}_esize"))
+
+    cut = preads.select("pos", F.col("len").alias("p_len")).join(raw, "pos").agg(r2(F.coalesce(F.avg(F.col("len") - F.col("p_len")), F.lit(-1.0))).alias("preassembled_seed_truncation"))
+    out = side(raw, "raw").crossJoin(side(raw.where(F.col("len") >= cutoff), "seed")).crossJoin(side(preads, "preassembled")).crossJoin(cut)  # one row each
+    given = {"genome_length": F.lit(genome), "length_cutoff": F.lit(cutoff), "preassembled_yield": r2(F.expr("coalesce(try_divide(preassembled_bases, seed_bases), 0)")), "preassembled_seed_fragmentation": F.lit(1.0)}
+    return out.withColumns(given)
+
+
+def report_json(row: DataFrame) -> DataFrame:
+    """(report): the row as JSON."""
+    return row.select(F.to_json(F.struct("*")).alias("report"))

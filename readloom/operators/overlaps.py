@@ -175,9 +175,9 @@ def index_text() -> Column:
     return F.concat_ws(" ", "a_name", *[F.col(c).cast("string") for c in ("n", "pos", "bytes")])
 
 
-def overlap_text() -> Column:
+def overlap_text(tag: str = "tag") -> Column:
     """A line of an overlap file."""
-    return F.format_string("%s %s %d %.3f %d %d %d %d %d %d %d %d %s", "a_name", "b_name", "score", "idt", F.col("a_rev").cast("int"), "a_start", "a_end", "a_len", F.col("b_rev").cast("int"), "b_start", "b_end", "b_len", "tag")
+    return F.format_string("%s %s %d %.3f %d %d %d %d %d %d %d %d %s", "a_name", "b_name", "score", "idt", F.col("a_rev").cast("int"), "a_start", "a_end", "a_len", F.col("b_rev").cast("int"), "b_start", "b_end", "b_len", tag)
 
 
 def coverage_stats(ovl: DataFrame) -> DataFrame:

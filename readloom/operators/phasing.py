@@ -7,6 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom.functions.sequence import kmers
 from readloom.operators.alignment import SKIP_MORE
 from readloom.operators.intervals import interval_join
 from readloom.operators.running import keep
@@ -35,6 +36,21 @@ def overlap_edges(seeds: DataFrame, aln: DataFrame, **kept: int) -> DataFrame:
     return pairs.join(similarity_edges(seeds, pairs), ["a", "b"], "left").select("a", "b", F.coalesce("w", F.lit(1).cast("long")).alias("w"))
 
 
+def novel_seeds(reads: DataFrame, refs: DataFrame, k: int) -> DataFrame:
+    """reads: key, seq, rname, start, stop (0-based, half-open); refs: rname, ref. Seeds of each read without the k-mers of the stretch that it maps to, k - 1 letters more on both sides."""
+    near = F.expr(f"substring(ref, CAST(greatest(start - {k - 1}, 0) AS INT) + 1, CAST(stop + {k - 1} - greatest(start - {k - 1}, 0) AS INT))")
+    slices = reads.join(refs, "rname").select("key", near.alias("seq"))
+    return kmers(reads, "key", "seq", k).join(kmers(slices, "key", "seq", k).select("key", "kmer").distinct(), ["key", "kmer"], "left_anti").select("key", "pos", "strand", "kmer")
+
+
+def within_phase(edges: DataFrame, phases: DataFrame) -> DataFrame:
+    """edges: a, b, w; phases: v, phase. (v, within): share of the weight of each vertex's edges that stays in its phase. Their sum is the score of a phasing."""
+    both = edges.select("a", "b", "w").union(edges.select("b", "a", "w"))
+    at = lambda k: phases.select(F.col("v").alias(k), F.col("phase").alias(f"phase_{k}"))
+    x = both.join(at("a"), "a").join(at("b"), "b")
+    return x.groupBy(F.col("a").alias("v")).agg(F.expr("try_divide(CAST(sum(if(phase_a = phase_b, w, 0)) AS DOUBLE), sum(w))").alias("within"))
+
+
 def graph_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(v, label) of the vertices of edges (a, b): smallest vertex within reach. Labels spread and jump, each round checkpointed, until none changes; an error if that takes more than the given rounds."""
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()

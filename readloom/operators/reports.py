@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import json
+import uuid as uuid_
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +23,65 @@ def column_report(table: DataFrame) -> DataFrame:
     return table.agg(rows.alias("r")).select(F.to_json(F.struct(*[F.col(f"r.{c}").alias(c) for c in table.columns])).alias("report"))
 
 
+#: Names in a contig report.
+REPORT = "microbial_asm_polishing_report"
+_COLUMNS = (("Contig", "contig", "name"), ("Length", "length", "len"), ("Circular", "circular", "circular"), ("Coverage", "coverage", "coverage"))
+
+
+def contig_report(table: DataFrame, uuid: Column | None = None) -> DataFrame:
+    """(report): JSON of a contig table, one array a column, longest contigs first. One document holds all contigs, which is what a report is."""
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("len")).alias("o"), "name", "len", "circular", "coverage")))
+    columns = F.array(*[F.to_json(F.struct(F.lit(head).alias("header"), F.lit(f"{REPORT}.contigs_table.{k}").alias("id"), F.col(f"r.{c}").alias("values"))) for head, k, c in _COLUMNS])
+    text = F.concat(
+        F.lit(f'{{"_comment":"pbreports-style JSON","attributes":[],"dataset_uuids":[],"id":"{REPORT}","plotGroups":[],"tables":[{{"columns":['), F.concat_ws(",", columns),
+        F.lit(f'],"id":"{REPORT}.contigs_table","title":"Polished contigs from Microbial Assembly"}}],"tags":[],"title":"Microbial Assembly Polishing Report","uuid":"'),
+        uuid if uuid is not None else F.expr("uuid()"), F.lit('","version":"1.0.0"}'),
+    )
+    return table.agg(rows.alias("r")).select(text.alias("report"))
+
+
+def alarm(name: str, message: str) -> str:
+    """JSON list of one alarm, as a pipeline's user interface expects it."""
+    at = datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds")
+    return json.dumps([{"exception": name, "info": "", "message": message, "name": name, "severity": "ERROR", "owner": "TAG", "createdAt": at, "id": str(uuid_.uuid4())}])
+
+
+def split_haplotigs(rows: DataFrame, header: str) -> tuple[DataFrame, DataFrame]:
+    """(primary rows, haplotigs) by the name in a column."""
+    return rows.where(~is_haplotig(F.col(header))), rows.where(is_haplotig(F.col(header)))
+
+
+def renamed_sequences(seqs: DataFrame) -> DataFrame:
+    """seqs (name, seq) under their new names; those that get none are dropped."""
+    return seqs.withColumn("name", renamed(F.col("name"))).where("name != ''")
+
+
+def round2(x: Column) -> Column:
+    return F.round(x.cast("double"), 2)
+
+
+def block_of_file(path: Column) -> Column:
+    """Number between the last two dots."""
+    return F.regexp_extract(path, r"\.(\d+)\.[^.]*$", 1).cast("int")
+
+
+def movie_parts(header: Column) -> Column:
+    """Struct movie, zmw, span of a header with two slashes, null otherwise."""
+    p = F.split(header, "/")
+    return F.when(F.size(p) == 3, F.struct(p[0].alias("movie"), p[1].alias("zmw"), p[2].alias("span")))
+
+
+def config_lines(config: Column) -> Column:
+    """Lines key=value of a map, values quoted for a shell where they need it."""
+    quoted = lambda v: F.when(v.rlike(r"^[A-Za-z0-9_@%+=:,./-]+$"), v).otherwise(F.concat(F.lit("'"), F.replace(v, F.lit("'"), F.lit("'\"'\"'")), F.lit("'")))
+    return F.array_join(F.transform(F.map_entries(config), lambda e: F.concat(e.key, F.lit("="), quoted(e.value))), "\n")
+
+
+def unknown_settings(defaults: Mapping[str, str], given: Column) -> Column:
+    """Keys that the defaults don't have."""
+    return F.array_sort(F.filter(F.map_keys(given), lambda k: ~k.isin(*defaults)))
+
+
 def stale_las(path: Column) -> Column:
     """Whether a file is a numbered pair file that can go; short forms stay."""
     return F.regexp_extract(path, r"([^/]*)$", 1).rlike(r"^(raw_reads|preads)\.\d+\.\1\.\d+\.las$")

@@ -21,6 +21,17 @@ def exclude_other_phase(hits: DataFrame, phases: DataFrame) -> DataFrame:
     return x.where(~F.coalesce(other, F.lit(False))).select(*hits.columns)
 
 
+def phases_by_read(reads: DataFrame, phases: DataFrame) -> DataFrame:
+    """reads: id, oid; phases: oid, ctg, block, phase. (id, ctg, block, phase) of reads whose other id has a phase."""
+    return reads.join(phases, "oid").select("id", "ctg", "block", "phase")
+
+
+def stage1_hits(hits: DataFrame, placed: DataFrame, phases: DataFrame, n: int = 40, min_len: int = 2500) -> DataFrame:
+    """hits: q, t, len, t_len; placed: q, ctg; phases: id, ctg, block, phase. Of each t of min_len or more the n longest hits (ties by the larger q) by placed reads that aren't of the other phase."""
+    x = hits.where(F.col("t_len") >= min_len).join(placed.select("q"), "q", "left_semi").select("q", "t", "len")
+    return top_partners(exclude_other_phase(x, phases), n, 0)
+
+
 def contig_rank(best: DataFrame, placed: DataFrame) -> DataFrame:
     """best: q, t, len; placed: q, ctg. (t, ctg, n, score, rank, in_ctg): contigs of each t's partners, most overlap first, from 0."""
     per = best.join(placed, "q").groupBy("t", "ctg").agg(F.count("*").alias("n"), (-F.sum("len")).alias("score"))

@@ -40,7 +40,7 @@ pe AS (SELECT p0.*, coalesce(area, 0) / CAST(a_len AS DOUBLE) AS avg_cov FROM p0
         high, uneven = f"NOT {spared} AND {high}", f"NOT {spared} AND {uneven}"
     sql += f""", pf AS (SELECT a_name, (CASE WHEN {high} THEN 16 ELSE 0 END) | (CASE WHEN {uneven} THEN 32 ELSE 0 END) | (CASE WHEN least(f, t) < 2 THEN 8 ELSE 0 END) AS flags FROM pe)"""
     if gap:
-        sql += GAP.format(d=4, m="0.0")
+        sql += GAP.format(d=4, m="0.0").replace(PROFILE, "" if sampled else PROFILE)
     parts = """SELECT a_name AS name, flags FROM pf WHERE flags > 0 UNION ALL SELECT a_name, 2 FROM o WHERE tag <> 'u' AND idt >= 92 AND a_len < 1100 UNION ALL SELECT b_name, 2 FROM o WHERE tag <> 'u' AND idt >= 92 AND b_len < 1100
 UNION ALL SELECT b_name, 1 FROM o WHERE """ + USE + " AND tag IN ('contains', 'C') AND a_name IN (SELECT a_name FROM pf WHERE flags = 0)" + (" UNION ALL SELECT a_name, 64 FROM gp WHERE gap" if gap else "")
     return sql + f", fl AS (SELECT name, CAST(bit_or(flags) AS INT) AS flags FROM ({parts}) GROUP BY name)"

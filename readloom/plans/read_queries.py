@@ -30,17 +30,18 @@ GENOME = 100_000
 def _preassembly(s: SparkSession, d: str) -> DataFrame:
     raw = docs(s, d).select(F.col("doc_id").alias("pos"), F.col("n_chars").alias("len"))
     preads = table(s, d, "labels").select("doc_id").distinct().join(docs(s, d), "doc_id").select(F.col("doc_id").alias("pos"), F.expr("n_chars * 9 div 10").alias("len"))
-    out = L.preassembly_stats(raw, preads, 2000, GENOME)
-    return out.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+    return L.preassembly_stats(raw, preads, 2000, GENOME)
 
 
-def _stats_sql(k: str, t: str) -> str:
-    return f"{k} AS (SELECT count(*) AS {k}_number, CAST(sum(len) AS BIGINT) AS {k}_total, round(avg(len), 6) AS {k}_mean, (SELECT len FROM (SELECT len, row_number() OVER (ORDER BY len DESC) AS rn, count(*) OVER () AS n FROM {t}) WHERE rn = CAST(floor(n * 0.5) AS BIGINT) + 1) AS {k}_median, round(sum(len * len) / sum(len), 6) AS {k}_esize FROM {t})"
+def _side_sql(k: str, t: str) -> str:
+    return f"""{k} AS (SELECT count(*) AS {k}_reads, CAST(sum(len) AS BIGINT) AS {k}_bases, floor(avg(len) * 100 + 0.5) / 100 AS {k}_mean, max(CASE WHEN 2 * upto >= total THEN len END) AS {k}_n50,
+  max(CASE WHEN rn = CAST(floor(n * (1 - 0.95::DOUBLE)) AS BIGINT) + 1 THEN len END) AS {k}_p95, floor(CAST(sum(len) AS DOUBLE) / {GENOME} * 100 + 0.5) / 100 AS {k}_coverage, floor(CAST(sum(len * len) AS DOUBLE) / sum(len) * 100 + 0.5) / 100 AS {k}_esize
+  FROM (SELECT len, row_number() OVER w AS rn, sum(len) OVER w AS upto, sum(len) OVER () AS total, count(*) OVER () AS n FROM {t} WINDOW w AS (ORDER BY len DESC, pos ROWS UNBOUNDED PRECEDING)))"""
 
 
 _PRE = f"""WITH r AS (SELECT doc_id AS pos, n_chars AS len FROM documents), s AS (SELECT * FROM r WHERE len >= 2000), p AS (SELECT doc_id AS pos, n_chars * 9 // 10 AS len FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
-{_stats_sql("raw", "r")}, {_stats_sql("seed", "s")}, {_stats_sql("preads", "p")}, c AS (SELECT round(avg(r.len - p.len), 6) AS truncation FROM p JOIN r USING (pos))
-SELECT *, round(CAST(preads_total AS DOUBLE) / seed_total, 6) AS yield, round(CAST(raw_total AS DOUBLE) / {GENOME}, 6) AS coverage FROM raw, seed, preads, c"""
+{_side_sql("raw", "r")}, {_side_sql("seed", "s")}, {_side_sql("preassembled", "p")}, c AS (SELECT floor(avg(r.len - p.len) * 100 + 0.5) / 100 AS preassembled_seed_truncation FROM p JOIN r USING (pos))
+SELECT *, {GENOME} AS genome_length, 2000 AS length_cutoff, floor(CAST(preassembled_bases AS DOUBLE) / seed_bases * 100 + 0.5) / 100 AS preassembled_yield, 1.0::DOUBLE AS preassembled_seed_fragmentation FROM raw, seed, preassembled, c"""
 
 # --- intervals ---
 _ROWS = "SELECT o_orderkey AS id, CAST(o_custkey % 40 AS STRING) AS seq, o_orderkey % 5000 + 1 AS start, o_orderkey % 5000 + 1 + o_custkey % 700 AS end FROM {orders}"
@@ -82,13 +83,18 @@ k AS (SELECT key, pos, CASE WHEN g + c = 0 THEN NULL ELSE CAST(g - c AS DOUBLE)
 _KSEQ = "SELECT doc_id AS key, translate(lower(text), 'abcdefghijklmnopqrstuvwxyz ', 'ACGTACGTACGTACGTACGTACGTACG') AS seq FROM {documents}"
 _K = 12
 #: Other letters end a stretch of k-mers, but for those among the _K letters after one that does.
-WK = f"""WITH q AS (SELECT key, regexp_replace(seq, '[^ACGT]', 'N', 'g') AS s FROM ({plain(_KSEQ)})),
-o AS (SELECT key, s, list_filter(list_transform(string_split(s, ''), lambda c, i: CASE WHEN c = 'N' THEN i - 1 END), lambda i: i IS NOT NULL) AS o FROM q),
-e AS (SELECT key, s, list_append(list_reduce(list_prepend([{-_K - 1}::BIGINT], list_transform(o, lambda i: [i::BIGINT])), lambda a, i: CASE WHEN i[1] > a[len(a)] + {_K} THEN list_concat(a, i) ELSE a END), length(s)) AS e FROM o),
-r AS (SELECT key, s, unnest(list_zip(e[:-2], e[2:])) AS r FROM e), p AS (SELECT key, s, unnest(generate_series(r[1] + {_K} + 1, r[2] - {_K})) AS pos FROM r WHERE r[1] + {_K} + 1 <= r[2] - {_K}),
-w AS (SELECT key, CAST(pos AS INT) AS pos, substring(s, pos + 1, {_K}) AS w FROM p),
-b AS (SELECT key, pos, 'fwd' AS strand, w FROM w UNION ALL SELECT key, pos, 'rev', translate(reverse(w), 'ACGT', 'TGCA') FROM w),
-k AS (SELECT key, pos, strand, CAST(list_reduce(list_transform(string_split(translate(w, 'ACGT', '0123'), ''), lambda x: CAST(x AS BIGINT)), lambda a, x: a * 4 + x) AS BIGINT) AS kmer FROM b)"""
+def kmer_sql(source: str, p: str = "") -> str:
+    """CTEs down to {p}k (key, pos, strand, kmer), of source (key, seq)."""
+    return f"""{p}q AS (SELECT key, regexp_replace(upper(seq), '[^ACGT]', 'N', 'g') AS s FROM ({source})),
+{p}o AS (SELECT key, s, list_filter(list_transform(string_split(s, ''), lambda c, i: CASE WHEN c = 'N' THEN i - 1 END), lambda i: i IS NOT NULL) AS o FROM {p}q),
+{p}e AS (SELECT key, s, list_append(list_reduce(list_prepend([{-_K - 1}::BIGINT], list_transform(o, lambda i: [i::BIGINT])), lambda a, i: CASE WHEN i[1] > a[len(a)] + {_K} THEN list_concat(a, i) ELSE a END), length(s)) AS e FROM {p}o),
+{p}r AS (SELECT key, s, unnest(list_zip(e[:-2], e[2:])) AS r FROM {p}e), {p}p AS (SELECT key, s, unnest(generate_series(r[1] + {_K} + 1, r[2] - {_K})) AS pos FROM {p}r WHERE r[1] + {_K} + 1 <= r[2] - {_K}),
+{p}w AS (SELECT key, CAST(pos AS INT) AS pos, substring(s, pos + 1, {_K}) AS w FROM {p}p),
+{p}b AS (SELECT key, pos, 'fwd' AS strand, w FROM {p}w UNION ALL SELECT key, pos, 'rev', translate(reverse(w), 'ACGT', 'TGCA') FROM {p}w),
+{p}k AS (SELECT key, pos, strand, CAST(list_reduce(list_transform(string_split(translate(w, 'ACGT', '0123'), ''), lambda x: CAST(x AS BIGINT)), lambda a, x: a * 4 + x) AS BIGINT) AS kmer FROM {p}b)"""
+
+
+WK = "WITH " + kmer_sql(plain(_KSEQ))
 kmers = lambda s, d: S.kmers(view(s, d, _KSEQ), "key", "seq", _K)
 
 # --- alignments ---
@@ -146,11 +152,10 @@ QUERIES = {
     "kmer_similarity": (lambda s, d: P.similarity_edges(kmers(s, d), docs(s, d).select(F.col("doc_id").alias("a"), (F.col("doc_id") + 20).alias("b"))), WK + ", x AS (SELECT DISTINCT key, kmer FROM k), z AS (SELECT key, count(*) AS n FROM x GROUP BY key) SELECT p.key AS a, q.key AS b, CAST(1000 * count(*) // (zp.n + zq.n) + 1 AS BIGINT) AS w FROM x p JOIN x q ON p.kmer = q.kmer AND q.key = p.key + 20 JOIN z zp ON zp.key = p.key JOIN z zq ON zq.key = q.key GROUP BY p.key, q.key, zp.n, zq.n"),
     "kmer_text": (lambda s, d: kmers(s, d).select("key", "pos", "strand", S.kmer_text(F.col("kmer"), _K).alias("word")), WK + " SELECT key, pos, strand, w AS word FROM b"),
     "cigar_clips": (lambda s, d: aln(s, d).select("qname", "pos", "cigar", *[c.cast("long").alias(k) for k, c in zip(("left", "right"), C.end_clips(F.col("cigar")), strict=True)], C.total(F.col("cigar"), "MDN=X").alias("span")), WA + ' SELECT qname, pos, cigar, s1 AS "left", CAST(-h1 AS BIGINT) AS "right", m1 + 50 + d1 AS span FROM a'),
-    "bam_tags_enrich": (lambda s, d: A.enrich(aln(s, d)).select("qname", "pos", "mapq", "xb", "xe", "xr", "xq", "xp"), WA + " SELECT qname, pos, mapq, CAST(pos AS BIGINT) AS xb, pos + m1 + 50 + d1 AS xe, m1 + 50 + d1 AS xr, seq_len - s1 AS xq, round(coalesce(100.0::DOUBLE * CAST(seq_len - s1 - nm AS DOUBLE) / (seq_len - s1), -1), 6) AS xp FROM a"),
+    "bam_tags_enrich": (lambda s, d: A.enrich(aln(s, d)).select("qname", "pos", "mapq", "xb", "xe", "xr", "xq", "xp"), WA + " SELECT qname, pos, mapq, CAST(pos AS BIGINT) AS xb, pos + m1 + 50 + d1 AS xe, m1 + 50 + d1 AS xr, s1 + m1 + 52 AS xq, round(coalesce(100.0::DOUBLE * CAST(seq_len - s1 - nm AS DOUBLE) / (seq_len - s1), -1), 6) AS xp FROM a"),
     "bam_qname_coverage": (lambda s, d: A.well_covered(aln(s, d), 0.95), WA + " SELECT DISTINCT qname FROM (SELECT file, qname FROM a GROUP BY file, qname HAVING CAST(sum(seq_len - s1) AS DOUBLE) / max(seq_len + h1) >= 0.95)"),
     "bam_filter_clipped": (lambda s, d: A.drop_clipped(aln(s, d), view(s, d, TARGETS), 5, 25, 256).select("qname", "rname", "pos", "flag", "cigar"), WT + " SELECT qname, a.rname, pos, flag, cigar FROM a JOIN t ON a.rname = t.rname WHERE flag & 256 = 0 AND NOT ((s1 > 5 AND pos > 25) OR (h1 > 5 AND pos + m1 + 50 + d1 + 25 < ref_len))"),
     "bam2paf": (lambda s, d: A.to_paf(aln(s, d), view(s, d, TARGETS)), WT + " SELECT qname, CAST(seq_len + h1 AS BIGINT) AS qlen, CAST(CASE WHEN flag & 16 > 0 THEN h1 ELSE s1 END AS BIGINT) AS qstart, CAST(CASE WHEN flag & 16 > 0 THEN seq_len + h1 - s1 ELSE seq_len END AS BIGINT) AS qend, CASE WHEN flag & 16 > 0 THEN '-' ELSE '+' END AS strand, a.rname AS tname, ref_len AS tlen, CAST(pos AS BIGINT) AS tstart, pos + m1 + 50 + d1 AS tend, m1 + 50 + d1 - coalesce(nm, 0) AS matches, m1 + 50 + d1 AS aln_len, mapq FROM a JOIN t ON a.rname = t.rname"),
-    "target_to_query": (lambda s, d: aln(s, d).select("qname", "pos", "cigar", C.target_to_query("cigar", "pos", "260", "320").alias("q")).select("qname", "pos", "cigar", "q.*"), None),
     "paf_filter": (lambda s, d: A.keep_targets(A.to_paf(aln(s, d), view(s, d, TARGETS)), table(s, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").cast("string").alias("name"))).select("qname", "tname", "tstart"), WA + " SELECT qname, rname AS tname, CAST(pos AS BIGINT) AS tstart FROM a WHERE rname IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey = 1)"),
     "read2ctg_augment": (lambda s, d: A.augment_read_contigs(_phased(s, d), aln(s, d)), WA + ", p AS (SELECT CAST(o_orderkey AS VARCHAR) AS qname, CAST(o_custkey % 25 AS VARCHAR) AS ctg, 1 AS block, CAST(o_orderkey % 3 - 1 AS INT) AS phase, 0 AS rest FROM orders WHERE o_orderkey % 3 <> 0) SELECT * FROM p UNION ALL SELECT qname, rname, -1, -1, -1 FROM a WHERE mapq >= 1 AND flag & 1796 = 0 AND qname NOT IN (SELECT qname FROM p)"),
     "contig_table": (lambda s, d: R.contig_table(table(s, d, "supplier").select(F.concat_ws("|", F.col("s_suppkey").cast("string"), F.lit("x")).alias("name"), F.col("s_nationkey").alias("len")), table(s, d, "supplier").where("s_suppkey % 5 = 0").select(F.concat_ws("|", F.col("s_suppkey").cast("string"), F.lit("x")).alias("name")), I.span_summary(view(s, d, _SPANS), F.col("span"))).withColumn("coverage", r6("coverage")), f"WITH g AS (SELECT seq, CAST(sum(cov_mean * span) AS DOUBLE) / sum(span) AS c FROM ({plain(_SPANS)}) GROUP BY seq) SELECT CAST(s_suppkey AS VARCHAR) || '|x' AS name, s_nationkey AS len, s_suppkey % 5 = 0 AS circular, round(coalesce(c, 0.0), 6) AS coverage FROM supplier LEFT JOIN g ON seq = CAST(s_suppkey AS VARCHAR)"),

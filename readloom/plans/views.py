@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "conversations", "pages")
 
 #: Overlaps shaped from line items, integer arithmetic only.
-OVL = """SELECT CAST(a AS STRING) AS a_name, CAST(b AS STRING) AS b_name, CAST(-(q * 100 + ln) AS BIGINT) AS score, 100.0 - 100.0 * d AS idt, false AS a_rev,
+OVL = """SELECT CAST(a AS STRING) AS a_name, CAST(b AS STRING) AS b_name, CAST(-(q * 100 + ln) AS BIGINT) AS score, 100.0 - 100.0 * d AS idt, ok % 5 = 0 AS a_rev,
   CAST(a_start AS INT) AS a_start, CAST(CASE WHEN ln % 3 = 1 THEN 1000 + (a % 7) * 100 ELSE a_start + 200 + ok % 200 END AS INT) AS a_end, CAST(1000 + (a % 7) * 100 AS INT) AS a_len,
   ok % 3 = 0 AS b_rev, CAST(b_start AS INT) AS b_start, CAST(CASE WHEN ok % 4 = 1 THEN 1000 + (b % 7) * 100 ELSE b_start + 200 + ln * 30 END AS INT) AS b_end, CAST(1000 + (b % 7) * 100 AS INT) AS b_len,
-  CASE WHEN ln = 7 THEN 'contains' WHEN rf = 'R' THEN 'u' WHEN a_start = 0 THEN '5' ELSE '3' END AS tag
+  CASE WHEN ln = 7 AND ok % 10 = 3 THEN 'contains' WHEN ok % 607 = 0 THEN 'contained' WHEN ok % 613 = 0 THEN 'c' WHEN ok % 617 = 0 THEN 'C' WHEN ok % 37 = 0 THEN 'none' WHEN ok % 41 = 0 THEN '?' WHEN ok % 43 = 0 THEN 'overlap' WHEN rf = 'R' THEN 'u' WHEN a_start = 0 THEN '5' ELSE '3' END AS tag
 FROM (SELECT l_partkey AS a, (l_orderkey * 7 + l_linenumber * 13) % (SELECT max(p_partkey) FROM {part}) + 1 AS b, l_orderkey AS ok, l_linenumber AS ln, CAST(l_quantity AS BIGINT) AS q, l_discount AS d, l_returnflag AS rf,
   CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE (l_suppkey * 31 + l_orderkey) % 600 END AS a_start, CASE WHEN l_orderkey % 2 = 0 THEN 0 ELSE (l_orderkey * 17) % 600 END AS b_start FROM {lineitem}) t"""
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from readloom.plans import overlap_queries, read_queries
+from readloom.plans import overlap_queries, read_queries, report_queries
 
-_ALL = overlap_queries.QUERIES | read_queries.QUERIES
+_ALL = overlap_queries.QUERIES | read_queries.QUERIES | report_queries.QUERIES
 
 
 def queries() -> dict[str, Callable]:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom import schemas
+from readloom.functions.sequence import wrap
 from readloom.operators.overlaps import overlap_text
 
 
@@ -25,19 +29,72 @@ def _typed(parts: str, schema: str, strict: int) -> list[Column]:
     return out
 
 
-def read_overlaps(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Overlap lines: 12 fields or more between spaces, the 13th a tag; lines that start with - are trailers."""
+def read_overlaps(spark: SparkSession, path: str | list[str], extra: bool = False) -> DataFrame:
+    """Overlap lines: 12 fields or more between spaces, the 13th a tag; lines that start with - are trailers. With extra, tagplus has the tag and all after it."""
     lines = spark.read.text(path).where(~F.col("value").startswith("-") & (F.trim("value") != ""))
-    x = lines.select(F.split(F.trim("value"), " +").alias("p")).select(*_typed("p", schemas.OVERLAP, 12))
+    more = [F.expr("array_join(slice(p, 13, greatest(size(p) - 12, 0)), ' ')").alias("tagplus")] if extra else []
+    x = lines.select(F.split(F.trim("value"), " +").alias("p")).select(*_typed("p", schemas.OVERLAP, 12), *more)
     return x.withColumn("tag", F.coalesce("tag", F.lit("")))
 
 
 def write_overlaps(ovl: DataFrame, path: str, trailer: bool = False) -> None:
-    """Lines of overlaps; with a trailer one file ends in ---."""
-    lines = ovl.select(overlap_text().alias("value"))
+    """Lines of overlaps; with a trailer, --- in a last file of its own."""
+    ovl.select(overlap_text("tagplus" if "tagplus" in ovl.columns else "tag").alias("value")).write.text(path)
     if trailer:
-        lines = lines.withColumn("o", F.lit(0)).union(ovl.sparkSession.range(1).select(F.lit("---").alias("value"), F.lit(1).alias("o"))).coalesce(1).sortWithinPartitions("o").select("value")
-    lines.write.text(path)
+        ovl.sparkSession.range(1, numPartitions=1).select(F.lit("---").alias("value")).write.mode("append").text(path)
+
+
+def write_pile_index(index: DataFrame, path: str) -> None:
+    """Lines 0000, number of lines, where they start, bytes, in order."""
+    line = F.concat_ws(" ", F.lit("0000"), *[F.col(c).cast("string") for c in ("n", "pos", "bytes")])
+    index.orderBy("pos").select(line.alias("value")).write.text(path)
+
+
+def read_pile_index(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(n, pos, bytes) of each pile; the first field is passed over."""
+    p = spark.read.text(path).where(F.trim("value") != "").select(F.split(F.trim("value"), " +").alias("p"))
+    return p.select(*_typed("p", "skipped string, n bigint, pos bigint, bytes bigint", 4)).drop("skipped")
+
+
+def listed_files(spark: SparkSession, path: str) -> list[str]:
+    """Paths from a file of names, or from a JSON list; relative ones are taken from the list's folder."""
+    if path.endswith(".json"):
+        names = json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+    else:
+        names = [r.value.strip() for r in spark.read.text(path).collect() if r.value.strip()]
+    folder = path.rpartition("/")[0]
+    return [n if n.startswith("/") or "://" in n or not folder else f"{folder}/{n}" for n in names]
+
+
+def found_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """(path) of files below a folder whose names match; contents aren't read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder).select("path")
+
+
+def read_lengths(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(name, len) of a FASTA index: five fields between tabs."""
+    return spark.read.text(path).where(F.trim("value") != "").select(F.split("value", "\t").alias("p")).select(*_typed("p", "name string, len bigint", 5))
+
+
+def read_read_contigs(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Distinct (rid, ctg) of lines pid, rid, oid, ctg between spaces; other numbers of fields are an error."""
+    p = spark.read.text(path).where(F.trim("value") != "").select(F.split(F.trim("value"), " +").alias("p"))
+    four = F.when(F.size("p") == 4, F.col("p")).otherwise(F.raise_error(F.concat(F.lit("not four fields: "), F.array_join("p", " "))).cast("array<string>"))
+    return p.select(four.alias("p")).select(F.col("p")[1].alias("rid"), F.col("p")[3].alias("ctg")).distinct()
+
+
+def read_phases(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(oid, ctg, block, phase) of lines between spaces, fields 6, 1, 2 and 3 from 0; of one oid the last line counts."""
+    p = spark.read.text(path).where(F.trim("value") != "").select(F.split(F.trim("value"), " +").alias("p"), F.monotonically_increasing_id().alias("at"))
+    x = p.select(*_typed("p", "a string, ctg string, block int, phase int, b string, c string, oid string", 7), "at")
+    return x.groupBy("oid").agg(F.max_by(F.struct("ctg", "block", "phase"), "at").alias("x")).select("oid", "x.*")
+
+
+def write_phases(phased: DataFrame, path: str) -> None:
+    """phased: v, label, phase, freq, name. Lines between tabs; reads without a phase have -1 for numbers."""
+    none = F.col("phase") == -1
+    number = lambda c: F.when(none, -1).otherwise(F.col(c)).cast("string")
+    phased.select(F.concat_ws("\t", number("v"), number("label"), number("phase"), F.col("freq").cast("string"), "name").alias("value")).write.text(path)
 
 
 def read_paf(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -69,7 +126,7 @@ def read_sam(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, Dat
     targets = lines.where(F.col("value").startswith("@SQ")).select(tag("SN").alias("rname"), tag("LN").cast("int").alias("ref_len"))
     p = lines.where(~F.col("value").startswith("@") & (F.trim("value") != "")).select(F.split("value", "\t").alias("p"))
     head = _typed("p", schemas.SAM.rsplit(",", 1)[0], 11)
-    x = p.select(*head, F.slice("p", 12, 1000).alias("tags"))
+    x = p.select(*head, F.expr("slice(p, 12, greatest(size(p) - 11, 0))").alias("tags"))
     nm = F.regexp_extract(F.array_join("tags", "\t"), r"(?:^|\t)NM:i:(\d+)", 1)
     return x.withColumns({"pos": F.col("pos") - 1, "seq_len": F.length("seq"), "nm": F.nullif(nm, F.lit("")).cast("int")}), targets
 
@@ -81,6 +138,13 @@ def read_rdb(spark: SparkSession, path: str | list[str]) -> dict[str, DataFrame]
     return {k: p.where(F.col("p")[0] == letter).select(*_typed("p", "letter string, " + s, len(_fields(s)) + 1)).drop("letter") for k, (letter, s) in kinds.items()}
 
 
+def write_rdb(tables: dict[str, DataFrame], path: str) -> None:
+    """Lines of a database in order: versions, files, sequences, blocks; without any row nothing is written but an empty file."""
+    kinds = {"versions": ("V", ["version"]), "files": ("F", ["file_id", "path", "format"]), "seqs": ("S", ["seq_id", "header", "seq_len", "file_id", "offset", "data_len"]), "blocks": ("B", ["block_id", "seq_id_start", "seq_id_end", "num_bases"])}
+    lines = [tables[k].select(F.lit(i).alias("k"), F.lit(0).cast("long").alias("o") if k == "versions" else F.col(cols[0]).cast("long").alias("o"), F.concat_ws("\t", F.lit(letter), *[F.col(c).cast("string") for c in cols]).alias("value")) for i, (k, (letter, cols)) in enumerate(kinds.items()) if k in tables]
+    reduce(DataFrame.union, lines).orderBy("k", "o").select("value").write.text(path)
+
+
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(name, seq) of each record; the reader splits files at record starts."""
     x = spark.read.option("lineSep", "\n>").text(path).where(F.trim("value") != "")
@@ -90,8 +154,15 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def write_fasta(seqs: DataFrame, path: str, width: int = 80) -> None:
-    wrapped = F.regexp_replace("seq", f"(.{{{width}}})(?!$)", "$1\n")
-    seqs.select(F.concat(F.lit(">"), F.col("name"), F.lit("\n"), wrapped).alias("value")).write.text(path)
+    seqs.select(F.concat(F.lit(">"), _title(seqs), F.lit("\n"), wrap(F.col("seq"), width)).alias("value")).write.text(path)
+
+
+def _title(seqs: DataFrame) -> Column:
+    return F.col("header" if "header" in seqs.columns else "name")
+
+
+def write_fastq(seqs: DataFrame, path: str, width: int = 80) -> None:
+    seqs.select(F.concat(F.lit("@"), _title(seqs), F.lit("\n"), wrap(F.col("seq"), width), F.lit("\n+\n"), wrap(F.col("qual"), width)).alias("value")).write.text(path)
 
 
 def _fastq_records(frames):  # noqa: ANN001, ANN202
