@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import count
+from math import exp
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,11 @@ from pyspark.sql import functions as F
 from readloom.functions.sequence import kmers
 from readloom.operators.alignment import SKIP_MORE
 from readloom.operators.intervals import interval_join
-from readloom.operators.running import keep
+from readloom.operators.running import keep, place, totals_before
+from readloom.shipping import ship
+
+#: Sweeps between which the heat stays the same, and after which parts exchange their phases; vertices in a part.
+EXCHANGE, PART_SIZE = 100, 20_000
 
 
 def similarity_edges(seeds: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -70,55 +75,84 @@ def graph_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         total = now
 
 
-def anneal(edges: DataFrame, seed: int = 1, sweeps: int = 1000, delta: float = 0.75) -> DataFrame:
-    """(v, label, phase, freq): two phases in each component by annealing, cooled by a tenth every 100 sweeps; vertices whose phase is less frequent than delta have phase -1.
+def _heat(sweep: int) -> float:
+    """Cooled by a tenth every hundred sweeps."""
+    return max(1e-4, 0.9 ** (sweep // EXCHANGE))
 
-    A component is the reads that overlap in one stretch, and the state of one is a few numbers a read.
-    """
-    labelled = edges.join(graph_components(edges).withColumnRenamed("v", "a"), "a")
 
-    def run(pdf):  # noqa: ANN001, ANN202
-        from math import exp
+def _swept(first: int, sweeps: int, seed: int):  # noqa: ANN202
+    """For applyInPandas: edges (v, b, w) of the vertices of a part with both ends' phases, to the part's state after some sweeps. Vertices of other parts keep their phase meanwhile."""
 
+    def run(pdf):  # noqa: ANN001, ANN202
         import numpy as np
         import pandas as pd
 
-        names = np.unique(pdf[["a", "b"]].to_numpy())
-        label = int(pdf["label"].iloc[0])
-        rng = np.random.default_rng([seed, label & 0x7FFFFFFF])
-        i, j, w = np.searchsorted(names, pdf["a"]), np.searchsorted(names, pdf["b"]), pdf["w"].to_numpy(float)
+        own = pdf.drop_duplicates("v").sort_values("v")
+        names = own["v"].to_numpy()
+        rng = np.random.default_rng([seed, first, int(own["label"].iloc[0]) & 0x7FFFFFFF, int(own["part"].iloc[0])])
+        phase, seen = own["phase"].tolist(), own[["zero", "one"]].to_numpy(np.int64).tolist()
+        at = np.minimum(np.searchsorted(names, pdf["b"]), len(names) - 1)
+        inner = names[at] == pdf["b"].to_numpy()
         near = [[] for _ in names]
-        for x, y, z in zip(i.tolist(), j.tolist(), w.tolist(), strict=True):
-            near[x].append((y, z))
-            near[y].append((x, z))
-        phase, seen = rng.integers(0, 2, len(names)).tolist(), [[0, 0] for _ in names]
         # of each vertex, weight and number of the edges into each phase, kept up to date
         weight, number = [[0.0, 0.0] for _ in names], [[0, 0] for _ in names]
-        for x, edges_of in enumerate(near):
-            for y, z in edges_of:
-                weight[x][phase[y]] += z
-                number[x][phase[y]] += 1
-        heat = 1.0
-        for sweep in range(sweeps):
-            if sweep and sweep % 100 == 0:
-                heat = max(1e-4, heat * 0.9)
+        for x, y, inside, z, there in zip(np.searchsorted(names, pdf["v"]).tolist(), at.tolist(), inner.tolist(), pdf["w"].astype(float).tolist(), pdf["phase_b"].tolist(), strict=True):
+            weight[x][there] += z
+            number[x][there] += 1
+            if inside:
+                near[x].append((y, z))
+        for sweep in range(first, first + sweeps):
+            heat = _heat(sweep)
             for x, draw in zip(rng.permutation(len(names)).tolist(), rng.random(len(names)).tolist(), strict=True):
-                own = phase[x]
-                other = 1 - own
+                here = phase[x]
+                other = 1 - here
                 n, sums = number[x], weight[x]
-                here = sums[own] / n[own] if n[own] else 0.0
-                there = sums[other] / n[other] if n[other] else 0.0
-                if there >= here or exp((there - here) / (there + here) / heat) > draw:
+                stay = sums[here] / n[here] if n[here] else 0.0
+                go = sums[other] / n[other] if n[other] else 0.0
+                if go >= stay or exp((go - stay) / (go + stay) / heat) > draw:
                     phase[x] = other
                     for y, z in near[x]:
                         sums, n = weight[y], number[y]
-                        sums[own] -= z
-                        n[own] -= 1
+                        sums[here] -= z
+                        n[here] -= 1
                         sums[other] += z
                         n[other] += 1
                 seen[x][phase[x]] += 1
         seen = np.array(seen)
-        freq = seen.max(1) / sweeps
-        return pd.DataFrame({"v": names, "label": label, "phase": np.where(freq < delta, -1, seen.argmax(1)), "freq": freq})
+        return pd.DataFrame({"v": names, "label": own["label"].to_numpy(), "part": own["part"].to_numpy(), "phase": phase, "zero": seen[:, 0], "one": seen[:, 1]})
 
-    return labelled.groupBy("label").applyInPandas(run, "v long, label long, phase int, freq double")
+    return run
+
+
+def anneal(edges: DataFrame, seed: int = 1, sweeps: int = 1000, delta: float = 0.75, part_size: int = PART_SIZE) -> DataFrame:
+    """(v, label, phase, freq): two phases in each component by annealing, cooled by a tenth every 100 sweeps; vertices whose phase is less frequent than delta have phase -1.
+
+    A component of up to part_size vertices is swept as a whole. Larger ones are dealt out in parts of that size along
+    the order of their vertices; each part is swept for as long as the heat stays the same, against the phases that its
+    neighbours in other parts had before, and then the phases are exchanged. So no task has more than a part.
+    """
+    ship(edges.sparkSession)
+    labels = graph_components(edges)
+    ordered = totals_before(place(labels.withColumn("one", F.lit(1)), ["label", "v"]), ["label", "v"], {"nth": "one"})
+    nth = F.col("nth") - F.col("first")
+    ordered = keep(ordered)
+    firsts = ordered.groupBy("label").agg(F.min("nth").alias("first"), F.count("*").alias("size"))
+    start = ordered.join(firsts, "label").select("v", "label", F.when(F.col("size") > part_size, F.floor(nth / part_size)).otherwise(0).cast("long").alias("part"), (F.col("size") > part_size).alias("split"), F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(2)).cast("int").alias("phase"))
+    start = keep(start)
+    both = keep(edges.select(F.col("a").alias("v"), "b", "w").union(edges.select("b", "a", "w")))
+    state = "v long, label long, part long, phase int, zero long, one long"
+
+    def swept(now: DataFrame, first: int, n: int) -> DataFrame:
+        other = now.select(F.col("v").alias("b"), F.col("phase").alias("phase_b"))
+        return both.join(now, "v").join(other, "b").groupBy("label", "part").applyInPandas(_swept(first, n, seed), state)
+
+    zero = F.lit(0).cast("long")
+    begun = start.select("v", "label", "part", "phase", zero.alias("zero"), zero.alias("one"), "split")
+    out = swept(begun.where("NOT split").drop("split"), 0, sweeps)
+    large = begun.where("split").drop("split")
+    if not large.isEmpty():
+        for first in range(0, sweeps, EXCHANGE):
+            large = keep(swept(large, first, min(EXCHANGE, sweeps - first)))
+        out = out.union(large)
+    freq = F.greatest("zero", "one") / F.lit(sweeps)
+    return out.select("v", "label", F.when(freq < delta, -1).otherwise((F.col("one") > F.col("zero")).cast("int")).alias("phase"), freq.alias("freq"))

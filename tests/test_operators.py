@@ -118,6 +118,16 @@ def test_phasing_separates_reads(spark):
     assert {got[0], got[1]} == {0, 1} and all(got[v] == got[v % 2] for v in range(16))
 
 
+def test_phasing_in_parts(spark):
+    """Parts of a component that exchange their phases find the same two groups, and a part is never larger than asked."""
+    import itertools
+
+    edges = spark.createDataFrame([(a, b, 900 if a % 2 == b % 2 else 1) for a, b in itertools.combinations(range(16), 2)] + [(100, 101, 900)], "a long, b long, w long")
+    got = {r.v: (r.phase, r.freq) for r in P.anneal(edges, sweeps=1500, delta=0.0, part_size=6).collect()}
+    assert set(got) == {*range(16), 100, 101} and all(0.5 <= f <= 1 for _, f in got.values())
+    assert all(got[v][0] == got[v % 2][0] for v in range(16)) and got[0][0] != got[1][0]
+
+
 def test_phasing_query_has_the_defaults(spark, monkeypatch):
     import inspect
 
