@@ -27,25 +27,26 @@ def chunk_pattern(least: int = CHUNK_MIN, most: int = CHUNK_MAX, boundary: str =
     return rf"(?s).{{{least},{most - 1}}}?(?:(?<={boundary})|\z)|.{{1,{most}}}"
 
 
-def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = CHUNK_MIN, most: int = CHUNK_MAX) -> DataFrame:
-    """(id, recipe, text_sha256): the ordered verified identifiers of each row's chunks."""
+def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = CHUNK_MIN, most: int = CHUNK_MAX, digest_bits: int = 256) -> DataFrame:
+    """(id, recipe, text_sha256): the ordered verified identifiers of each row's chunks. Fewer bits of a digest (a multiple of 8) are for tests."""
     text = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body"))
     chunks = F.regexp_extract_all("body", F.lit(chunk_pattern(least, most)), F.lit(0))
-    digest = lambda c: F.unhex(F.sha2(c, 256))
+    digest = lambda c: F.unhex(F.sha2(c, 256) if digest_bits == 256 else F.substring(F.sha2(c, 256), 1, digest_bits // 4))
     moved = text.select(F.explode(chunks).alias("chunk")).select(digest(F.col("chunk")).alias("digest"), "chunk").distinct()
     shared = materialize(moved.groupBy("digest").count().where("count > 1").select("digest"), "chunk-collisions")
     own = text.select("id", F.transform(chunks, digest).alias("recipe"), F.sha2("body", 256).alias("text_sha256"), "body")
     if shared.isEmpty():
         return own.drop("body")
     # one digest, several contents: those contents stand for themselves
-    hit = own.select("id", "text_sha256", F.explode("recipe").alias("digest")).join(shared, "digest", "left_semi").select("id", "text_sha256").distinct().withColumn("hit", F.lit(True))
+    hit = own.select(F.col("id").alias("hit_id"), F.col("text_sha256").alias("hit_sha"), F.explode("recipe").alias("digest")).join(shared, "digest", "left_semi").select("hit_id", "hit_sha").distinct().withColumn("hit", F.lit(True))
     spelt = F.transform(chunks, lambda c: F.encode(c, "UTF-8"))
-    return own.join(hit, own.id.eqNullSafe(hit.id) & (own.text_sha256 == hit.text_sha256), "left").select(own.id, F.when(F.col("hit"), spelt).otherwise(F.col("recipe")).alias("recipe"), own.text_sha256)
+    met = own.join(hit, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_sha256") == F.col("hit_sha")), "left")
+    return met.select("id", F.when(F.col("hit"), spelt).otherwise(F.col("recipe")).alias("recipe"), "text_sha256")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = CHUNK_MIN, most: int = CHUNK_MAX) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = CHUNK_MIN, most: int = CHUNK_MAX, digest_bits: int = 256) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256, n_chunks) of every row; of equal texts the largest id stays."""
-    rows = recipes(docs, id_col, text_col, least, most)
+    rows = recipes(docs, id_col, text_col, least, most, digest_bits)
     groups = rows.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     # A group of many copies is a hot key; joined on one more key, both sides are shuffled for the join alone, and Spark may split it.
     keyed = lambda d: d.withColumn("list_hash", F.xxhash64("recipe"))

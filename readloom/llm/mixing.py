@@ -135,19 +135,19 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
-def _oracle() -> str:
+def oracle(share: tuple[int, int] = SHARE, epochs: int = EPOCHS) -> str:
     """Plain windows over whole leaves, in place of ranges of keys."""
     case = lambda c: "CASE " + " ".join(f"WHEN {c} = '{k}' THEN {v}" for k, v in WEIGHTS[c].items()) + " ELSE 1 END" if c in WEIGHTS else "1"
     sql = f"""WITH d AS (SELECT doc_id, 'd' || CAST(coalesce(TRY_CAST(regexp_extract(source, '^src([0-9]{{1,9}})$', 1) AS INT) % 4, 0) AS VARCHAR) AS domain,
   coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS tokens FROM documents),
 leaf AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens FROM d GROUP BY ALL),
-g0 AS (SELECT least(CAST(sum(tokens) AS BIGINT) * {SHARE[0]} // {SHARE[1]}, CAST(sum(tokens) AS BIGINT) * {EPOCHS}) AS given FROM leaf)"""
+g0 AS (SELECT least(CAST(sum(tokens) AS BIGINT) * {share[0]} // {share[1]}, CAST(sum(tokens) AS BIGINT) * {epochs}) AS given FROM leaf)"""
     at: list[str] = []
     for i, level in enumerate(LEVELS):
         cols, part = ", ".join([*at, level]), "PARTITION BY " + ", ".join(at) if at else ""
         part_full = "PARTITION BY " + ", ".join([*at, "is_full"])
         sql += f""",
-n{i} AS (SELECT {cols}, CAST(sum(tokens) * {EPOCHS} AS BIGINT) AS cap, {case(level)} AS weight FROM leaf GROUP BY {cols}),
+n{i} AS (SELECT {cols}, CAST(sum(tokens) * {epochs} AS BIGINT) AS cap, {case(level)} AS weight FROM leaf GROUP BY {cols}),
 a{i} AS (SELECT *, coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior,
   sum(weight) OVER ({part}) - coalesce(sum(weight) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
   FROM n{i} {"JOIN g" + str(i) + " USING (" + ", ".join(at) + ")" if at else ", g0"} WINDOW w AS ({part} ORDER BY CAST(cap AS DOUBLE) / weight, {level})),
@@ -165,4 +165,4 @@ SELECT doc_id, domain, lang, source, tokens, CAST(epoch + CASE WHEN until <= giv
   epoch + CASE WHEN until <= given - epoch * leaf_tokens THEN 1 ELSE 0 END > 0 AS kept FROM s"""
 
 
-ORACLE = _oracle()
+ORACLE = oracle()

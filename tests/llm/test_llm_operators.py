@@ -41,8 +41,10 @@ def table(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-def test_exact_dedup(docs, none):
-    got = exact_dedup.exact_dedup(docs, least=16, most=64).drop("n_chunks")
+@pytest.mark.parametrize("bits", [256, 8])
+def test_exact_dedup(docs, none, bits):
+    """With digests of eight bits, which many chunks share, too."""
+    got = exact_dedup.exact_dedup(docs, least=16, most=64, digest_bits=bits).drop("n_chunks")
     groups = {}
     for r in rows():
         groups.setdefault(r[1] or "", []).append(r[0])
@@ -78,6 +80,39 @@ def test_sharding(docs, none):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == 4
 
 
+def test_sharding_by_brute_force(docs):
+    """Every row's shard: groups by digest, those over an even share of what is left alone, the others cut at the least capacity that is enough."""
+    n, groups = 4, {}
+    for r in rows():
+        groups.setdefault(hashlib.sha256((r[1] or "").encode()).digest(), []).append(r[0])
+    size = {g: 0 for g in groups}
+    for r in rows():
+        size[hashlib.sha256((r[1] or "").encode()).digest()] += len((r[1] or "").encode()) + 8
+    alone, left = [], sum(size.values())
+    for g in sorted(groups, key=lambda g: (-size[g], g)):
+        if len(alone) < n - 1 and size[g] * (n - len(alone)) > left:
+            alone.append(g)
+            left -= size[g]
+        else:
+            break
+
+    def cuts(capacity):
+        shard, room, out = 0, capacity, {}
+        for g in sorted(groups):
+            if g not in alone:
+                if size[g] > room:
+                    shard, room = shard + 1, capacity
+                room -= size[g]
+                out[g] = shard
+        return out
+
+    rest = [size[g] for g in groups if g not in alone]
+    best = next(c for c in range(max(rest), sum(rest) + 1) if max(cuts(c).values()) < n - len(alone))
+    want = cuts(best) | {g: n - 1 - i for i, g in enumerate(alone)}
+    got = {(r.id, r.text_crc32): r.shard for r in sharding.shard_documents(docs, n, salts=4, buckets=8, resolution=8).collect()}
+    assert got == {(r[0], zlib.crc32((r[1] or "").encode())): want[hashlib.sha256((r[1] or "").encode()).digest()] for r in rows()}
+
+
 def test_minimax():
     r = random.Random(5)
     for _ in range(50):
@@ -330,6 +365,19 @@ def test_suffix_dedup(docs, none, hot, bits):
     assert suffix_dedup.suffix_dedup(none).count() == 0
 
 
+def test_long_texts_in_blocks(monkeypatch):
+    """Texts longer than a block have the same shingles and anchors as in one block."""
+    r = random.Random(6)
+    text = " ".join("".join(r.choice("abcé") for _ in range(r.randint(1, 9))) + r.choice(["", "", "\n", " \t"]) for _ in range(4000))
+    whole, places = jaccard_join.shingles([text, None, "a b", text])[0], suffix_dedup.anchors(np.frombuffer(text.encode(), np.uint8))
+    monkeypatch.setattr(jaccard_join, "BLOCK", 100)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 1000)
+    monkeypatch.setattr(jaccard_join, "_powers", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    assert (jaccard_join.shingles([text])[0] == whole).all() and len(whole) > 3000
+    again = suffix_dedup.anchors(np.frombuffer(text.encode(), np.uint8))
+    assert (np.repeat(places[0], places[2]) == np.repeat(again[0], again[2])).all() and places[2].sum() == len(text.encode()) - 199
+
+
 def test_merged_transforms():
     r = random.Random(2)
     parts = [bytes(r.choice(b"ab") for _ in range(300)) for _ in range(12)]
@@ -440,14 +488,44 @@ def test_urls(spark):
 
 
 def test_pipeline(spark):
+    """All stages against plain Python, DuckDB for the mixture and the library for the ids."""
     import corpus_pipeline
+    import duckdb
+    import pyarrow as pa
+    from tokenizers import Tokenizer
 
     docs = documents(spark, SF)
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = materialize(stage(spark, docs, SF), name)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-    kept = {r.doc_id: r.text for r in docs.collect()}
-    assert len(set(kept.values())) == len(kept) > 0
-    assert all(quality.first_rejection(quality.Text(t), quality.RULES) is None for t in kept.values())
-    out = corpus_pipeline.run(spark, SF).collect()
-    assert {r.doc_id: r.decoded_sha256 for r in out} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in kept.items()}
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    assert docs.columns == names
+    left = [tuple(r) for r in docs.collect()]
+    left = [r for r in left if quality.first_rejection(quality.Text(r[1]), quality.RULES) is None]
+    last = {}
+    for r in left:
+        last[r[1] or ""] = max(r[0], last.get(r[1] or "", -1))
+    left = [r for r in left if last[r[1] or ""] == r[0]]
+    component = component_ids([r[0] for r in left], *linked([r[1] or "" for r in left]))
+    left = [r for r, (i, _, c) in zip(left, component, strict=True) if i == c]
+    con = duckdb.connect()
+    con.register("documents", pa.table({n: [r[k] for r in left] for k, n in enumerate(names)}))
+    kept = {i for i, k in con.execute(f"SELECT doc_id, kept FROM ({mixing.oracle(**corpus_pipeline.MIX)})").fetchall() if k}
+    left = [r for r in left if r[0] in kept]
+    tok = Tokenizer.from_file(token_files.vocabulary("byte_bpe_50k.json"))
+    want = []
+    for r in left:
+        ids = tok.encode(r[1] or "", add_special_tokens=False).ids
+        want.append((r[0], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert table(corpus_pipeline.run(spark, SF)) == sorted(want, key=repr) and len(want) > 20
+
+
+def test_pipeline_stages_alone(spark):
+    """Every stage on no rows, and on rows with nulls, repeats and further columns, returns the columns that it was given."""
+    import corpus_pipeline
+
+    given = "doc_id long, text string, lang string, source string, n_chars long, copies long, epoch string"
+    some = [(1, "a b c", "en", "src1", 5, 1, "x"), (1, "a b c", "en", "src1", 5, 1, "x"), (None, None, None, None, None, None, None), (2, "", "de", "other", 0, 2, "y"), (3, "w" * 5000, None, "src2", 5000, 3, None)]
+    for rows_ in ([], some):
+        docs = spark.createDataFrame(rows_, given)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns and out.count() <= len(rows_)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows_)
