@@ -9,7 +9,7 @@ def _ops() -> dict:
     return {
         "op1_quality_rules": (quality.op1_quality_rules, quality.ORACLE),
         "op2_exact_dedup": (exact_dedup.op2_exact_dedup, exact_dedup.ORACLE),
-        "op3_sharding": (sharding.op3_sharding, None),
+        "op3_sharding": (sharding.op3_sharding, sharding.ORACLE),
         "op4_pii": (pii.op4_pii, None),
         "op5_token_files": (token_files.op5_token_files, None),
         "op6_suffix_dedup": (suffix_dedup.op6_suffix_dedup, suffix_dedup.ORACLE),

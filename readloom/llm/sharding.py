@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from readloom.llm.common import documents, materialize, text_or_empty
 
-#: Pieces that a group is dealt in, so that no task holds all copies of a text.
+#: Pieces that a group is dealt in by the ids' hashes (256 at most), so that no task holds all copies of a text.
 SALTS = 256
 
 
@@ -106,7 +106,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     body = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body"))
     rows = body.select(
         "id", (F.octet_length("body") + F.lit(overhead)).cast("long").alias("size"), F.crc32(F.encode("body", "UTF-8")).alias("text_crc32"),
-        F.unhex(F.sha2("body", 256)).alias("gid"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"),
+        F.unhex(F.sha2("body", 256)).alias("gid"), F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), 1, 2), 16, 10).cast("int"), F.lit(salts)).alias("salt"),
     )
     bucket = F.pmod(F.conv(F.hex(F.substring("gid", 1, 4)), 16, 10).cast("long"), F.lit(1 << 32)) * buckets / (1 << 32)
     pieces = rows.groupBy("gid", "salt").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).withColumn("bucket", F.floor(bucket).cast("int"))
@@ -174,3 +174,24 @@ def _placed(rows: DataFrame, pieces: DataFrame) -> DataFrame:
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+#: The same for 24 shards, with a fold over whole lists for each candidate capacity and for checksums.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, sha256(coalesce(text, '')) AS gid, octet_length(encode(coalesce(text, ''))) + 8 AS size FROM documents),
+h AS (SELECT list_transform(range(256), lambda c: list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+v AS (SELECT gid, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(b), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INT) + 1])), 4294967295) AS crc FROM (SELECT gid, any_value(b) AS b FROM d GROUP BY gid), h),
+g AS (SELECT gid, CAST(sum(size) AS BIGINT) AS bytes, row_number() OVER (ORDER BY sum(size) DESC, gid) AS r FROM d GROUP BY gid),
+l AS (SELECT *, (SELECT CAST(sum(bytes) AS BIGINT) FROM g) - coalesce(sum(bytes) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_ FROM g),
+alone AS (SELECT gid, r FROM l WHERE r < coalesce((SELECT min(r) FROM l WHERE NOT (r < 24 AND bytes * (25 - r) > left_)), 1 << 40)),
+s AS (SELECT gid, bytes, row_number() OVER (ORDER BY gid) AS k FROM g WHERE gid NOT IN (SELECT gid FROM alone)),
+c AS (SELECT list([0, bytes] ORDER BY k) AS sizes, max(bytes) AS largest, CAST(sum(bytes) AS BIGINT) AS total, 24 - (SELECT count(*) FROM alone) AS n FROM s),
+q AS (SELECT greatest(largest, (total + n - 1) // n) AS lo, greatest(largest, (total + n - 1) // n) + largest AS hi FROM c
+  UNION ALL SELECT CASE WHEN fits THEN lo ELSE mid + 1 END, CASE WHEN fits THEN mid ELSE hi END FROM (SELECT lo, hi, (lo + hi) // 2 AS mid, list_reduce(list_prepend([1, (lo + hi) // 2], sizes), lambda a, x: CASE WHEN x[2] > a[2] THEN [a[1] + 1, (lo + hi) // 2 - x[2]] ELSE [a[1], a[2] - x[2]] END)[1] <= n AS fits FROM q, c WHERE lo < hi)),
+z AS (SELECT min(hi) AS capacity FROM q),
+f AS (SELECT k, gid, 0 AS shard, (SELECT capacity FROM z) - bytes AS room FROM s WHERE k = 1
+  UNION ALL SELECT s.k, s.gid, CASE WHEN s.bytes > room THEN shard + 1 ELSE shard END, CASE WHEN s.bytes > room THEN (SELECT capacity FROM z) ELSE room END - s.bytes FROM f JOIN s ON s.k = f.k + 1),
+w AS (SELECT gid, shard FROM f UNION ALL SELECT gid, 24 - r FROM alone)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY gid, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 2), doc_id NULLS FIRST) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM d JOIN w USING (gid) JOIN v USING (gid)
+"""

@@ -335,4 +335,15 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-ORACLE = None
+#: All windows of 200 bytes, counted by digest; fit for small tables.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT *, octet_length(b) AS n FROM d),
+w AS (SELECT k, i, md5(b[i:i + 199]) AS h FROM (SELECT k, b, unnest(generate_series(1, n - 199)) AS i FROM n WHERE n >= 200)),
+t AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY h) AS times FROM w) WHERE times > 1),
+s AS (SELECT k, i, sum(CASE WHEN i - p <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY i) AS run FROM (SELECT k, i, lag(i) OVER (PARTITION BY k ORDER BY i) AS p FROM t)),
+r AS (SELECT k, min(i) AS a, max(i) + 199 AS z FROM s GROUP BY k, run),
+g AS (SELECT k, a, z, coalesce(lag(z) OVER (PARTITION BY k ORDER BY a), 0) AS before FROM r),
+m AS (SELECT g.k, count(*) AS n_spans, sum(z - a + 1) AS n_removed, list_reduce(list(b[before + 1:a - 1] ORDER BY a), lambda x, y: x || y) || b[max(z) + 1:any_value(n)] AS kept FROM g JOIN n USING (k) GROUP BY g.k, b)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(kept, b)) AS kept_sha256 FROM n LEFT JOIN m USING (k)
+"""
