@@ -6,6 +6,7 @@ import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from readloom import schemas
@@ -193,11 +194,29 @@ def _cut_short(head: str) -> str:
     raise ValueError(f"sequence and qualities differ in length: {head}")
 
 
-def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(name, seq, qual), of multi-line records too; lengths that differ are an error. Files are the unit of work, as a quality line may look like a header."""
+def read_fastq(spark: SparkSession, path: str | list[str], four_lines: bool = False) -> DataFrame:
+    """(name, seq, qual); lengths that differ are an error. Records of any number of lines need whole files, as a quality
+    line may look like a header; records of four lines each, as instruments write them, are read from any part of a file."""
+    if four_lines:
+        return _four_lines(spark, path)
     return spark.read.text(path, wholetext=True).mapInPandas(_fastq_records, schemas.SEQUENCE)
 
 
+def _four_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines are numbered within the splits of a file, and splits by the lines before them."""
+    at = W.partitionBy("file", "split").orderBy("id")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"))
+    lines = lines.withColumn("n", F.row_number().over(at) - 1)
+    before = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)  # a row a split
+    splits = lines.groupBy("file", "split").agg(F.count("*").alias("lines")).withColumn("from", F.coalesce(F.sum("lines").over(before), F.lit(0))).select("file", "split", "from")
+    numbered = lines.join(F.broadcast(splits), ["file", "split"]).withColumn("n", F.col("from") + F.col("n"))
+    line = lambda k: F.max(F.when(F.col("n") % 4 == k, F.rtrim("value")))
+    x = numbered.groupBy("file", F.expr("n div 4").alias("record")).agg(*[line(k).alias(c) for k, c in enumerate(("head", "seq", "plus", "qual"))]).where("NOT (head = '' AND seq IS NULL)")
+    whole = F.expr("head LIKE '@%' AND plus LIKE '+%' AND length(seq) = length(qual)")
+    name = F.when(whole, F.substring_index(F.expr("substring(head, 2)"), " ", 1)).otherwise(F.raise_error(F.concat(F.lit("not a record of four lines: "), F.coalesce("head", F.lit("")))).cast("string"))
+    return x.select(name.alias("name"), "seq", "qual")
+
+
 def read_names(spark: SparkSession, path: str | None, col: str = "name") -> DataFrame | None:
     """Distinct lines; no path means no list."""
     return spark.read.text(path).where(F.trim("value") != "").select(F.trim("value").alias(col)).distinct() if path else None

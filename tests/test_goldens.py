@@ -213,6 +213,23 @@ def test_orientation(spark, tmp_path):
     assert tuple(text.read_fasta(spark, str(tmp_path / "fa")).first()) == ("a", r.seq)
 
 
+def test_four_line_records(spark, tmp_path):
+    """Records of four lines from parts of files, also where a quality line looks like a header."""
+    want = {(f"r{f}_{i}", "ACGT" * (i % 5 + 1), "@II+" * (i % 5 + 1)) for f in range(2) for i in range(300)}
+    for f in range(2):
+        (tmp_path / f"{f}.fastq").write_text("".join(f"@r{f}_{i} x\n{'ACGT' * (i % 5 + 1)}\n+\n{'@II+' * (i % 5 + 1)}\n" for i in range(300)) + "\n" * f)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        x = text.read_fastq(spark, str(tmp_path / "*.fastq"), four_lines=True)
+        assert {tuple(r) for r in x.collect()} == want and x.count() == 600
+        (tmp_path / "bad.fastq").write_text("@a\nAC\n+\nI\n")
+        with pytest.raises(Exception, match="not a record"):
+            text.read_fastq(spark, str(tmp_path / "bad.fastq"), four_lines=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_report_forms(spark):
     d = spark.createDataFrame([("it's", "pre.7.m4", "mv/12/0_9")], "v string, f string, h string")
     c = R.override({"a": "1"}, R.parse_config(F.lit("b=x y;c=it's")))
