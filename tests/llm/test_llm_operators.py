@@ -260,7 +260,7 @@ def test_pii_cards_in_runs():
         assert all(any(a < e2 and a2 < e for a2, e2 in spans) for a, e in want)
 
 
-def test_token_files(spark, docs, none, tmp_path):
+def test_token_files(spark, docs, none, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
     path = token_files.vocabulary("word_bpe_49k.json")
@@ -272,6 +272,10 @@ def test_token_files(spark, docs, none, tmp_path):
     for r in got:
         assert r.tokens == [*tok.encode(texts[r.id], add_special_tokens=False).ids, 2] and (r.start, r.n_tokens) == (at, len(r.tokens))
         at += r.n_tokens
+    # totals in several blocks, and too many to broadcast
+    monkeypatch.setattr(token_files, "FILES_TOGETHER", 1)
+    monkeypatch.setattr(token_files, "BROADCAST_FILES", 0)
+    assert sorted((r.start, r.n_tokens) for r in token_files.read_metadata(spark, str(tmp_path / "t")).collect()) == [(r.start, r.n_tokens) for r in got]
     few = token_files.read_tokens(spark, str(tmp_path / "t"), 5, 7)
     assert sorted(r.id for r in few.collect()) == [5, 6, 7]
     assert "tokens" not in token_files.read_metadata(spark, str(tmp_path / "t")).columns
