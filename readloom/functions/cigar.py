@@ -16,9 +16,11 @@ def total(cigar: Column, ops: str) -> Column:
 
 def end_clips(cigar: Column) -> tuple[Column, Column]:
     """(left, right) of the outermost operation alone: soft is positive, hard negative; a single operation counts left."""
-    signed = lambda p: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(cigar, p, 1), F.lit("")), F.lit("999999999")).cast("long"), F.lit(0)) * F.when(F.regexp_extract(cigar, p, 2) == "H", -1).otherwise(1)
-    many = F.regexp_count(cigar, F.lit(r"\d+[A-Z=]")) > 1
-    return signed(r"^(\d+)([SH])"), F.when(many, signed(r"(\d+)([SH])$")).otherwise(0)
+    lead = F.regexp_extract(cigar, r"^\d+[SH]", 0)
+    more = F.right(cigar, F.lit(1)).isin("S", "H") & (F.length(lead) < F.length(cigar))
+    tail = F.when(more, F.regexp_extract(cigar, r"\d+[SH]$", 0)).otherwise("")
+    signed = lambda x: F.when(x == "", 0).otherwise(F.coalesce(F.left(x, F.length(x) - 1).try_cast("long") * F.when(F.right(x, F.lit(1)) == "H", -1).otherwise(1), F.lit(0)))
+    return signed(lead), signed(tail)
 
 
 def all_clips(cigar: Column) -> tuple[Column, Column]:

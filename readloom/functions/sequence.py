@@ -88,8 +88,8 @@ def least_skew(df: DataFrame, key: str, seq: str, window: int, step: int, allowe
     return low.join(allowed.select(key).withColumn("ok", F.lit(True)), key, "left").select(key, F.when(F.col("ok"), F.col("shift")).otherwise(0).alias("shift"))
 
 
-def _runs(codes: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """Stretches that k-mers are read from: another letter than ACGT ends one, and the k letters after it are passed over, whatever they are."""
+def _starts(codes: np.ndarray, k: int) -> np.ndarray:
+    """Places where a k-mer is read: another letter than ACGT ends a stretch of them, and the k letters after it are passed over, whatever they are."""
     others, runs, at = np.flatnonzero(codes > 3).tolist(), [], 0
     n = 0
     while n < len(others):
@@ -97,7 +97,9 @@ def _runs(codes: np.ndarray, k: int) -> list[tuple[int, int]]:
         at = others[n] + k + 1
         n = bisect.bisect_left(others, at, n)
     runs.append((at, len(codes)))
-    return [r for r in runs if r[1] - r[0] >= k]
+    first, stop = np.array(runs, np.int64).T
+    size = np.maximum(stop - first - k + 1, 0)
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 def _packed(codes: np.ndarray, k: int, reverse: bool) -> np.ndarray:
@@ -136,15 +138,17 @@ def kmers(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
             for i, text in enumerate(batch.column(1)):
                 letters = _letters(text.as_py() or "")
                 codes = code[np.minimum(letters, 127)]
-                for a, b in _runs(codes, k):
-                    for at in range(a, b - k + 1, PIECE):
-                        part = codes[at : min(b, at + PIECE + k - 1)]
-                        both = np.stack((_packed(part, k, False), _packed(part, k, True)), 1)
-                        held.append((i, np.arange(at, at + len(both)), both.ravel()))
+                starts = _starts(codes, k)
+                for at in range(0, len(codes) - k + 1, PIECE):
+                    part = codes[at : at + PIECE + k - 1] & 3
+                    here = starts[slice(*np.searchsorted(starts, (at, at + PIECE)))]
+                    if len(here):
+                        both = np.stack((_packed(part, k, False)[here - at], _packed(part, k, True)[here - at]), 1)
+                        held.append((i, here, both.ravel()))
                         n += both.size
-                        if n > PIECE:
-                            yield table()
-                            held, n = [], 0
+                    if n > PIECE:
+                        yield table()
+                        held, n = [], 0
             if held:
                 yield table()
 
