@@ -27,7 +27,7 @@ def revcomp(seq: Column, fix_t: bool = False) -> Column:
 
 def base_count(seq: Column, bases: str) -> Column:
     """Number of these letters in either case: a sum over single letters, which Spark counts once however often they are asked for."""
-    one = lambda b: F.length(seq) - F.length(F.translate(seq, b.upper() + b.lower(), ""))
+    one = lambda b: F.length(seq) - F.length(F.replace(F.replace(seq, F.lit(b.upper()), F.lit("")), F.lit(b.lower()), F.lit("")))
     return reduce(add, map(one, bases))
 
 
