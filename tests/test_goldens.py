@@ -142,6 +142,22 @@ def test_kmers_after_runs_of_other_letters(spark):
         S.kmers(words, "key", "seq", 32)
 
 
+def test_kmers_of_a_long_text(spark):
+    """A text longer than what is looked at together has the same k-mers, none twice."""
+    import random
+
+    r = random.Random(3)
+    s = "".join(r.choice("ACGTACGTACGTN" if i % 900 < 20 else "ACGT") for i in range(2 * S.PIECE + 777))
+    want, run, i = [], 0, 0
+    while i < len(s):
+        run = run + 1 if s[i] != "N" else 0
+        if run >= 7:
+            want.append(i - 6)
+        i += 1 if s[i] != "N" else 8
+    got = S.kmers(spark.createDataFrame([(1, s)], "key int, seq string"), "key", "seq", 7).where("strand = 'fwd'").select("pos", S.kmer_text(F.col("kmer"), 7).alias("w")).toPandas()
+    assert sorted(got["pos"]) == want and all(s[p : p + 7] == w for p, w in zip(got["pos"][::997], got["w"][::997], strict=True))
+
+
 def test_splits(spark):
     #: Shards, weights and rows in each shard.
     cases = [(1, [42], [1]), (2, [42, 2], [1, 1]), (3, [1, 1, 1, 1], [2, 1, 1]), (3, [1, 1], [1, 1]), (3, [1, 2, 3, 4], [3, 1]), (4, [1, 2, 3, 4], [2, 1, 1]), (4, [4, 3, 2, 1], [1, 1, 1, 1]), (3, [4, 3, 2, 1], [1, 1, 2]), (4, [4191650, 4009608, 4154778, 4096102], [1, 2, 1])]
