@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _ops() -> dict:
-    from readloom.llm import bpe, exact_dedup, jaccard_join, mixing, pii, quality, sharding, suffix_dedup, token_files, url_filter
+    from readloom.llm import bpe, exact_dedup, jaccard_join, mixing, pii, prefix_trie, quality, sharding, suffix_dedup, token_files, url_filter
 
     return {
         "op1_quality_rules": (quality.op1_quality_rules, quality.ORACLE),
@@ -17,6 +17,7 @@ def _ops() -> dict:
         "op8_mixing": (mixing.op8_mixing, mixing.ORACLE),
         "op9_url_filter": (url_filter.op9_url_filter, url_filter.ORACLE),
         "op10_bpe": (bpe.op10_bpe, None),
+        "op11_prefix_trie": (prefix_trie.op11_prefix_trie, prefix_trie.ORACLE),
     }
 
 
