@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _ops() -> dict:
-    from readloom.llm import bpe, exact_dedup, jaccard_join, mixing, pii, prefix_trie, quality, sharding, source_audit, suffix_dedup, token_files, url_filter
+    from readloom.llm import bpe, exact_dedup, jaccard_join, language_id, mixing, pii, prefix_trie, quality, sharding, source_audit, suffix_dedup, token_files, url_filter
 
     return {
         "op1_quality_rules": (quality.op1_quality_rules, quality.ORACLE),
@@ -19,6 +19,7 @@ def _ops() -> dict:
         "op10_bpe": (bpe.op10_bpe, None),
         "op11_prefix_trie": (prefix_trie.op11_prefix_trie, prefix_trie.ORACLE),
         "op12_source_audit": (source_audit.op12_source_audit, source_audit.ORACLE),
+        "op13_language_id": (language_id.op13_language_id, None),
     }
 
 
