@@ -57,7 +57,7 @@ def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", tex
         def rows() -> Iterator[pa.RecordBatch]:
             for (one_lang, one_source), (n, of_docs) in held.items():
                 terms = [t.decode("utf-8", "replace") for t in n]
-                columns = [pa.array([one_lang] * len(terms)), pa.array([one_source] * len(terms)), pa.array(terms, pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([of_docs[t] for t in n], pa.int64())]
+                columns = [*[pa.array(x, pa.string()) for x in ([one_lang] * len(terms), [one_source] * len(terms), terms)], pa.array(list(n.values()), pa.int64()), pa.array([of_docs[t] for t in n], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
             held.clear()
 
