@@ -48,7 +48,7 @@ FAMILIES = {
     "sinitic": "zh yue",
 }
 #: Bounds of the sample and of the model: texts of a language, languages, texts of a family's machine.
-PER_LANG, MAX_LANGS, FAMILY_ROWS = 600, 100, 3000
+PER_LANG, MAX_LANGS, FAMILY_ROWS, SPARE = 600, 100, 3000, 4
 DIMENSIONS = 1 << 13
 #: Rounds of a machine over its texts, and how much an error may cost.
 ROUNDS, COST = 15, 1.0
@@ -143,9 +143,13 @@ class Model(NamedTuple):
 def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, max_langs: int) -> tuple[list[str], DataFrame]:
     """(languages, (lang, nth, places, values) of per_lang texts of each at most, as a written table)."""
     learn = docs.where((F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) != 2) & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("body"))
-    langs = [r.lang for r in learn.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(max_langs).collect()]
-    order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = learn.select("id", "lang").where(F.col("lang").isin(langs)).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_lang).select("id", "lang").distinct()
+    counts = learn.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(max_langs).collect()
+    langs = [r["lang"] for r in counts]
+    # the least hashes are among those below a cutoff that some SPARE times as many rows pass; so few rows are ranked
+    cutoffs = docs.sparkSession.createDataFrame([(r["lang"], min(1 << 31, (SPARE * per_lang << 31) // r["count"])) for r in counts], "lang string, cutoff long")
+    place = F.shiftrightunsigned(F.xxhash64("id"), 33)
+    order = W.partitionBy("lang").orderBy(place, "id")
+    chosen = learn.select("id", "lang").join(F.broadcast(cutoffs), "lang").where(place < F.col("cutoff")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_lang).select("id", "lang").distinct()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
