@@ -7,9 +7,11 @@ range gives what came before it. No task sorts more than its range.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Mapping
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,14 +19,44 @@ from pyspark.sql import functions as F
 PART = "_part"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one in local mode, else an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """df as a Parquet table in the shared folder: what it was made from isn't computed again, and Spark knows its size."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[table] = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables of written() that nothing reads any more."""
+    for table in tables:
+        path = _written.pop(table, None)
+        if path:
+            spark = table.sparkSession
+            name = spark._jvm.org.apache.hadoop.fs.Path(path)
+            name.getFileSystem(spark._jsc.hadoopConfiguration()).delete(name, True)
+
+
 def keep(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder of spark.checkpoint.dir; where that is unset, in a temporary one in local mode, else an error."""
+    """df checkpointed in the shared folder, its partitions and their order as they are; spark.cleaner.referenceTracking.cleanCheckpoints has Spark remove it."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

@@ -99,7 +99,12 @@ def write_phases(phased: DataFrame, path: str) -> None:
 
 
 def read_paf(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.text(path).where(F.trim("value") != "").select(F.split("value", "\t").alias("p")).select(*_typed("p", schemas.PAF, 12))
+    return paf_lines(spark.read.text(path))
+
+
+def paf_lines(lines: DataFrame) -> DataFrame:
+    """lines: value. Their columns; empty lines are skipped."""
+    return lines.where(F.trim("value") != "").select(F.split("value", "\t").alias("p")).select(*_typed("p", schemas.PAF, 12))
 
 
 def write_paf(paf: DataFrame, path: str) -> None:
