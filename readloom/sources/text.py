@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from readloom import schemas
 from readloom.functions.sequence import wrap
 from readloom.operators.overlaps import overlap_text
+from readloom.sources.fastq import read_any_fastq
 
 
 def _fields(schema: str) -> list[tuple[str, str]]:
@@ -199,12 +200,15 @@ def _cut_short(head: str) -> str:
     raise ValueError(f"sequence and qualities differ in length: {head}")
 
 
-def read_fastq(spark: SparkSession, path: str | list[str], four_lines: bool = False) -> DataFrame:
-    """(name, seq, qual); lengths that differ are an error. Records of any number of lines need whole files, as a quality
-    line may look like a header; records of four lines each, as instruments write them, are read from any part of a file."""
+def read_fastq(spark: SparkSession, path: str | list[str], four_lines: bool = False, whole_files: bool = False) -> DataFrame:
+    """(name, seq, qual); lengths that differ are an error. Records of any number of lines are read from any part of a file
+    (readloom.sources.fastq); records of four lines each, as instruments write them, with less work; compressed or small
+    files also whole."""
     if four_lines:
         return _four_lines(spark, path)
-    return spark.read.text(path, wholetext=True).mapInPandas(_fastq_records, schemas.SEQUENCE)
+    if whole_files:
+        return spark.read.text(path, wholetext=True).mapInPandas(_fastq_records, schemas.SEQUENCE)
+    return read_any_fastq(spark, path)
 
 
 def _four_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
