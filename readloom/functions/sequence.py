@@ -203,12 +203,6 @@ def kmer_text(kmer: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(kmer.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
-def shared_kmers(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(key_a, key_b, n): distinct k-mers in common."""
-    x = a.select(F.col("key").alias("key_a"), "kmer").distinct().join(b.select(F.col("key").alias("key_b"), "kmer").distinct(), "kmer")
-    return x.groupBy("key_a", "key_b").agg(F.count("*").alias("n"))
-
-
 def kmer_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Seeds of a whose k-mer isn't in b, as often as they come."""
     return a.join(b.select("kmer").distinct(), "kmer", "left_anti")
