@@ -168,8 +168,8 @@ def _moved(name: str, how: str) -> Column:
     return F.concat(F.col(name).cast("string"), F.lit(f" {how}:-"), F.col("shift"), F.lit("/"), F.length("s")).alias("header")
 
 
-def least_skew_shift(seq: Column, window: int, step: int) -> Column:
-    """The first place of the least running skew of a sequence longer than the window; shorter ones are an error. A sequence doesn't move for it."""
+def least_skew_shift(seq: Column, window: int, step: int, short: bool = False) -> Column:
+    """The first place of the least running skew of a sequence longer than the window; others, and null, are an error, or if short is set their shift is 0. A sequence doesn't move for it."""
 
     @F.pandas_udf("int")
     def shift(texts):  # noqa: ANN001, ANN202
@@ -182,15 +182,17 @@ def least_skew_shift(seq: Column, window: int, step: int) -> Column:
 
         return texts.map(least)
 
+    if short:
+        return F.when(F.length(seq) > window, shift(F.when(F.length(seq) > window, seq).otherwise(F.lit("A" * (window + 1))))).otherwise(0)
     long_enough = F.when(F.length(seq) > window, seq).otherwise(F.raise_error(F.lit("a sequence isn't longer than the window")).cast("string"))
     return shift(long_enough)
 
 
-def reoriented(df: DataFrame, name: str, seq: str, window: int = 500, step: int = 200, allowed: DataFrame | None = None, qual: str | None = None) -> DataFrame:
-    """(name, header, seq[, qual]): each sequence, and its qualities, from the place of its least running skew on; with allowed (name), only those."""
+def reoriented(df: DataFrame, name: str, seq: str, window: int = 500, step: int = 200, allowed: DataFrame | None = None, qual: str | None = None, short: bool = False) -> DataFrame:
+    """(name, header, seq[, qual]): each sequence, and its qualities, from the place of its least running skew on; with allowed (name), only those. Sequences that aren't longer than the window are an error; if short is set they stay as they are."""
     ship(df.sparkSession)
     x = df.select(name, F.col(seq).alias("s"), *([F.col(qual).alias("q")] if qual else []))
-    shift = least_skew_shift(F.col("s"), window, step)
+    shift = least_skew_shift(F.col("s"), window, step, short)
     if allowed is not None:
         x = x.join(allowed.select(name).distinct().withColumn("ok", F.lit(True)), name, "left")
         shift = F.when(F.col("ok"), shift).otherwise(0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,16 +18,17 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width: int
 
 
 def subtract(rows: DataFrame, masks: DataFrame, width: int = 10_000, merged: bool = False) -> DataFrame:
-    """(id, seq, start, end): what masks leave of rows, 1-based and inclusive; rows of a sequence without masks are dropped.
+    """(id, seq, start, end): what masks leave of rows, 1-based and inclusive; rows of a sequence without masks are dropped. Rows that repeat are rows of their own.
 
     Each gap is taken from the previous mask's end, so a mask within another exposes bases again; merged uses the furthest end so far.
     """
     bins = lambda a, b: F.explode(F.expr(f"sequence({a} div {width}, {b} div {width})")).alias("bin")
     m = masks.where("start <= end").select("seq", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     m = m.select("*", bins("r_start", "r_end"))
-    x = rows.join(masks.select("seq").distinct(), "seq", "left_semi").select("id", "seq", "start", "end").where("start <= end").select("*", bins("start", "end")).alias("x")
+    x = rows.join(masks.select("seq").distinct(), "seq", "left_semi").select("id", "seq", "start", "end").where("start <= end")
+    x = x.groupBy("id", "seq", "start", "end").agg(F.count("*").alias("times")).select("*", bins("start", "end")).alias("x")
     meets = F.expr(f"x.seq = m.seq AND x.bin = m.bin AND start <= r_end AND r_start <= end AND x.bin = greatest(start, r_start) div {width}")
-    hit = x.join(m.alias("m"), meets, "left").select("id", "x.seq", "start", "end", "r_start", "r_end")  # a row without a mask in each bin that has none
+    hit = x.join(m.alias("m"), meets, "left").select("id", "x.seq", "start", "end", "times", "r_start", "r_end")  # a row without a mask in each bin that has none
     whole = W.partitionBy("id", "seq", "start", "end")
     order = whole.orderBy(F.asc_nulls_first("r_start"), "r_end")
     before = F.max("r_end").over(order.rowsBetween(W.unboundedPreceding, -1)) if merged else F.lag("r_end").over(order)
@@ -35,9 +36,35 @@ def subtract(rows: DataFrame, masks: DataFrame, width: int = 10_000, merged: boo
     gaps = F.expr("""filter(array(if(r_start IS NOT NULL, struct(from AS start, r_start - 1 AS end), NULL),
       if(last AND r_start IS NOT NULL, struct(greatest(reach + 1, start) AS start, end AS end), NULL),
       if(first AND last AND r_start IS NULL, struct(start AS start, end AS end), NULL)), g -> g.start <= g.end)""")
-    return at.select("id", "seq", F.inline(gaps))
+    found = at.select("id", "seq", "times", F.inline(gaps))
+    return found.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times")
 
 
 def span_summary(rows: DataFrame, span: Column) -> DataFrame:
     """rows: seq, cov_min, cov_max, cov_mean. (seq, cov_mean, cov_min, cov_max): the mean is weighted by span."""
     return rows.withColumn("span", span).groupBy("seq").agg(F.expr("try_divide(sum(cov_mean * span), sum(span))").alias("cov_mean"), F.min("cov_min").alias("cov_min"), F.max("cov_max").alias("cov_max"))
+
+
+def gff_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, value): lines of a GFF file with their place: file, split, and order in the split."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+
+
+#: Order of the lines that subtract_lines() gives.
+LINE_ORDER = ["section", "seq", "file", "block", "at", "start"]
+
+
+def subtract_lines(lines: DataFrame, masks: DataFrame, mask_name: str, width: int = 10_000) -> DataFrame:
+    """(LINE_ORDER, value): lines (of gff_lines()) after subtraction: their ## lines, the mask's name, an empty line, then what masks (seq, start, end) leave, by sequence and in the order of the lines."""
+    none = [F.lit("").alias("seq"), F.lit(0).cast("long").alias("start")]
+    heads = lines.where(F.col("value").startswith("##")).select(F.lit(0).alias("section"), none[0], "file", "block", "at", none[1], "value")
+    said = lines.sparkSession.createDataFrame([(0, f"##mask {mask_name}"), (1, "")], "at long, value string")
+    said = said.select(F.lit(1).alias("section"), none[0], F.lit("").alias("file"), F.lit(0).cast("long").alias("block"), "at", none[1], "value")
+    body = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    parts = F.when(F.size(F.split("value", "\t")) >= 9, F.split("value", "\t")).otherwise(F.split("value", " +"))
+    cut = body.select(F.struct("file", "block", "at", parts.alias("p")).alias("id"))
+    number = lambda k: F.col("id.p")[k].cast("long")
+    cut = subtract(cut.select("id", F.col("id.p")[0].alias("seq"), number(3).alias("start"), number(4).alias("end")), masks, width)
+    text = F.concat_ws("\t", F.slice("id.p", 1, 3), F.col("start").cast("string"), F.col("end").cast("string"), F.expr("slice(id.p, 6, size(id.p) - 5)"))
+    rest = cut.select(F.lit(2).alias("section"), "seq", "id.file", "id.block", "id.at", "start", text.alias("value"))
+    return heads.unionByName(said).unionByName(rest)

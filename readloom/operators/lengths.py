@@ -39,7 +39,7 @@ def length_stats(df: DataFrame, col: str) -> DataFrame:
     """One row: number, total, mean, min, max, median (nearest rank), E-size; zeros if empty."""
     z = lambda x, t: F.coalesce(x, F.lit(0)).cast(t)
     n = F.col(col).cast("long")
-    one = df.agg(F.count(col).alias("number"), z(F.sum(n), "long").alias("total"), z(F.avg(n), "double").alias("mean"), z(F.min(n), "long").alias("min"), z(F.max(n), "long").alias("max"), z(F.expr(f"try_divide(sum(CAST({col} AS BIGINT) * {col}), sum({col}))"), "double").alias("esize"))
+    one = df.agg(F.count(col).alias("number"), z(F.sum(n), "long").alias("total"), z(F.avg(n), "double").alias("mean"), z(F.min(n), "long").alias("min"), z(F.max(n), "long").alias("max"), z(F.expr(f"try_divide(CAST(sum(CAST({col} AS DECIMAL(19, 0)) * CAST({col} AS DECIMAL(19, 0))) AS DOUBLE), sum(CAST({col} AS BIGINT)))"), "double").alias("esize"))
     return one.crossJoin(percentile_desc(df, col, 0.5).select(z(F.col("value"), "long").alias("median")))
 
 
@@ -63,7 +63,7 @@ def length_report(df: DataFrame, col: str, percents: Sequence[int] = (50, 95)) -
     reached = lambda p: F.when(F.expr(f"100 * upto >= {p} * total"), F.struct("len", (F.expr("rank - n") + F.greatest(F.lit(1), F.ceil((p * F.col("total") / 100 - F.expr("upto - len * n")) / F.col("len")))).cast("long").alias("l")))
     one = x.agg(
         F.max("number").alias("number"), F.max("total").alias("total"), F.expr("try_divide(CAST(max(total) AS DOUBLE), max(number))").alias("mean"), at(0.5).alias("median"), at(0.95).alias("p95"),
-        F.min("len").alias("min"), F.max("len").alias("max"), F.expr("try_divide(CAST(sum(len * len * n) AS DOUBLE), max(total))").alias("esize"), *[F.max(reached(p)).alias(f"r{p}") for p in percents],
+        F.min("len").alias("min"), F.max("len").alias("max"), F.expr("try_divide(CAST(sum(CAST(len AS DECIMAL(19, 0)) * CAST(len AS DECIMAL(19, 0)) * n) AS DOUBLE), max(total))").alias("esize"), *[F.max(reached(p)).alias(f"r{p}") for p in percents],
     )
     zero = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("double" if name in ("mean", "esize") else "long").alias(name.split(".")[0])
     points = [F.coalesce(F.col(f"r{p}.{k}"), F.lit(0)).cast("long").alias(f"{name}{p}") for p in percents for k, name in (("len", "n"), ("l", "l"))]

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.operators import alignment as A
-from readloom.operators.running import shared_dir
-from readloom.plans.read_queries import TARGETS, WA, WT
-from readloom.plans.views import ALN, table, view
+from readloom.operators import databases as D
+from readloom.operators import intervals as I
+from readloom.operators.running import place, shared_dir, totals_before
+from readloom.plans.read_queries import _MASKS, _ROWS, _subtract_sql, TARGETS, WA, WT
+from readloom.plans.views import ALN, plain, table, view
 from readloom.sources import bam, spans, text
 
 
@@ -43,7 +45,70 @@ def _paf_by_contig(s: SparkSession, d: str) -> DataFrame:
     return text.paf_lines(spans.read_keys(spans.contig_index(s, path), contigs)).select("qname", "qlen", "qstart", "qend", "strand", "tname", "tstart", "tend", "mapq")
 
 
+# --- FASTQ of several lines a record ---
+_LETTERS = "SELECT doc_id, regexp_replace(text, '[^A-Za-z]', ''{g}) AS seq, translate(regexp_replace(text, '[^A-Za-z]', ''{g}), 'aeiouns', '@+@+!IJ') AS qual FROM {documents}"
+
+
+def _fastq(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s, "fastq")
+    text.write_fastq(view(s, d, _LETTERS.replace("{g}", "")).select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(" more")).alias("header"), "seq", "qual"), path)
+    return text.read_fastq(s, path).select("name", F.length("seq").alias("n"), *[F.md5(F.col(c).cast("binary")).alias(f"{c}_md5") for c in ("seq", "qual")])
+
+
+# --- lines of databases ---
+def _lines(x: DataFrame, order: list[str]) -> DataFrame:
+    """(nth, value): the lines with their number."""
+    keys = [*order, "value"]
+    return totals_before(place(x.withColumn("one", F.lit(1).cast("long")), keys), keys, {"nth": "one"}).select("nth", "value")
+
+
+def _database(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """A sequence for each document, with its bytes' place in one file, through the text format."""
+    docs = table(s, d, "documents")
+    placed = totals_before(place(docs.select(F.col("doc_id").alias("seq_id"), F.col("n_chars").alias("seq_len"), (F.col("n_chars") + 20).alias("data_len")), ["seq_id"]), ["seq_id"], {"offset": "data_len"})
+    seqs = placed.select("seq_id", F.concat_ws("/", F.lit("m"), F.expr("CAST(seq_id div 3 AS STRING)"), F.concat(F.lit("0_"), F.col("seq_len").cast("string"))).alias("header"), "seq_len", F.lit(0).alias("file_id"), "offset", "data_len")
+    path = _folder(s, "database")
+    text.write_rdb({"versions": s.createDataFrame([("0.2",)], "version string"), "files": s.createDataFrame([(0, "reads.fasta", "fasta")], "file_id long, path string, format string"), "seqs": seqs}, path)
+    return text.read_rdb(s, path)
+
+
+def _toxic(s: SparkSession, d: str) -> DataFrame:
+    gone = table(s, d, "labels").where("toxic = 1").select("doc_id").distinct().join(table(s, d, "documents"), "doc_id")
+    return gone.select(F.concat_ws("/", F.lit("m"), F.expr("CAST(doc_id div 3 AS STRING)"), F.concat(F.lit("0_"), F.col("n_chars").cast("string"))).alias("header")).distinct()
+
+
+_DB = """WITH RECURSIVE s AS (SELECT doc_id, 'm/' || doc_id // 3 || '/0_' || n_chars AS header, n_chars AS len, CAST(sum(n_chars + 20) OVER (ORDER BY doc_id) - n_chars - 20 AS BIGINT) AS off, n_chars + 20 AS size FROM documents)"""
+_DB_LINES = """,
+n AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS nth FROM k),
+f AS (SELECT nth, len, len AS t, 0 AS block FROM n WHERE nth = 0 UNION ALL SELECT n.nth, n.len, CASE WHEN t >= {target} THEN n.len ELSE t + n.len END, CASE WHEN t >= {target} THEN block + 1 ELSE block END FROM f JOIN n ON n.nth = f.nth + 1),
+b AS (SELECT block, min(nth) AS first, max(nth) + 1 AS stop, CAST(sum(len) AS BIGINT) AS bases FROM f GROUP BY block),
+l AS (SELECT 0 AS a, 0 AS o, 0 AS z, concat_ws(chr(9), 'V', '0.2') AS value UNION ALL SELECT 1, 0, 0, concat_ws(chr(9), 'F', 0, 'reads.fasta', 'fasta')
+  UNION ALL SELECT 2, nth, 0, concat_ws(chr(9), 'S', nth, header, len, 0, off, size) FROM n UNION ALL SELECT 2, stop - 1, 1, concat_ws(chr(9), 'B', block, first, stop, bases) FROM b{more})
+SELECT row_number() OVER (ORDER BY a, o, z) - 1 AS nth, value FROM l"""
+_LAST = " UNION ALL SELECT 2, stop, 2, concat_ws(chr(9), 'B', block + 1, stop, stop, 0) FROM b WHERE block = (SELECT max(block) FROM b) AND bases >= {target}"
+_FILTERED = _DB + ", x AS (SELECT header FROM s WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)), k AS (SELECT * FROM s WHERE header NOT IN (SELECT header FROM x))" + _DB_LINES.format(target=20_000, more=_LAST.format(target=20_000))
+_SAMPLED = _DB + """, g AS (SELECT *, 'm/' || doc_id // 3 AS name, sha256('5:' || header) AS o FROM s), h AS (SELECT name, min(o) AS o, arg_min(len, o) AS len FROM g GROUP BY name),
+u AS (SELECT name, sum(len) OVER (ORDER BY o, name) - len AS before FROM h), k AS (SELECT s.* FROM s JOIN g USING (doc_id) WHERE g.name IN (SELECT name FROM u WHERE before < 600000))""" + _DB_LINES.format(target=50_000, more="")
+
+
+# --- GFF lines ---
+def _gff_text(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s, "gff")
+    rows = view(s, d, _ROWS).select("id", F.concat_ws("\t", "seq", F.lit("src"), F.lit("region"), *[F.col(c).cast("string") for c in ("start", "end")], F.lit("."), F.lit("+"), F.lit("."), F.concat(F.lit("ID="), F.col("id").cast("string"))).alias("value"))
+    heads = s.createDataFrame([(-3, "##gff-version 3"), (-2, "# not kept"), (-1, "##of the orders")], "id long, value string")
+    D.write_lines(heads.union(rows), ["id"], path)
+    return _lines(I.subtract_lines(I.gff_lines(s, path), view(s, d, _MASKS), "masks.gff", 1000), I.LINE_ORDER)
+
+
+_GFF = f"""WITH p AS ({_subtract_sql(False)}), l AS (SELECT 0 AS a, '' AS seq, k AS id, 0 AS s, v AS value FROM (VALUES (0, '##gff-version 3'), (1, '##of the orders')) t(k, v)
+  UNION ALL SELECT 1, '', k, 0, v FROM (VALUES (0, '##mask masks.gff'), (1, '')) t(k, v) UNION ALL SELECT 2, seq, id, start, concat_ws(chr(9), seq, 'src', 'region', start, "end", '.', '+', '.', 'ID=' || id) FROM p)
+SELECT row_number() OVER (ORDER BY a, seq, id, s) - 1 AS nth, value FROM l"""
+
 QUERIES = {
+    "fastq_records": (_fastq, f"WITH x AS ({plain(_LETTERS).replace('{g}', ", 'g'")}) SELECT 'd/' || doc_id AS name, CAST(length(seq) AS INT) AS n, md5(seq) AS seq_md5, md5(qual) AS qual_md5 FROM x"),
+    "rdb_filtered_lines": (lambda s, d: _lines(D.filtered_database(_database(s, d), _toxic(s, d), 20_000), D.ORDER), _FILTERED),
+    "rdb_subsampled_lines": (lambda s, d: _lines(D.subsampled_database(_database(s, d), 60_000, 10, seed=5, whole_molecules=True, block_bases=50_000), D.ORDER), _SAMPLED),
+    "gff_subtract_text": (_gff_text, _GFF),
     "bam_round_trip": (lambda s, d: _shown(_bam(s, d)), _BAM_SQL),
     "bam_region": (lambda s, d: _shown(bam.bam_region(_bam(s, d), "7", 100, 260)), _BAM_SQL + " WHERE rname = '7' AND pos < 260 AND pos + m1 + 50 + d1 > 100"),
     "paf_lines_by_contig": (

@@ -117,7 +117,7 @@ QUERIES = {
     "phase_within": (lambda s, d: P.within_phase(view(s, d, _EDGES_ALL).withColumn("w", F.expr("a % 7 + 1")), view(s, d, _EDGES_ALL).select(F.expr("explode(array(a, b)) AS v")).distinct().withColumn("phase", F.expr("v % 2"))).withColumn("within", r6("within")), f"WITH e AS (SELECT a, b, a % 7 + 1 AS w FROM ({plain(_EDGES_ALL)})), q AS (SELECT * FROM e UNION ALL SELECT b, a, w FROM e) SELECT a AS v, round(CAST(sum(CASE WHEN a % 2 = b % 2 THEN w ELSE 0 END) AS DOUBLE) / sum(w), 6) AS within FROM q GROUP BY a"),
     "kmer_novel": (lambda s, d: P.novel_seeds(view(s, d, _READS), view(s, d, _REFS), 12).groupBy("key").agg(F.count("*").alias("n"), F.sum("pos").alias("places")), _NOVEL),
     "kmer_distinct": (lambda s, d: S.distinct_kmers(S.kmers(view(s, d, _KSEQ), "key", "seq", 12)), "WITH " + kmer_sql(plain(_KSEQ)) + " SELECT key, count(DISTINCT kmer) AS n FROM k GROUP BY key"),
-    "reorient": (lambda s, d: S.reoriented(seqs(s, d).where("length(seq) > 200"), "key", "seq", 200, 50, docs(s, d).where("doc_id % 4 > 0").select(F.col("doc_id").alias("key"))).select("key", "header", F.md5(F.col("seq").cast("binary")).alias("h")), WS + _WIN + ", m AS (SELECT key, CASE WHEN key % 4 > 0 THEN min_by(pos, (round(accum, 9), pos)) ELSE 0 END AS shift FROM z GROUP BY key) SELECT key, key || ' shifted_by_bp:-' || shift || '/' || length(seq) AS header, md5(substring(seq, shift + 1) || substring(seq, 1, shift)) AS h FROM m JOIN q USING (key)"),
+    "reorient": (lambda s, d: S.reoriented(seqs(s, d), "key", "seq", 200, 50, docs(s, d).where("doc_id % 4 > 0").select(F.col("doc_id").alias("key")), short=True).select("key", "header", F.md5(F.col("seq").cast("binary")).alias("h")), WS + _WIN + ", m AS (SELECT key, CASE WHEN key % 4 > 0 THEN min_by(pos, (round(accum, 9), pos)) ELSE 0 END AS shift FROM z GROUP BY key) SELECT key, key || ' shifted_by_bp:-' || coalesce(shift, 0) || '/' || length(seq) AS header, md5(substring(seq, coalesce(shift, 0) + 1) || substring(seq, 1, coalesce(shift, 0))) AS h FROM q LEFT JOIN m USING (key)"),
     "circ_randomize": (lambda s, d: S.randomized(seqs(s, d), "key", "seq", draw=F.col("key") * 7919).select("key", "header", F.md5(F.col("seq").cast("binary")).alias("h")), WS + ", m AS (SELECT *, CAST(key * 7919 % (length(seq) + 1) AS INT) AS shift FROM q) SELECT key, key || ' randomly_shifted_by_bp:-' || shift || '/' || length(seq) AS header, md5(substring(seq, shift + 1) || substring(seq, 1, shift)) AS h FROM m"),
     "target_to_query": (lambda s, d: aln(s, d).select("qname", "pos", "cigar", A.C.target_to_query("cigar", "pos", "260", "320").alias("q")).select("qname", "pos", "cigar", "q.*"), _WALK.format(start=260, end=320) + " SELECT qname, pos, cigar, q_start, q_end FROM v"),
     "region_sequences": (lambda s, d: A.region_sequences(_ALN_SEQ(aln(s, d)), "7:260-320", flip=True), _REGION),
