@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,17 +45,12 @@ def span_summary(rows: DataFrame, span: Column) -> DataFrame:
     return rows.withColumn("span", span).groupBy("seq").agg(F.expr("try_divide(sum(cov_mean * span), sum(span))").alias("cov_mean"), F.min("cov_min").alias("cov_min"), F.max("cov_max").alias("cov_max"))
 
 
-def gff_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, at, value): lines of a GFF file with their place: file, split, and order in the split."""
-    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
-
-
 #: Order of the lines that subtract_lines() gives.
 LINE_ORDER = ["section", "seq", "file", "block", "at", "start"]
 
 
 def subtract_lines(lines: DataFrame, masks: DataFrame, mask_name: str, width: int = 10_000) -> DataFrame:
-    """(LINE_ORDER, value): lines (of gff_lines()) after subtraction: their ## lines, the mask's name, an empty line, then what masks (seq, start, end) leave, by sequence and in the order of the lines."""
+    """(LINE_ORDER, value): lines (of sources.text.placed_lines()) after subtraction: their ## lines, the mask's name, an empty line, then what masks (seq, start, end) leave, by sequence and in the order of the lines."""
     none = [F.lit("").alias("seq"), F.lit(0).cast("long").alias("start")]
     heads = lines.where(F.col("value").startswith("##")).select(F.lit(0).alias("section"), none[0], "file", "block", "at", none[1], "value")
     said = lines.sparkSession.createDataFrame([(0, f"##mask {mask_name}"), (1, "")], "at long, value string")

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from readloom.operators import alignment as A
 from readloom.operators import databases as D
 from readloom.operators import intervals as I
+from readloom.operators import polish as X
 from readloom.operators.running import place, shared_dir, totals_before
 from readloom.plans.read_queries import _MASKS, _ROWS, _subtract_sql, TARGETS, WA, WT
 from readloom.plans.views import ALN, plain, table, view
-from readloom.sources import bam, spans, text
+from readloom.plans.report_queries import _FOLD, _SPLIT
+from readloom.sources import bam, files, spans, text
 
 
 def _folder(s: SparkSession, name: str) -> str:
@@ -97,14 +99,35 @@ def _gff_text(s: SparkSession, d: str) -> DataFrame:
     rows = view(s, d, _ROWS).select("id", F.concat_ws("\t", "seq", F.lit("src"), F.lit("region"), *[F.col(c).cast("string") for c in ("start", "end")], F.lit("."), F.lit("+"), F.lit("."), F.concat(F.lit("ID="), F.col("id").cast("string"))).alias("value"))
     heads = s.createDataFrame([(-3, "##gff-version 3"), (-2, "# not kept"), (-1, "##of the orders")], "id long, value string")
     D.write_lines(heads.union(rows), ["id"], path)
-    return _lines(I.subtract_lines(I.gff_lines(s, path), view(s, d, _MASKS), "masks.gff", 1000), I.LINE_ORDER)
+    return _lines(I.subtract_lines(text.placed_lines(s, path), view(s, d, _MASKS), "masks.gff", 1000), I.LINE_ORDER)
 
 
 _GFF = f"""WITH p AS ({_subtract_sql(False)}), l AS (SELECT 0 AS a, '' AS seq, k AS id, 0 AS s, v AS value FROM (VALUES (0, '##gff-version 3'), (1, '##of the orders')) t(k, v)
   UNION ALL SELECT 1, '', k, 0, v FROM (VALUES (0, '##mask masks.gff'), (1, '')) t(k, v) UNION ALL SELECT 2, seq, id, start, concat_ws(chr(9), seq, 'src', 'region', start, "end", '.', '+', '.', 'ID=' || id) FROM p)
 SELECT row_number() OVER (ORDER BY a, seq, id, s) - 1 AS nth, value FROM l"""
 
+# --- polishing files ---
+def _split_paf(s: SparkSession, d: str) -> DataFrame:
+    """(file, start, value): each line of the files that are written, by its byte."""
+    paf, out = _folder(s, "paf"), _folder(s, "split")
+    lines = A.to_paf(view(s, d, ALN), view(s, d, TARGETS))
+    D.write_lines(lines.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in lines.columns]).alias("value")), ["value"], paf)
+    lengths = view(s, d, TARGETS).select(F.col("rname").alias("name"), F.col("ref_len").cast("long").alias("len"))
+    gone = table(s, d, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").cast("string").alias("name"))
+    files.write_files(X.split_paf_files(text.placed_lines(s, paf), lengths, 3000, 3, gone), out, *X.FILE_ORDER)
+    found = spans.read_spans(spans.index_lines(s, out, 0))
+    return found.select(F.regexp_extract("file", "([^/]+)$", 1).alias("file"), "start", "value")
+
+
+_SPLIT_PAF = WT.replace("WITH ", "WITH RECURSIVE ", 1) + """, p AS (SELECT concat_ws(chr(9), qname, seq_len + h1, CASE WHEN flag & 16 > 0 THEN h1 ELSE s1 END, CASE WHEN flag & 16 > 0 THEN seq_len + h1 - s1 ELSE seq_len END, CASE WHEN flag & 16 > 0 THEN '-' ELSE '+' END, a.rname, ref_len, pos, pos + m1 + 50 + d1, m1 + 50 + d1 - coalesce(nm, 0), m1 + 50 + d1, mapq) AS line, qname, a.rname AS ctg, ref_len
+  FROM a JOIN t ON a.rname = t.rname WHERE a.rname NOT IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey = 2)),
+n AS (SELECT ctg, CAST(ref_len AS BIGINT) AS w, row_number() OVER (ORDER BY ctg) AS k FROM (SELECT DISTINCT ctg, ref_len FROM p))""" + _FOLD.format(cols="ctg", ncols="n.ctg", n="n", target=3000) + """, b AS (SELECT ctg, CAST(block AS BIGINT) AS block FROM f), wt AS (SELECT block, block + 1 AS k, count(*) AS w FROM p JOIN b USING (ctg) GROUP BY block)""" + _SPLIT.format(n="wt", n_shards=3) + """,
+u AS (SELECT 'block.' || block || '.paf' AS file, ctg, line AS o, 0 AS i, line AS value FROM p JOIN b USING (ctg) UNION ALL SELECT 'block.' || block || '.reads', ctg, line, 0, qname FROM p JOIN b USING (ctg)
+  UNION ALL SELECT 'block.' || block || '.ctg_id', ctg, '', 0, ctg FROM b UNION ALL SELECT 'shard.' || shard || '.block_ids', '', '', k, CAST(k - 1 AS VARCHAR) FROM z UNION ALL SELECT DISTINCT 'all_shard_ids', '', '', shard, CAST(shard AS VARCHAR) FROM z)
+SELECT file, CAST(coalesce(sum(octet_length(encode(value)) + 1) OVER (PARTITION BY file ORDER BY ctg, o, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, value FROM u"""
+
 QUERIES = {
+    "split_paf": (_split_paf, _SPLIT_PAF),
     "fastq_records": (_fastq, f"WITH x AS ({plain(_LETTERS).replace('{g}', ", 'g'")}) SELECT 'd/' || doc_id AS name, CAST(length(seq) AS INT) AS n, md5(seq) AS seq_md5, md5(qual) AS qual_md5 FROM x"),
     "rdb_filtered_lines": (lambda s, d: _lines(D.filtered_database(_database(s, d), _toxic(s, d), 20_000), D.ORDER), _FILTERED),
     "rdb_subsampled_lines": (lambda s, d: _lines(D.subsampled_database(_database(s, d), 60_000, 10, seed=5, whole_molecules=True, block_bases=50_000), D.ORDER), _SAMPLED),

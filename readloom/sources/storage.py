@@ -25,12 +25,8 @@ def files_of(path: str, ending: str) -> list[str]:
     where, inner = located(path)
     if where.get_file_info(inner).type != fs.FileType.Directory:
         return [path]
-    listed = f"{inner.rstrip('/')}/{MANIFEST}"
-    if where.get_file_info(listed).type == fs.FileType.File:
-        with where.open_input_stream(listed) as f:
-            names = f.read().decode().splitlines()
-    else:
-        names = [x.base_name for x in where.get_file_info(fs.FileSelector(inner)) if x.type == fs.FileType.File]
+    names = _listed(where, inner.rstrip("/"))
+    names = _names(where, inner) if names is None else names
     return [f"{path.rstrip('/')}/{n}" for n in sorted(names) if n.endswith(ending)]
 
 
@@ -44,25 +40,40 @@ def _names(where: fs.FileSystem, folder: str) -> list[str]:
     return [x.base_name for x in where.get_file_info(fs.FileSelector(folder)) if x.type == fs.FileType.File and not x.base_name.startswith("_")]
 
 
-def commit(path: str, names: Iterable[str], job: str) -> None:
-    """Adds the files that count to the folder's list and removes those of the job's attempts that don't."""
+def _listed(where: fs.FileSystem, folder: str) -> set[str] | None:
+    if where.get_file_info(f"{folder}/{MANIFEST}").type != fs.FileType.File:
+        return None
+    with where.open_input_stream(f"{folder}/{MANIFEST}") as f:
+        return set(f.read().decode().splitlines())
+
+
+def commit_named(path: str, names: Iterable[tuple[str, str]], job: str) -> None:
+    """Gives the files that count, (name, name of the attempt's file), their names, adds them to the folder's list and removes those of the job's other attempts. A name that two tasks have is an error."""
     where, inner = located(path)
-    inner, kept = inner.rstrip("/"), set(names)
+    inner, pairs = inner.rstrip("/"), list(names)
+    if len({n for n, _ in pairs}) < len(pairs):
+        raise ValueError("two tasks wrote a file of one name")
     where.create_dir(inner, recursive=True)
     present = _names(where, inner)
-    if where.get_file_info(f"{inner}/{MANIFEST}").type == fs.FileType.File:
-        with where.open_input_stream(f"{inner}/{MANIFEST}") as f:
-            earlier = set(f.read().decode().splitlines())
-    else:
-        earlier = {n for n in present if job not in n}
+    earlier = _listed(where, inner)
+    earlier = {n for n in present if job not in n} if earlier is None else earlier
+    for name, own in pairs:
+        if name != own:
+            where.move(f"{inner}/{own}", f"{inner}/{name}")
+    kept = {n for n, _ in pairs}
     with where.open_output_stream(f"{inner}/{MANIFEST}.tmp") as f:
         f.write("".join(f"{n}\n" for n in sorted(earlier | kept)).encode())
     where.move(f"{inner}/{MANIFEST}.tmp", f"{inner}/{MANIFEST}")
-    for n in present:
+    for n in _names(where, inner):
         if job in n and n not in kept:
             where.delete_file(f"{inner}/{n}")
 
 
+def commit(path: str, names: Iterable[str], job: str) -> None:
+    """Adds the files that count to the folder's list and removes those of the job's attempts that don't."""
+    commit_named(path, [(n, n) for n in names], job)
+
+
 def discard_job(path: str, job: str) -> None:
     """Removes all files of a job that failed."""
     where, inner = located(path)

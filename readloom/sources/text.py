@@ -31,6 +31,11 @@ def _typed(parts: str, schema: str, strict: int) -> list[Column]:
     return out
 
 
+def placed_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, block, at, value): lines with their place, in order of file, split, and number in the split."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+
+
 def read_overlaps(spark: SparkSession, path: str | list[str], extra: bool = False) -> DataFrame:
     """Overlap lines: 12 fields or more between spaces, the 13th a tag; lines that start with - are trailers. With extra, tagplus has the tag and all after it."""
     lines = spark.read.text(path).where(~F.col("value").startswith("-") & (F.trim("value") != ""))

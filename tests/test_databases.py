@@ -86,6 +86,6 @@ def test_gff_lines_in_order(spark, tmp_path):
     rows = ["##gff-version 3", "#c", "b\ts\tr\t1\t30\t.\t+\t.\tID=2", "a\ts\tr\t1\t30\t.\t+\t.\tID=1", "", "b s r 5 9 . + . ID=3", "##end", "b\ts\tr\t1\t30\t.\t+\t.\tID=2", "zz\ts\tr\t1\t3\t.\t+\t.\tID=9"]
     (tmp_path / "x.gff").write_text("\n".join(rows) + "\n")
     masks = spark.createDataFrame([("a", 30, 40), ("b", 10, 20), ("b", 1, 2)], "seq string, start long, end long")
-    got = [r.value for r in I.subtract_lines(I.gff_lines(spark, str(tmp_path / "x.gff")), masks, "m.gff").orderBy(*I.LINE_ORDER).collect()]
+    got = [r.value for r in I.subtract_lines(text.placed_lines(spark, str(tmp_path / "x.gff")), masks, "m.gff").orderBy(*I.LINE_ORDER).collect()]
     piece = lambda q, a, b, k: f"{q}\ts\tr\t{a}\t{b}\t.\t+\t.\tID={k}"
     assert got == ["##gff-version 3", "##end", "##mask m.gff", "", piece("a", 1, 29, 1), piece("b", 3, 9, 2), piece("b", 21, 30, 2), piece("b", 5, 9, 3), piece("b", 3, 9, 2), piece("b", 21, 30, 2)]
