@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from readloom.operators.joins import BLOCK, block_join
 
-def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width: int) -> DataFrame:
+
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width: int, block: int = BLOCK) -> DataFrame:
     """Pairs with equal keys and overlapping closed intervals; left has start and end, right r_start and r_end.
 
-    Both sides are dealt into bins; a pair counts in the first bin that both reach, so it comes up once.
+    Both sides are dealt into bins; a pair counts in the first bin that both reach, so it comes up once. Deep bins are joined in blocks.
     """
     binned = lambda d, a, b: d.withColumn("bin", F.explode(F.expr(f"sequence({a} div {width}, {b} div {width})")))
-    x = binned(left.where("start <= end"), "start", "end").join(binned(right.where("r_start <= r_end"), "r_start", "r_end"), [*keys, "bin"])
+    own = [[c for c in side.columns if c not in keys] for side in (left, right)]
+    x = block_join(binned(left.where("start <= end"), "start", "end"), binned(right.where("r_start <= r_end"), "r_start", "r_end"), [*keys, "bin"], *own, block)
     return x.where(f"start <= r_end AND r_start <= end AND bin = greatest(start, r_start) div {width}").drop("bin")
 
 

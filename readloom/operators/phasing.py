@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import count
 from math import exp
 
 from pyspark.sql import DataFrame
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions.sequence import kmers
 from readloom.operators.alignment import SKIP_MORE
+from readloom.operators.graphs import graph_components
 from readloom.operators.intervals import interval_join
 from readloom.operators.running import keep, place, totals_before
 from readloom.shipping import ship
@@ -56,25 +56,6 @@ def within_phase(edges: DataFrame, phases: DataFrame) -> DataFrame:
     return x.groupBy(F.col("a").alias("v")).agg(F.expr("try_divide(CAST(sum(if(phase_a = phase_b, w, 0)) AS DOUBLE), sum(w))").alias("within"))
 
 
-def graph_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(v, label) of the vertices of edges (a, b): smallest vertex within reach. Labels spread and jump, each round checkpointed, until none changes; an error if that takes more than the given rounds."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    both = keep(both)
-    labels = keep(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("label")))
-    total = None
-    for done in count():
-        if done == rounds:
-            raise RuntimeError(f"labels still changed after {rounds} rounds")
-        near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
-        new = labels.join(near, "v").select("v", F.least("label", "near").alias("label"))
-        far = labels.select(F.col("v").alias("label"), F.col("label").alias("far"))
-        labels = keep(new.join(far, "label").select("v", F.least("label", "far").alias("label")))
-        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if now == total:
-            return labels
-        total = now
-
-
 def _heat(sweep: int) -> float:
     """Cooled by a tenth every hundred sweeps."""
     return max(1e-4, 0.9 ** (sweep // EXCHANGE))

@@ -1,7 +1,10 @@
 """Figures of very large contigs, rows that repeat, sequences that are too short."""
 
+from pyspark.sql import functions as F
+
 from readloom.functions import sequence as S
 from readloom.operators import intervals as I
+from readloom.operators import joins as J
 from readloom.operators import lengths as L
 
 
@@ -24,3 +27,14 @@ def test_short_sequences_stay(spark):
     alone = S.reoriented(d.where("name = 'c'"), "name", "seq", 20, 10).first()
     assert got["a"] == ("a shifted_by_bp:-0/4", "ACGT") and got["b"] == ("b shifted_by_bp:-0/0", "") and got["c"] == (alone.header, alone.seq)
     assert got["n"][1] is None
+
+
+def test_a_deep_pile_is_dealt_out(spark):
+    """All intervals at one place, in blocks of 50."""
+    x = spark.range(400).selectExpr("'c' AS seq", "id AS a", "id % 3 AS start", "id % 3 + 20 AS end")
+    y = spark.range(300).selectExpr("'c' AS seq", "id AS b", "CAST(10 AS LONG) AS r_start", "id % 5 + 10 AS r_end")
+    pairs = I.interval_join(x, y, ["seq"], 7, block=50)
+    assert pairs.count() == pairs.select("a", "b").distinct().count() == 120_000
+    binned = [d.withColumn("bin", F.lit(1)) for d in (x, y)]
+    deep = J.heavy_keys(*binned, ["seq", "bin"], 50).first()
+    assert (deep.in_a, deep.in_b) == (8, 6)
