@@ -59,21 +59,29 @@ def _letters(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
+def _skews(letters: np.ndarray, window: int, step: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, skew of window + 1 letters from each, whether it has neither G nor C), for some PIECE places' letters at a time."""
+    span = max(PIECE // step, 1) * step
+    for at in range(0, max(len(letters) - window, 0), span):
+        part = letters[at : at + span + window]
+        pos = np.arange(0, min(span, len(part) - window), step)
+        upto = [np.concatenate(([0], np.cumsum((part == ord(b)) | (part == ord(b.lower()))))) for b in "GC"]
+        g, c = (x[pos + window + 1] - x[pos] for x in upto)
+        none = g + c == 0
+        yield at + pos, (g - c) / np.where(none, 1, g + c), none
+
+
 def windows(df: DataFrame, key: str, seq: str, window: int, step: int) -> DataFrame:
-    """(key, pos, skew, accum): skew of window + 1 letters from each step, and its running sum; letters without G or C add nothing. A text is one row, so its sums run where it is."""
+    """(key, pos, skew, accum): skew of window + 1 letters from each step, and its running sum; letters without G or C add nothing. A text is one row, looked at piece by piece; operators.contigs has texts of several rows."""
 
     def skews(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, text in enumerate(batch.column(1)):
-                letters = _letters(text.as_py() or "")
-                if len(letters) <= window:
-                    continue
-                pos = np.arange(0, len(letters) - window, step)
-                upto = [np.concatenate(([0], np.cumsum((letters == ord(b)) | (letters == ord(b.lower()))))) for b in "GC"]
-                g, c = (x[pos + window + 1] - x[pos] for x in upto)
-                none = g + c == 0
-                skew = (g - c) / np.where(none, 1, g + c)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(pos), k))), pa.array(pos, pa.int32()), pa.array(skew, mask=none), pa.array(np.cumsum(np.where(none, 0.0, skew)))], [key, "pos", "skew", "accum"])
+                total = 0.0
+                for pos, skew, none in _skews(_letters(text.as_py() or ""), window, step):
+                    accum = np.cumsum(np.concatenate(([total], np.where(none, 0.0, skew))))[1:]
+                    total = accum[-1]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(pos), k))), pa.array(pos, pa.int32()), pa.array(skew, mask=none), pa.array(accum)], [key, "pos", "skew", "accum"])
 
     ship(df.sparkSession)
     rows = df.select(key, F.col(seq).alias("letters"))
@@ -174,11 +182,12 @@ def least_skew_shift(seq: Column, window: int, step: int, short: bool = False) -
     @F.pandas_udf("int")
     def shift(texts):  # noqa: ANN001, ANN202
         def least(text: str) -> int:
-            letters = _letters(text)
-            pos = np.arange(0, len(letters) - window, step)
-            g, c = (np.concatenate(([0], np.cumsum((letters == ord(b)) | (letters == ord(b.lower())))))[[pos + window + 1, pos]] for b in "GC")
-            g, c = g[0] - g[1], c[0] - c[1]
-            return int(pos[np.argmin(np.round(np.cumsum((g - c) / np.maximum(g + c, 1)), 9))])
+            total, best = 0.0, (np.inf, 0)
+            for pos, skew, _ in _skews(_letters(text), window, step):
+                accum = np.cumsum(np.concatenate(([total], skew)))[1:]
+                total, low = accum[-1], np.round(accum, 9)
+                best = min(best, (low.min(), int(pos[low.argmin()])))
+            return best[1]
 
         return texts.map(least)
 

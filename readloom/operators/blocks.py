@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.operators.running import PART, keep, place, totals_before
+from readloom.operators.running import PART, place, totals_before, written
 from readloom.shipping import ship
 
 #: Blocks that are dealt largest first at most (some 100 bytes each on the driver).
@@ -100,22 +100,49 @@ def block_table(df: DataFrame, order: str, weight: str, target: int) -> DataFram
     return totals_before(place(b, ["block"]), ["block"], {"first": "n"}).select("block", "first", (F.col("first") + F.col("n")).alias("stop"), "total")
 
 
+def _cuts(rows: DataFrame, part: int, at: int, groups: int, total: int) -> list[int]:
+    """Running sums at which shards end within a range, if the open one began at the sum `at` and `groups` are left with it."""
+
+    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        ends = np.sort((x["before"] + x["w"]).to_numpy(np.int64))
+        found, begun, left = [], at, groups
+        while left > 1 and begun < total:
+            k = int(np.searchsorted(ends, begun - (begun - total) // left))  # the share is rounded up
+            if k == len(ends):
+                break
+            begun, left = int(ends[k]), left - 1
+            found.append(begun)
+        return pd.DataFrame({"cut": np.array(found, np.int64)})
+
+    return sorted(r.cut for r in rows.where(F.col(PART) == part).groupBy(PART).applyInPandas(run, "cut long").collect())
+
+
 def split_table(df: DataFrame, order: str, weight: str, n: int) -> DataFrame:
     """(order, weight, shard): contiguous shards, n at most; each takes rows up to an even share of what is left. Rows without a weight that none is left for go to the last one.
 
-    A shard's end is found by one job over the running sums; the driver holds a number a shard.
+    The driver holds the running sum at the end of each range, so it knows the range that a shard ends in; a job over that range alone
+    finds the ends of all shards there. So there is a job for each range with an end in it, and each reads its range.
     """
-    rows = place(df.select(F.col(order).alias("o"), F.coalesce(F.col(weight).cast("long"), F.lit(0)).alias("w")), ["o"])
-    rows = keep(totals_before(rows, ["o"], {"before": "w"}))
-    total, count = rows.agg(F.coalesce(F.sum("w"), F.lit(0)), F.count("*")).first()
-    starts, groups, at = [0], min(n, count), 0
-    while groups > 1 and at < total:
-        at = rows.where(F.expr(f"before + w >= {at + -(-(total - at) // groups)}L")).agg(F.min(F.expr("before + w"))).first()[0]
-        if at < total:
-            starts.append(at)
-        groups -= 1
-    shard = F.size(F.filter(F.array(*[F.lit(s).cast("long") for s in starts]), lambda s: s <= F.col("before"))) - 1
-    return rows.select(F.col("o").alias(order), F.col("w").alias(weight), shard.alias("shard"))
+    ship(df.sparkSession)
+    placed = place(df.select(F.col(order).alias("o"), F.coalesce(F.col(weight).cast("long"), F.lit(0)).alias("w")), ["o"])
+    rows = written(totals_before(placed, ["o"], {"before": "w"}), "sums")
+    ends = sorted((r.end, r[PART]) for r in rows.groupBy(PART).agg(F.max(F.expr("before + w")).alias("end"), F.count("*").alias("n")).collect())  # a row a range
+    total, count = (ends[-1][0] if ends else 0), rows.count()
+    starts, groups, at, k = [0], min(n, count), 0, 0
+    while groups > 1 and at < total and k < len(ends):
+        if ends[k][0] >= at - (at - total) // groups:
+            for cut in _cuts(rows, ends[k][1], at, groups, total):
+                at, groups = cut, groups - 1
+                if at < total:
+                    starts.append(at)
+        k += 1
+    firsts = np.array(sorted(starts), np.int64)
+
+    @F.pandas_udf("int")
+    def shard(before):  # noqa: ANN001, ANN202
+        return pd.Series(np.searchsorted(firsts, before.to_numpy(np.int64), side="right") - 1)
+
+    return rows.select(F.col("o").alias(order), F.col("w").alias(weight), shard("before").alias("shard"))
 
 
 def largest_first_table(df: DataFrame, name: str, weight: str, n: int) -> DataFrame:
@@ -128,25 +155,6 @@ def largest_first_table(df: DataFrame, name: str, weight: str, n: int) -> DataFr
     return df.sparkSession.createDataFrame([(*items[i], b) for b, held in enumerate(bins) for i in held], f"`{name}` {kind}, `{weight}` long, bin int")
 
 
-def split_weighted(n: int, sizes: Sequence[int]) -> list[int]:
-    """Lengths of at most n contiguous groups; each takes elements up to an even share of what is left. Weights without a sum go to the last group."""
-    out: list[int] = []
-    left, at, groups = sum(sizes), 0, min(n, len(sizes))
-    while at < len(sizes) and groups:
-        share, taken, got = -(-left // groups), 0, 0
-        if not left:
-            out.append(len(sizes) - at)
-            break
-        while got < share:
-            got += sizes[at]
-            at, taken = at + 1, taken + 1
-        out.append(taken)
-        left, groups = left - got, groups - 1
-    if out and sum(out) < len(sizes):
-        out[-1] += len(sizes) - sum(out)
-    return out
-
-
 def largest_first(n: int, sizes: Sequence[int]) -> list[list[int]]:
     """Indices by bin: the largest left goes to the bin with the least, then fewest, then first; bins by sum, without empty ones."""
     bins: list[tuple[int, int, int, list[int]]] = [(0, 0, k, []) for k in range(n)]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from readloom.sources.storage import folders_of
+
 
 def top_partners(hits: DataFrame, n: int = 40, min_len: int = 2500) -> DataFrame:
     """hits: q, t, len. Of each t the n longest hits of min_len or more, ties by the larger q."""
@@ -38,3 +40,47 @@ def contig_rank(best: DataFrame, placed: DataFrame) -> DataFrame:
     ranked = per.withColumn("rank", F.row_number().over(W.partitionBy("t").orderBy("score", "ctg")) - 1)
     own = placed.select(F.col("q").alias("t"), "ctg", F.lit(1).alias("own")).distinct()
     return ranked.join(own, ["t", "ctg"], "left").withColumn("in_ctg", F.coalesce("own", F.lit(0))).drop("own")
+
+
+class BestPartners:
+    """The n longest hits of each t over all batches so far, kept in a folder: a batch is merged with what is stored, and
+    earlier batches aren't read again.
+
+    Every batch makes a new version, complete before it counts; a batch that is stored already changes nothing, so that an
+    update can be repeated. Versions before the last two are removed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, n: int = 40, min_len: int = 2500):
+        self.spark, self.path, self.n, self.min_len = spark, path.rstrip("/"), n, min_len
+
+    def _versions(self) -> list[str]:
+        return [f for f in folders_of(self.path, "v", "batches/_SUCCESS")]
+
+    def best(self) -> DataFrame:
+        """(q, t, len) of the last version."""
+        versions = self._versions()
+        return self.spark.read.parquet(f"{versions[-1]}/best") if versions else self.spark.createDataFrame([], "q long, t long, len long")
+
+    def batches(self) -> set[str]:
+        versions = self._versions()
+        return {r.batch for r in self.spark.read.parquet(f"{versions[-1]}/batches").collect()} if versions else set()
+
+    def add(self, batch: str, hits: DataFrame) -> bool:
+        """Merges a batch of hits (q, t, len); False if it is stored already."""
+        versions, known = self._versions(), self.batches()
+        if batch in known:
+            return False
+        new = top_partners(hits.select("q", "t", "len"), self.n, self.min_len)
+        merged = top_partners(self.best().select("q", "t", "len").union(new), self.n, self.min_len) if versions else new
+        at = f"{self.path}/v{int(versions[-1].rsplit('/v', 1)[1]) + 1 if versions else 1:08d}"
+        merged.write.mode("overwrite").parquet(f"{at}/best")
+        self.spark.createDataFrame([(b,) for b in sorted(known | {batch})], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{at}/batches")  # a version counts from here on
+        for old in versions[:-1]:
+            name = self.spark._jvm.org.apache.hadoop.fs.Path(old)
+            name.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(name, True)
+        return True
+
+
+def rank_lines(ranked: DataFrame) -> DataFrame:
+    """(t, rank, value) of contig_rank(): read, contig, count, rank, score, in_ctg between spaces; in order of t and rank."""
+    return ranked.select("t", "rank", F.concat_ws(" ", *[F.col(c).cast("string") for c in ("t", "ctg", "n", "rank", "score", "in_ctg")]).alias("value"))

@@ -11,8 +11,9 @@ from readloom.operators import alignment as A
 from readloom.operators import databases as D
 from readloom.operators import intervals as I
 from readloom.operators import polish as X
+from readloom.operators import tracking as T
 from readloom.operators.running import place, shared_dir, totals_before
-from readloom.plans.read_queries import _MASKS, _ROWS, _subtract_sql, TARGETS, WA, WT
+from readloom.plans.read_queries import _HITS, _MASKS, _PLACED, _ROWS, _TOP, TARGETS, WA, WT, _subtract_sql
 from readloom.plans.views import ALN, plain, table, view
 from readloom.plans.report_queries import _FOLD, _SPLIT
 from readloom.sources import bam, files, spans, text
@@ -126,7 +127,21 @@ u AS (SELECT 'block.' || block || '.paf' AS file, ctg, line AS o, 0 AS i, line A
   UNION ALL SELECT 'block.' || block || '.ctg_id', ctg, '', 0, ctg FROM b UNION ALL SELECT 'shard.' || shard || '.block_ids', '', '', k, CAST(k - 1 AS VARCHAR) FROM z UNION ALL SELECT DISTINCT 'all_shard_ids', '', '', shard, CAST(shard AS VARCHAR) FROM z)
 SELECT file, CAST(coalesce(sum(octet_length(encode(value)) + 1) OVER (PARTITION BY file ORDER BY ctg, o, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, value FROM u"""
 
+# --- best partners in batches ---
+def _rank_lines(s: SparkSession, d: str) -> DataFrame:
+    """The hits come in three batches, the second one twice."""
+    hits, best = view(s, d, _HITS), T.BestPartners(s, _folder(s, "partners"), 5)
+    for k in (0, 1, 1, 2):
+        best.add(f"part{k}", hits.where(f"q % 3 = {k}"))
+    return _lines(T.rank_lines(T.contig_rank(best.best(), view(s, d, _PLACED))), ["t", "rank"])
+
+
+_RANK_LINES = _TOP + f""", p AS ({plain(_PLACED)}), g AS (SELECT t, ctg, count(*) AS n, CAST(-sum(len) AS BIGINT) AS score FROM b JOIN p USING (q) GROUP BY t, ctg),
+r AS (SELECT g.*, row_number() OVER (PARTITION BY t ORDER BY score, ctg) - 1 AS rank, CAST(EXISTS (SELECT 1 FROM p WHERE p.q = g.t AND p.ctg = g.ctg) AS INT) AS own FROM g)
+SELECT row_number() OVER (ORDER BY t, rank) - 1 AS nth, concat_ws(' ', t, ctg, n, rank, score, own) AS value FROM r"""
+
 QUERIES = {
+    "track_rank_lines": (_rank_lines, _RANK_LINES),
     "split_paf": (_split_paf, _SPLIT_PAF),
     "fastq_records": (_fastq, f"WITH x AS ({plain(_LETTERS).replace('{g}', ", 'g'")}) SELECT 'd/' || doc_id AS name, CAST(length(seq) AS INT) AS n, md5(seq) AS seq_md5, md5(qual) AS qual_md5 FROM x"),
     "rdb_filtered_lines": (lambda s, d: _lines(D.filtered_database(_database(s, d), _toxic(s, d), 20_000), D.ORDER), _FILTERED),

@@ -9,6 +9,7 @@ from readloom.functions import cigar as C
 from readloom.functions import sequence as S
 from readloom.operators import alignment as A
 from readloom.operators import blocks as B
+from readloom.operators import contigs as N
 from readloom.operators import intervals as I
 from readloom.operators import lengths as L
 from readloom.operators import phasing as P
@@ -146,6 +147,8 @@ QUERIES = {
     "revcomp": (lambda s, d: seqs(s, d).select("key", F.md5(S.revcomp(F.col("seq")).cast("binary")).alias("h"), F.md5(S.revcomp(F.col("seq"), True).cast("binary")).alias("h_fixed")), WS + " SELECT key, md5(translate(reverse(seq), 'ATGCacg', 'TACGtgc')) AS h, md5(translate(reverse(seq), 'ATGCacgt', 'TACGtgca')) AS h_fixed FROM q"),
     "base_counts": (lambda s, d: seqs(s, d).select("key", S.base_counts(F.col("seq")).alias("c"), r6(S.gc_fraction(F.col("seq"))).alias("gc_part")).select("key", "c.*", "gc_part"), WS + ", n AS (SELECT key, " + ", ".join(f"CAST(length(regexp_replace(seq, '[^{x}{x.upper()}]', '', 'g')) AS INT) AS {x}" for x in "acgt") + " FROM q) SELECT *, CAST(g + c AS INT) AS gc, CAST(a + t AS INT) AS at, CAST(a + c + g + t AS INT) AS okay, round(CASE WHEN a + c + g + t = 0 THEN NULL ELSE CAST(g + c AS DOUBLE) / (a + c + g + t) END, 6) AS gc_part FROM n"),
     "gc_skew": (lambda s, d: S.windows(seqs(s, d), "key", "seq", 200, 50).select("key", "pos", r6("skew").alias("skew"), r6("accum").alias("accum")), WS + _WIN + " SELECT key, pos, round(skew, 6) AS skew, round(accum, 6) AS accum FROM z"),
+    "gc_skew_pieces": (lambda s, d: N.piece_windows(N.cut_pieces(seqs(s, d), "key", "seq", 1000), "key", 200, 50).select("key", F.col("pos").cast("int").alias("pos"), r6("skew").alias("skew"), r6("accum").alias("accum")), WS + _WIN + " SELECT key, pos, round(skew, 6) AS skew, round(accum, 6) AS accum FROM z"),
+    "least_skew_pieces": (lambda s, d: N.least_skew_place(N.cut_pieces(seqs(s, d), "key", "seq", 1000), "key", 200, 50), WS + _WIN + ", m AS (SELECT key, min_by(pos, (round(accum, 9), pos)) AS shift FROM z GROUP BY key) SELECT key, CAST(coalesce(shift, 0) AS BIGINT) AS shift FROM q LEFT JOIN m USING (key) WHERE length(seq) > 0"),
     "rotate_min_skew": (lambda s, d: S.least_skew(seqs(s, d), "key", "seq", 200, 50).join(seqs(s, d), "key").select("key", "shift", F.md5(S.rotate_left(F.col("seq"), F.col("shift")).cast("binary")).alias("h")), WS + _WIN + ", m AS (SELECT key, min_by(pos, (round(accum, 9), pos)) AS shift FROM z GROUP BY key) SELECT key, shift, md5(substring(seq, shift + 1) || substring(seq, 1, shift)) AS h FROM m JOIN q USING (key)"),
     "kmers": (kmers, WK + " SELECT * FROM k"),
     "kmer_shared": (lambda s, d: K.shared_kmers(kmers(s, d).where("key % 2 = 0"), kmers(s, d).where("key % 2 = 1")), WK + ", x AS (SELECT DISTINCT key, kmer FROM k) SELECT p.key AS key_a, q.key AS key_b, count(*) AS n FROM x p JOIN x q ON p.kmer = q.kmer AND p.key % 2 = 0 AND q.key % 2 = 1 GROUP BY p.key, q.key"),

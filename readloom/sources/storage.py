@@ -30,6 +30,15 @@ def files_of(path: str, ending: str) -> list[str]:
     return [f"{path.rstrip('/')}/{n}" for n in sorted(names) if n.endswith(ending)]
 
 
+def folders_of(path: str, start: str, mark: str) -> list[str]:
+    """Folders of a folder whose names start so and that hold a file, by name."""
+    where, inner = located(path)
+    if where.get_file_info(inner).type != fs.FileType.Directory:
+        return []
+    names = [x.base_name for x in where.get_file_info(fs.FileSelector(inner)) if x.type == fs.FileType.Directory and x.base_name.startswith(start)]
+    return [f"{path.rstrip('/')}/{n}" for n in sorted(names) if where.get_file_info(f"{inner.rstrip('/')}/{n}/{mark}").type == fs.FileType.File]
+
+
 def attempt(name: str, job: str) -> str:
     """A name of this job's and this attempt's own, so that a repeated task never writes into another's file."""
     stem, dot, ending = name.rpartition(".")

@@ -12,6 +12,7 @@ from readloom.operators import lengths as L
 from readloom.operators import overlaps as O
 from readloom.operators import phasing as P
 from readloom.operators import reports as R
+from readloom.operators import tracking as T
 from readloom.sources import text
 
 
@@ -62,7 +63,6 @@ def test_cigar(spark):
 def test_blocks(spark):
     d = spark.createDataFrame([(i, (i + 1) * 10_000) for i in range(10)], "i long, w long")
     assert [tuple(r) for r in B.block_table(d, "i", "w", 80_000).orderBy("block").collect()] == [(0, 0, 4, 100000), (1, 4, 6, 110000), (2, 6, 8, 150000), (3, 8, 9, 90000), (4, 9, 10, 100000)]
-    assert sum(B.split_weighted(3, [1, 2, 3, 4])) == 4 and B.split_weighted(2, [0, 0, 0]) == [3]
     bins = B.largest_first(2, [5, 4, 3, 2])
     assert sorted(i for b in bins for i in b) == [0, 1, 2, 3] and len(bins) == 2
 
@@ -165,3 +165,36 @@ def test_greedy_blocks_fold_over_ranges(spark):
         df = spark.createDataFrame(rows, "o long, w long").repartition(3)
         assert sorted(map(tuple, blocks.greedy_blocks(df, "o", "w", target).collect())) == want
     assert blocks.greedy_blocks(spark.createDataFrame([], "o long, w long"), "o", "w", 5).count() == 0
+
+
+def test_split_over_several_ranges(spark):
+    """Shards end in several ranges, and several in one; against the rule step by step."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for n, weights in ((7, [(i * 37) % 11 for i in range(200)]), (50, [1] * 60), (5, [0] * 30 + [100] + [0] * 30), (12, [1000, *[1] * 99])):
+            got = [r["count"] for r in B.split_table(spark.createDataFrame(list(enumerate(weights)), "o long, w long"), "o", "w", n).groupBy("shard").count().orderBy("shard").collect()]
+            want, at, left, groups = [], 0, sum(weights), min(n, len(weights))
+            while at < len(weights):
+                share, took, size = -(-left // groups), 0, 0
+                while at < len(weights) and (took < share or not left or groups == 1):
+                    took, size, at = took + weights[at], size + 1, at + 1
+                left, groups = left - took, groups - 1
+                want.append(size)
+                if not left and at < len(weights) and not any(weights[at:]):
+                    want[-1], at = want[-1] + len(weights) - at, len(weights)
+            assert got == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_best_partners_in_batches(spark, tmp_path):
+    hits = spark.range(3000).selectExpr("id AS q", "id * 7 % 50 AS t", "id * 13 % 997 + 2000 AS len")
+    best = T.BestPartners(spark, str(tmp_path / "best"), n=5)
+    assert best.best().count() == 0 and best.batches() == set()
+    for k in (2, 0, 1):
+        assert best.add(f"b{k}", hits.where(f"q % 3 = {k}"))
+        assert not best.add(f"b{k}", hits.where(f"q % 3 = {k}"))
+    assert sorted(map(tuple, best.best().select("q", "t", "len").collect())) == sorted(map(tuple, T.top_partners(hits, 5).select("q", "t", "len").collect()))
+    assert best.batches() == {"b0", "b1", "b2"} and len(list((tmp_path / "best").glob("v*"))) == 2
+    (tmp_path / "best" / "v00000009").mkdir()  # an update that didn't come to its end
+    assert T.BestPartners(spark, str(tmp_path / "best"), n=5).best().count() == 250
