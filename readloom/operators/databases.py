@@ -85,7 +85,7 @@ def filtered_database(tables: Mapping[str, DataFrame], blacklist: DataFrame, blo
 def molecule(header: str = "header") -> Column:
     """Movie and zmw of a header, the header itself if it has other parts than three."""
     p = movie_parts(F.col(header))
-    return F.coalesce(F.concat_ws("/", p["movie"], p["zmw"]), F.col(header))
+    return F.when(p.isNotNull(), F.concat_ws("/", p["movie"], p["zmw"])).otherwise(F.col(header))
 
 
 def seeded(seed: int, header: str = "header") -> Column:

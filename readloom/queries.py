@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from readloom.plans import file_queries, overlap_queries, read_queries, report_queries
+from readloom.plans import file_queries, overlap_queries, read_queries, report_queries, text_queries
 
-_ALL = overlap_queries.QUERIES | read_queries.QUERIES | report_queries.QUERIES | file_queries.QUERIES
+_ALL = overlap_queries.QUERIES | read_queries.QUERIES | report_queries.QUERIES | file_queries.QUERIES | text_queries.QUERIES
 
 
 def queries() -> dict[str, Callable]:

@@ -91,8 +91,8 @@ def read_read_contigs(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_phases(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(oid, ctg, block, phase) of lines between spaces, fields 6, 1, 2 and 3 from 0; of one oid the last line counts."""
-    p = spark.read.text(path).where(F.trim("value") != "").select(F.split(F.trim("value"), " +").alias("p"), F.monotonically_increasing_id().alias("at"))
+    """(oid, ctg, block, phase) of lines between spaces, fields 6, 1, 2 and 3 from 0; of one oid the last line counts, of several files the last by name."""
+    p = placed_lines(spark, path).where(F.trim("value") != "").select(F.split(F.trim("value"), " +").alias("p"), F.struct("file", "block", "at").alias("at"))
     x = p.select(*_typed("p", "a string, ctg string, block int, phase int, b string, c string, oid string", 7), "at")
     return x.groupBy("oid").agg(F.max_by(F.struct("ctg", "block", "phase"), "at").alias("x")).select("oid", "x.*")
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from readloom.operators import databases as D
 from readloom.operators import intervals as I
 from readloom.operators import lengths as L
+from readloom.operators import reports as R
+from readloom.operators.overlaps import index_text
 from readloom.sources import text
 
 LINES = ["V\t0.2", "F\t0\treads.fasta\tfasta", *[f"S\t{i}\tm1/{i // 2}/0_{n}\t{n}\t0\t{i}\t{n + 9}" for i, n in enumerate([700_000, 500_000, 5, 1_048_576, 40])], "B\t0\t0\t5\t47232"]
@@ -89,3 +91,23 @@ def test_gff_lines_in_order(spark, tmp_path):
     got = [r.value for r in I.subtract_lines(text.placed_lines(spark, str(tmp_path / "x.gff")), masks, "m.gff").orderBy(*I.LINE_ORDER).collect()]
     piece = lambda q, a, b, k: f"{q}\ts\tr\t{a}\t{b}\t.\t+\t.\tID={k}"
     assert got == ["##gff-version 3", "##end", "##mask m.gff", "", piece("a", 1, 29, 1), piece("b", 3, 9, 2), piece("b", 21, 30, 2), piece("b", 5, 9, 3), piece("b", 3, 9, 2), piece("b", 21, 30, 2)]
+
+
+def test_molecules(spark):
+    rows = names(spark, "m1/7/0_9", "m1/7/9_20", "odd", "a/b", "m1/8/0_1")
+    assert [r.m for r in rows.select(D.molecule().alias("m")).collect()] == ["m1/7", "m1/7", "odd", "a/b", "m1/8"]
+
+
+def test_small_writers(spark, tmp_path):
+    index = spark.createDataFrame([(3, 0, 40), (1, 40, 9)], "n long, pos long, bytes long")
+    text.write_pile_index(index, str(tmp_path / "index"))
+    assert sorted(map(tuple, text.read_pile_index(spark, str(tmp_path / "index")).collect())) == [(1, 40, 9), (3, 0, 40)]
+    assert spark.createDataFrame([("a", 3, 0, 40)], "a_name string, n long, pos long, bytes long").select(index_text()).first()[0] == "a 3 0 40"
+    phased = spark.createDataFrame([(5, 2, 1, 0.75, "r5"), (6, 2, -1, 0.5, "r6")], "v long, label long, phase int, freq double, name string")
+    text.write_phases(phased, str(tmp_path / "phases"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "phases")).collect()) == ["-1\t-1\t-1\t0.5\tr6", "5\t2\t1\t0.75\tr5"]
+    assert json.loads(L.report_json(spark.sql("SELECT 1 AS reads, 2.5D AS mean")).first().report) == {"reads": 1, "mean": 2.5}
+    assert [r.x for r in spark.sql("SELECT explode(array(1.005D, 2.675D, -1.125D, 3D)) AS v").select(R.round2(F.col("v")).alias("x")).collect()] == [1.01, 2.68, -1.13, 3.0]
+    for name, line in (("b.txt", "r c 1 0 x y 7"), ("a.txt", "r c 2 1 x y 7\nr c 3 1 x y 7")):
+        (tmp_path / name).write_text(line + "\n")
+    assert tuple(text.read_phases(spark, [str(tmp_path / "b.txt"), str(tmp_path / "a.txt")]).first()) == ("7", "c", 1, 0)
