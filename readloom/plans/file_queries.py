@@ -34,10 +34,10 @@ def _bam(s: SparkSession, d: str) -> DataFrame:
 
 
 def _shown(x: DataFrame) -> DataFrame:
-    return x.select("qname", "flag", "rname", "pos", "mapq", "cigar", "nm", F.col("ref_end").cast("long").alias("ref_end"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"), F.length("qual").alias("qual_n"))
+    return x.select("qname", "flag", "rname", "pos", "mapq", "cigar", F.coalesce("nm", F.lit(-1)).alias("nm"), F.col("ref_end").cast("long").alias("ref_end"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"), F.length("qual").alias("qual_n"))
 
 
-_BAM_SQL = WA + " SELECT qname, flag, rname, pos, mapq, cigar, nm, CAST(pos + m1 + 50 + d1 AS BIGINT) AS ref_end, md5(substring(repeat('ACGTTGCA', 30), 1 + pos % 8, seq_len)) AS seq_md5, seq_len AS qual_n FROM a"
+_BAM_SQL = WA + " SELECT qname, flag, rname, pos, mapq, cigar, coalesce(nm, -1) AS nm, CAST(pos + m1 + 50 + d1 AS BIGINT) AS ref_end, md5(substring(repeat('ACGTTGCA', 30), 1 + pos % 8, seq_len)) AS seq_md5, seq_len AS qual_n FROM a"
 
 
 # --- PAF lines by contig ---

@@ -40,7 +40,7 @@ def _sam(s: SparkSession, d: str) -> DataFrame:
     heads = table(s, d, "nation").select(F.concat(F.lit("@SQ\tSN:"), F.col("n_nationkey").cast("string"), F.lit("\tLN:"), (F.col("n_nationkey") + 900).cast("string")).alias("value"))
     tag = F.when(F.col("nm").isNotNull(), F.concat(F.lit("NM:i:"), F.col("nm").cast("string")))
     line = F.concat_ws("\t", *[F.expr(f"CAST({c} AS STRING)") for c in ("qname", "flag", "rname", "pos + 1", "mapq", "cigar", "'*'", "0", "0", "repeat('A', seq_len)", "'*'")], tag)
-    return _as_lines(s, "sam", heads.union(x.select(line)), lambda p: text.read_sam(s, p)[0]).select("qname", "flag", "rname", "pos", "mapq", "cigar", "seq_len", "nm", F.size("tags").alias("n_tags"))
+    return _as_lines(s, "sam", heads.union(x.select(line)), lambda p: text.read_sam(s, p)[0]).select("qname", "flag", "rname", "pos", "mapq", "cigar", "seq_len", F.coalesce("nm", F.lit(-1)).alias("nm"), F.size("tags").alias("n_tags"))
 
 
 def _index_lines(s: SparkSession, d: str) -> DataFrame:
@@ -63,7 +63,7 @@ QUERIES = {
         lambda s, d: _through(s, "fasta", lambda p: text.write_fasta(view(s, d, _SEQ).select(F.concat_ws(" ", F.col("key").cast("string"), F.lit("more")).alias("name"), F.regexp_replace("seq", r"[^A-Za-z]", "").alias("seq")), p), lambda p: text.read_fasta(s, p)).select("name", F.length("seq").alias("n"), F.md5(F.col("seq").cast("binary")).alias("h")),
         WS + ", l AS (SELECT CAST(key AS VARCHAR) AS name, regexp_replace(seq, '[^A-Za-z]', '', 'g') AS s FROM q) SELECT name, CAST(length(s) AS INT) AS n, md5(s) AS h FROM l",
     ),
-    "sam_records": (_sam, WA + " SELECT qname, flag, rname, pos, mapq, cigar, seq_len, nm, CASE WHEN nm IS NULL THEN 0 ELSE 1 END AS n_tags FROM a"),
+    "sam_records": (_sam, WA + " SELECT qname, flag, rname, pos, mapq, cigar, seq_len, coalesce(nm, -1) AS nm, CASE WHEN nm IS NULL THEN 0 ELSE 1 END AS n_tags FROM a"),
     "gff_records": (
         lambda s, d: _as_lines(s, "gff", table(s, d, "orders").select(_tabs("o_custkey % 40", "'src'", "'region'", "o_orderkey + 1", "o_orderkey + 9", "'.'", "'+'", "'.'", "concat('cov=1,', o_custkey % 9, ',', o_custkey % 9 + 2, ';cov2=', o_custkey % 9, '.5,0.25;gaps=0,', o_orderkey % 3)")), lambda p: text.gff_coverage(text.read_gff(s, p))),
         "SELECT CAST(o_custkey % 40 AS VARCHAR) AS seq, CAST(o_orderkey AS INT) AS start, CAST(o_orderkey + 9 AS INT) AS \"end\", '+' AS strand, 1.0::DOUBLE AS cov_min, CAST(o_custkey % 9 AS DOUBLE) AS cov_median, CAST(o_custkey % 9 + 2 AS DOUBLE) AS cov_max, o_custkey % 9 + 0.5::DOUBLE AS cov_mean, 0.25::DOUBLE AS cov_sd, 0.0::DOUBLE AS n_gaps, CAST(o_orderkey % 3 AS DOUBLE) AS tot_gaps FROM orders",
