@@ -17,27 +17,48 @@ MIX = {"share": (19, 20), "epochs": 1}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a rule rejects go."""
+    """Documents that a rule rejects go.
+
+    A null or empty text has too few words and goes; rows that repeat are judged alike; rows that stay keep all their
+    columns, whatever their names; no rows in, no rows out.
+    """
     return quality.keep_good(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id stays."""
+    """Of equal texts the one with the largest id stays.
+
+    Null counts as the empty text; a null id never wins against an id; rows that repeat id and text stay or go together, and
+    so do those without an id; columns stay as they are; no rows in, no rows out.
+    """
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links reach from each other, the one with the smallest id stays."""
+    """Of documents that links reach from each other, the one with the smallest id stays.
+
+    Texts without a word are linked with nothing and stay; rows are told apart by id and text, so of several with one id only
+    those under a smaller one go; a row without an id goes if its component has an id; columns stay as they are; no rows in, no
+    rows out.
+    """
     return jaccard_join.drop_near_duplicates(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token budget of each domain, language and source is met. As MIX asks for nearly all tokens of documents that come once at most, few leaves are cut, and the shares stay close to what came in."""
+    """The token budget of each domain, language and source is met. As MIX asks for nearly all tokens of documents that come once at most, few leaves are cut, and the shares stay close to what came in.
+
+    Null texts have no tokens, null languages and sources are the empty one; rows that repeat are taken or left together;
+    columns stay as they are; no rows in, no rows out.
+    """
     return mixing.mixed_documents(docs, **MIX)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of the whole text, and the text that they decode to, as digests."""
+    """Ids of the whole text, and the text that they decode to, as digests.
+
+    A null text is the empty one and has no ids; every row gives a row, those that repeat too; the columns are doc_id,
+    n_tokens, ids_sha256 and decoded_sha256; no rows in, no rows out.
+    """
     return bpe.bpe_digests(docs, vocabulary("byte_bpe_50k.json"))
 
 
