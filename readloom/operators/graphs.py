@@ -26,9 +26,9 @@ def _least(ways: DataFrame) -> DataFrame:
 
 
 def with_least(ways: DataFrame, least: DataFrame, hub: int) -> DataFrame:
-    """ways (u, v) and the least of each u, from a written table (u, least, n)."""
-    total = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    is_hub = F.col("n") >= max(hub, -(-total // HUBS))
+    """ways (u, v) and the least of each u, from (u, least, n)."""
+    least = least.crossJoin(F.broadcast(least.agg(F.expr(f"greatest({hub}L, coalesce(ceil(sum(n) / {HUBS}), 0))").alias("many"))))  # one row
+    is_hub = F.expr("n >= many")
     return keyed_join(ways, least.where(is_hub).select(F.col("u").alias("hub"), F.col("least").alias("hub_least")), least.where(~is_hub).select(F.col("u").alias("key"), "least")).select("u", "v", F.coalesce("hub_least", "least").alias("least"))
 
 
@@ -48,15 +48,13 @@ def _stars(edges: DataFrame, large: bool, hub: int) -> DataFrame:
     """edges (a, b) after one kind of star, as a written table."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     ways = down.union(down.select("v", "u")) if large else down
-    least = written(_least(ways).withColumn("least", F.least("u", "least")), "least")
+    least = _least(ways).withColumn("least", F.least("u", "least"))
     met = with_least(ways, least, hub)
     if large:
         new = met.where("v > u").select(F.col("v").alias("a"), F.col("least").alias("b"))
     else:
         new = met.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("least").alias("b")), F.struct(F.col("u").alias("a"), F.col("least").alias("b")))).alias("x")).select("x.*")
-    out = written(new.where("a != b").distinct(), "stars")
-    release(least)
-    return out
+    return written(new.where("a != b").distinct(), "stars")
 
 
 def _mark(edges: DataFrame) -> tuple:

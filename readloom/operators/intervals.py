@@ -29,6 +29,8 @@ def subtract(rows: DataFrame, masks: DataFrame, width: int = 10_000, merged: boo
     m = masks.where("start <= end").select("seq", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     m = m.select("*", bins("r_start", "r_end"))
     x = rows.join(masks.select("seq").distinct(), "seq", "left_semi").select("id", "seq", "start", "end").where("start <= end")
+    # hits are many times the rows: by number, so that these aren't put together into few tasks for being small
+    x = x.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "seq", "start", "end")
     x = x.groupBy("id", "seq", "start", "end").agg(F.count("*").alias("times")).select("*", bins("start", "end")).alias("x")
     meets = F.expr(f"x.seq = m.seq AND x.bin = m.bin AND start <= r_end AND r_start <= end AND x.bin = greatest(start, r_start) div {width}")
     hit = x.join(m.alias("m"), meets, "left").select("id", "x.seq", "start", "end", "times", "r_start", "r_end")  # a row without a mask in each bin that has none
@@ -39,8 +41,8 @@ def subtract(rows: DataFrame, masks: DataFrame, width: int = 10_000, merged: boo
     gaps = F.expr("""filter(array(if(r_start IS NOT NULL, struct(from AS start, r_start - 1 AS end), NULL),
       if(last AND r_start IS NOT NULL, struct(greatest(reach + 1, start) AS start, end AS end), NULL),
       if(first AND last AND r_start IS NULL, struct(start AS start, end AS end), NULL)), g -> g.start <= g.end)""")
-    found = at.select("id", "seq", "times", F.inline(gaps))
-    return found.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times")
+    repeated = F.when(F.col("times") == 1, gaps).otherwise(F.flatten(F.array_repeat(gaps, F.col("times").cast("int"))))
+    return at.select("id", "seq", F.inline(repeated))
 
 
 def span_summary(rows: DataFrame, span: Column) -> DataFrame:

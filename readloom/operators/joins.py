@@ -18,10 +18,13 @@ BLOCK, HEAVY = 4096, 50_000
 
 def heavy_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], block: int = BLOCK) -> DataFrame:
     """(keys, in_a, in_b): into how many blocks each side's rows of a key are dealt, of the keys that both have and either has more of than a block."""
-    sides = [x.groupBy(*keys).agg(F.count("*").alias("n")) for x in (a, b)]
-    limits = [max(block, -(-x.count() // HEAVY)) for x in (a, b)]
-    both = sides[0].withColumnRenamed("n", "n_a").join(sides[1].withColumnRenamed("n", "n_b"), list(keys)).where((F.col("n_a") > limits[0]) | (F.col("n_b") > limits[1]))
-    return both.select(*keys, *[F.expr(f"CAST(ceil(n_{s} / {k}) AS INT)").alias(f"in_{s}") for s, k in zip("ab", limits, strict=True)])
+    sides = []
+    for side, x in (("a", a), ("b", b)):
+        n = x.groupBy(*keys).agg(F.count("*").alias(f"n_{side}"))
+        total = n.agg(F.expr(f"greatest({block}L, coalesce(ceil(sum(n_{side}) / {HEAVY}), 0))").alias(f"most_{side}"))
+        sides.append(n.crossJoin(F.broadcast(total)))  # one row
+    both = sides[0].join(sides[1], list(keys)).where("n_a > most_a OR n_b > most_b")
+    return both.select(*keys, *[F.expr(f"CAST(ceil(n_{s} / most_{s}) AS INT)").alias(f"in_{s}") for s in "ab"])
 
 
 def block_join(a: DataFrame, b: DataFrame, keys: Sequence[str], spread_a: Sequence[str], spread_b: Sequence[str], block: int = BLOCK) -> DataFrame:
