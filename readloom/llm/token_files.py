@@ -8,7 +8,8 @@ among their own ids; a table of the files' totals, a row a file, turns it into t
 
 Encoding is the tokenizers library's. A word's ids don't depend on its neighbours under the given
 vocabulary (white space is dropped before the merges), so a task encodes each different word once.
-encode_texts says when that holds and encodes whole texts otherwise.
+encode_texts says when that holds and encodes whole texts otherwise. Arrow splits the texts and numbers the
+different words of a stretch of documents, without the marks at their ends, so that only those become Python's objects.
 
 Defined results: a null text is empty and has the end id alone; null ids come first; rows with equal ids
 are all written, in the order of their texts; an empty table gives one empty set of files; texts are never cut.
@@ -18,14 +19,17 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import string
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -40,13 +44,15 @@ LAYOUT = {"parquet.block.size": 32 << 20, "parquet.page.size": 256 << 10, "parqu
 BETWEEN = "~"
 #: Documents in a file, about; files whose totals are summed in one task; totals that are broadcast at most (some 20 bytes each).
 ROWS_PER_FILE, FILES_TOGETHER, BROADCAST_FILES = 10_000, 1024, 200_000
-#: Different words that a worker remembers at a time, over its tasks.
-CACHE_WORDS = 900_000
+#: Different words that a worker remembers at a time, over its tasks; bytes of text encoded at a time, or one document.
+CACHE_WORDS, STRETCH = 900_000, 4 << 20
 
 #: Fixed value: how the given vocabulary cuts a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Marks that end a word, in ASCII: no letters, numbers or white space.
-MARKS = string.punctuation.encode()
+MARKS = string.punctuation
+#: What keeps a word's capitals from being lower-cased here: a special token's <, and marks that compose with A-Z (lower-casing comes after composing, which is the library's to do).
+CAPITALS = "[<\u0300-\u037f]"
 #: Letters before this one, if lower-case, are what the normalizers leave as they are.
 STABLE = "\u0250"
 #: The letter that stands for each byte in a byte-level vocabulary.
@@ -79,46 +85,40 @@ def _cuts_at_marks(spec: dict) -> bool:
 class _Words:
     """Ids of the words seen: word number n has sizes[n] of ids, from starts[n]."""
 
-    def __init__(self, between: str, between_id: int, lower: bool, at_marks: bool):
-        self.between, self.between_id, self.lower, self.at_marks = between, between_id, lower, at_marks
+    def __init__(self, between: str, between_id: int, lower: bool, at_marks: bool, merges=None, last: np.ndarray | None = None):  # noqa: ANN001
+        self.between, self.between_id, self.lower, self.at_marks, self.merges, self.last = between, between_id, lower, at_marks, merges, last
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
         self.ids, self.starts, self.sizes, self.n, self.n_ids = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0
+        self._add([b""], np.zeros(1, np.int64), self.ids)  # number 0
 
     def learn(self, words: list[bytes], tok) -> None:  # noqa: ANN001
-        """Encodes new words. Of one that ends in marks, the rest and the marks are words of their own; a lower-case one goes straight to the library's merges."""
-        if not self.at_marks:
-            return self._encode(words, tok)
-        marked, parts = [], set()
+        """Encodes words that are not known yet; a lower-case one goes straight to the library's merges."""
+        texts, straight, other = [], [], []
         for w in words:
-            core = w.rstrip(MARKS)
-            if len(core) < len(w) and core[-1:].isalnum() and b"<" not in w:  # special tokens have a <
-                marked.append((w, core, w[len(core) :]))
-                parts.update(marked[-1][1:])
-            else:
-                parts.add(w)
-        found, sizes, straight, other = [], [], [], []
-        for w in parts.difference(self.number):
-            if w.isalpha() and w.islower():
-                text = w.decode()
-            elif (text := w.decode()).isalpha() and text == text.lower() and max(text) < STABLE:
-                text = w.decode("latin-1").translate(_BYTES)
+            if self.at_marks and w.isalpha() and w.islower():
+                texts.append(w.decode())
+            elif self.at_marks and (text := w.decode()).isalpha() and text == text.lower() and max(text) < STABLE:
+                texts.append(w.decode("latin-1").translate(_BYTES))
             else:
                 other.append(w)
                 continue
-            ids = [t.id for t in tok.model.tokenize(text)]
-            found += ids
-            sizes.append(len(ids))
             straight.append(w)
-        self._add(straight, np.array(sizes, np.int64), np.array(found, np.int32))
+        self._add(straight, *self._merged(texts, tok))
         self._encode(other, tok)
-        if marked:
-            two = np.array([(self.number[c], self.number[m]) for _, c, m in marked], np.int64).ravel()
-            size = self.sizes[two]
-            at = np.repeat(self.starts[two] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            self._add([w for w, _, _ in marked], size.reshape(-1, 2).sum(1), self.ids[at])
+
+    def _merged(self, texts: list[str], tok) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+        """(number of ids of each text, ids): the library's merges of each text as one piece, many at a time where the last id of a piece shows."""
+        if self.merges is not None:
+            many = self.merges.encode_batch_fast([" ".join(texts[k : k + 500]) for k in range(0, len(texts), 500)], add_special_tokens=False)
+            ids = np.concatenate([np.zeros(0, np.int32), *(np.array(e.ids, np.int32) for e in many)])
+            ends = np.flatnonzero(self.last[ids])
+            if len(ends) == len(texts):
+                return np.diff(ends, prepend=-1), ids
+        found = [[t.id for t in tok.model.tokenize(x)] for x in texts]
+        return np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], np.int32)
 
     def _encode(self, words: list[bytes], tok) -> None:  # noqa: ANN001
         """Many words in one text, with a token between that no word without its character has."""
@@ -149,7 +149,7 @@ def _tokenizer(path: str):  # noqa: ANN202
     """The tokenizer, and whether it drops white space and keeps words apart."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         spec = json.loads(Path(path).read_text())
         parts = json.dumps(spec.get("normalizer")) + json.dumps(spec.get("pre_tokenizer"))
@@ -158,56 +158,83 @@ def _tokenizer(path: str):  # noqa: ANN202
         tok.no_truncation()
         tok.no_padding()
         between = tok.encode(BETWEEN, add_special_tokens=False).ids
-        _loaded[path] = (tok, by_word and len(between) == 1, _Words(BETWEEN, between[0], '"Lowercase"' in json.dumps(spec.get("normalizer")), _cuts_at_marks(spec)))
+        at_marks, merges, last = _cuts_at_marks(spec), None, None
+        if at_marks and (end := spec["model"].get("end_of_word_suffix")):
+            merges, vocab = Tokenizer(tok.model), tok.get_vocab()
+            merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            last = np.zeros(max(vocab.values()) + 1, bool)
+            last[[i for t, i in vocab.items() if t.endswith(end)]] = True
+        _loaded[path] = (tok, by_word and len(between) == 1, _Words(BETWEEN, between[0], '"Lowercase"' in json.dumps(spec.get("normalizer")), at_marks, merges, last))
     return _loaded[path]
 
 
-def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: list[str] | pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in a row, number of ids of each)."""
     tok, by_word, cache = _tokenizer(path)
     if not by_word:
-        found = [x.ids for x in tok.encode_batch(texts, add_special_tokens=False)]
+        found = [x.ids for x in tok.encode_batch(texts if isinstance(texts, list) else texts.to_pylist(), add_special_tokens=False)]
         return np.fromiter((i for x in found for i in x), np.int32), np.array([len(x) for x in found], np.int64)
-    words, counts = [], np.zeros(len(texts), np.int64)
-    for k, text in enumerate(texts):
-        raw = text.encode()
-        lower = cache.lower and b"<" not in raw  # what the vocabulary lower-cases need not be told apart, but for special tokens
-        if not lower:
-            own = raw.split()
-        elif b"\xcc" in raw or b"\xcd" in raw:  # with a mark that composes with A-Z, lower-casing comes after composing, which is the library's to do
-            own = [w.lower() if w.isascii() else w for w in raw.split()]
-        else:
-            own = raw.lower().split()
-        words += own
-        counts[k] = len(own)
-    places = list(map(cache.number.get, words))
-    if None in places:
+    split = pc.ascii_split_whitespace(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
+    counts = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+    coded = split.flatten().dictionary_encode()
+    different = coded.dictionary
+    if cache.lower:  # what the vocabulary lower-cases need not be told apart
+        different = pc.if_else(pc.match_substring_regex(different, CAPITALS), different, pc.ascii_lower(different))
+    words, two = _parts(different, cache.at_marks)
+    places = np.fromiter(map(cache.number.get, words, repeat(-1)), np.int64, len(words))
+    unknown = np.flatnonzero(places < 0)
+    if len(unknown):
         if len(cache.number) > CACHE_WORDS:
             cache.clear()
-            cache.learn(list(set(words)), tok)
-            places = list(map(cache.number.get, words))
-        else:
-            unknown = [i for i, p in enumerate(places) if p is None]
-            cache.learn(list({words[i] for i in unknown}), tok)
-            for i in unknown:
-                places[i] = cache.number[words[i]]
-    at = np.array(places, np.int64)
+            unknown = np.flatnonzero(words != b"")
+            places[:] = 0
+        cache.learn(new := words[unknown].tolist(), tok)
+        places[unknown] = np.fromiter(map(cache.number.__getitem__, new), np.int64, len(new))
+    at = places[two][coded.indices.to_numpy(zero_copy_only=False)].ravel()
     sizes = cache.sizes[at]
     until = np.cumsum(sizes)
     ids = cache.ids[np.repeat(cache.starts[at] - until + sizes, sizes) + np.arange(until[-1] if len(until) else 0)]
-    ends = np.concatenate(([0], until))[np.cumsum(counts)]
+    ends = np.concatenate(([0], until))[2 * np.cumsum(counts)]
     return ids, np.diff(ends, prepend=0)
 
 
+def _parts(words: pa.Array, at_marks: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(different parts, two of them for each word): of a word that ends in marks the rest and the marks, else the word and the empty one."""
+    if at_marks:
+        core = pc.utf8_rtrim(words, MARKS)
+        apart = pc.and_(pc.not_equal(pc.binary_length(core), pc.binary_length(words)), pc.match_substring_regex(core, r"[A-Za-z0-9]\z"))
+        apart = pc.and_not(apart, pc.match_substring(words, "<"))  # special tokens have a <
+        marks = pc.struct_field(pc.extract_regex(words.filter(apart), f"(?P<marks>[{re.escape(MARKS)}]+)\\z"), "marks")
+        words = pc.if_else(apart, core, words)
+    else:
+        apart, marks = pa.array(np.zeros(len(words), bool)), words[:0]
+    coded = pa.concat_arrays([pa.array([""], words.type), words, marks]).dictionary_encode()
+    number = coded.indices.to_numpy()
+    two = np.zeros((len(words), 2), np.int64)
+    two[:, 0] = number[1 : 1 + len(words)]
+    two[apart.to_numpy(zero_copy_only=False), 1] = number[1 + len(words) :]
+    return coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False), two
+
+
+def _stretches(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of stretches of some STRETCH bytes, one row at least."""
+    until, first = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while first < len(until):
+        stop = max(first + 1, int(np.searchsorted(until, (until[first - 1] if first else 0) + STRETCH, "right")))
+        yield first, stop - first
+        first = stop
+
+
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", rows_per_file: int = ROWS_PER_FILE) -> None:
     """Files under folder: (id, file, place, n_tokens, tokens), ids ascending within and across files."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, at = TaskContext.get().partitionId(), 0  # the range's number
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                ids, counts = encode_texts([x or "" for x in part.column(1).to_pylist()], path)
+            texts = pc.fill_null(batch.column(1), "")
+            for k, n in _stretches(texts):
+                part = batch.slice(k, n)
+                ids, counts = encode_texts(texts.slice(k, n), path)
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, end_id)
                 offsets = np.concatenate(([0], ends + np.arange(1, len(ends) + 1)))

@@ -7,6 +7,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,6 +298,28 @@ def test_words_and_marks():
     assert all(ids[at[k] : at[k + 1]].tolist() == e.ids for k, e in enumerate(want))
 
 
+@pytest.mark.parametrize("known", [900_000, 3])
+def test_words_once(monkeypatch, known):
+    """Of a stretch of documents each different word is looked at once, without its marks and capitals; forgotten words are encoded again."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "CACHE_WORDS", known)
+    monkeypatch.setattr(token_files, "STRETCH", 60)
+    monkeypatch.setattr(token_files, "_loaded", {})
+    path, r = token_files.vocabulary("word_bpe_49k.json"), random.Random(2)
+    texts = [" Reads, reads!! READS\treads\x0b", "", " \n", "Über, reads. <|endoftext|> <B>", "\x1creads\u2003reads", *(" ".join(r.choices(["reads,", "Ñandú!", "'s", "&&&", "H\u0331y.", "it's.", "x1-"], k=r.randint(0, 20))) for _ in range(50))]
+    rows = pa.array([*texts[:2], None, *texts[2:]])
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch([x or "" for x in rows.to_pylist()], add_special_tokens=False)]
+    got, cuts = [], list(token_files._stretches(pc.fill_null(rows, "")))
+    for k, n in cuts:
+        ids, counts = token_files.encode_texts(pc.fill_null(rows, "").slice(k, n), path)
+        got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == want and len(cuts) > 10 and [c[0] for c in cuts] == [0, *np.cumsum([c[1] for c in cuts])[:-1]]
+    token_files._loaded.clear()
+    token_files.encode_texts(texts[:1], path)
+    assert set(token_files._loaded[path][2].number) == {b"", b"reads", b",", b"!!"}
+
+
 def test_capitals_with_marks(spark, tmp_path):
     """Capitals that have no composed form with a mark, while their lower-case letters have one."""
     import unicodedata
