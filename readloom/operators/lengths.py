@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,14 +16,19 @@ def length_counts(df: DataFrame, col: str) -> DataFrame:
     return c.select("len", "n", F.sum(F.col("len") * F.col("n")).over(order).alias("upto"), F.sum("n").over(order).alias("rank"))
 
 
+def _reads_to(percent: str, total: str) -> Column:
+    """Of a row of length_counts(): how many reads, from the largest, it takes to reach a percentage of the total that lies within the row. In whole numbers, and lengths of 0 add nothing."""
+    missing = f"{percent} * {total} - 100 * (upto - len * n)"
+    return F.expr(f"rank - n + greatest(1, CASE WHEN len > 0 THEN ({missing} + 100 * len - 1) div (100 * len) END)")
+
+
 def nx_lx(df: DataFrame, col: str, percents: Sequence[int] = (50, 75, 90, 95, 100)) -> DataFrame:
     """(percent, nx, lx): the length at which the running sum from the largest reaches that share, and how many reads it takes."""
     c = length_counts(df, col)
     total = c.agg(F.max("upto").alias("total"))
     p = df.sparkSession.createDataFrame([(x,) for x in percents], "percent int")
     met = c.crossJoin(F.broadcast(total)).join(F.broadcast(p), F.expr("100 * upto >= percent * total"))
-    prior = F.expr("upto - len * n")
-    lx = F.expr("rank - n") + F.greatest(F.lit(1), F.ceil((F.col("percent") * F.col("total") / 100 - prior) / F.col("len")))
+    lx = _reads_to("percent", "total")
     return met.groupBy("percent").agg(F.max(F.struct("len", lx.cast("long").alias("lx"))).alias("x")).select("percent", F.col("x.len").alias("nx"), F.col("x.lx").alias("lx"))
 
 

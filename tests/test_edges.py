@@ -1,5 +1,6 @@
 """Figures of very large contigs, rows that repeat, sequences that are too short."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions import sequence as S
@@ -14,6 +15,24 @@ def test_esize_of_large_contigs(spark):
     assert L.assembly_stats(contigs, "len").first()["esize"] == 250_000_000
 
 
+@pytest.fixture(scope="module")
+def with_empty(spark):
+    """Reads of which some have no bases."""
+    return spark.createDataFrame(list(enumerate([30, 0, 10, 0, 20, 20, 0, 20])), "pos long, len long")
+
+
+def test_points_with_reads_without_bases(with_empty):
+    got = {r.percent: (r.nx, r.lx) for r in L.nx_lx(with_empty, "len").collect()}
+    assert got == {50: (20, 2), 75: (20, 4), 90: (20, 4), 95: (10, 5), 100: (10, 5)}
+    assert {(r.nx, r.lx) for r in L.nx_lx(with_empty.where("len = 0"), "len").collect()} == {(0, 1)}
+
+
+def test_points_are_whole_numbers(spark):
+    """Sums beyond what a double holds exactly: half of them is reached by the second of three equal reads, and by no more."""
+    reads = spark.createDataFrame([(2**55 + 1,), (2**55 + 1,), (1,)], "len long")
+    assert [(r.nx, r.lx) for r in L.nx_lx(reads, "len", [50]).collect()] == [(2**55 + 1, 2)]
+
+
 def test_subtract_keeps_rows_that_repeat(spark):
     rows = spark.createDataFrame([(1, "c", 1, 30), (1, "c", 1, 30), (2, "c", 1, 30)], "id long, seq string, start long, end long")
     masks = spark.createDataFrame([("c", 10, 20)], "seq string, start long, end long")
