@@ -65,7 +65,7 @@ def length_report(df: DataFrame, col: str, percents: Sequence[int] = (50, 95)) -
     all_ = c.agg(F.max("upto").alias("total"), F.max("rank").alias("number"))
     x = c.crossJoin(F.broadcast(all_))  # one row
     at = lambda p: F.max(F.when(F.col("rank") > F.least(F.floor(F.col("number") * F.lit(1 - p)), F.col("number") - 1), F.col("len")))
-    reached = lambda p: F.when(F.expr(f"100 * upto >= {p} * total"), F.struct("len", (F.expr("rank - n") + F.greatest(F.lit(1), F.ceil((p * F.col("total") / 100 - F.expr("upto - len * n")) / F.col("len")))).cast("long").alias("l")))
+    reached = lambda p: F.when(F.expr(f"100 * upto >= {p} * total"), F.struct("len", _reads_to(str(p), "total").cast("long").alias("l")))
     one = x.agg(
         F.max("number").alias("number"), F.max("total").alias("total"), F.expr("try_divide(CAST(max(total) AS DOUBLE), max(number))").alias("mean"), at(0.5).alias("median"), at(0.95).alias("p95"),
         F.min("len").alias("min"), F.max("len").alias("max"), F.expr("try_divide(CAST(sum(CAST(len AS DECIMAL(19, 0)) * CAST(len AS DECIMAL(19, 0)) * n) AS DOUBLE), max(total))").alias("esize"), *[F.max(reached(p)).alias(f"r{p}") for p in percents],

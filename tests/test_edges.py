@@ -27,6 +27,13 @@ def test_points_with_reads_without_bases(with_empty):
     assert {(r.nx, r.lx) for r in L.nx_lx(with_empty.where("len = 0"), "len").collect()} == {(0, 1)}
 
 
+def test_report_with_reads_without_bases(with_empty):
+    r = L.length_report(with_empty, "len").first()
+    assert (r.number, r.total, r.median, r.min, r.max, r.n50, r.l50, r.n95, r.l95) == (8, 100, 10, 0, 30, 20, 2, 10, 5) and r.esize == 22.0
+    none = L.length_report(with_empty.where("len = 0"), "len").first()
+    assert (none.number, none.total, none.n50, none.l50) == (3, 0, 0, 1)
+
+
 def test_points_are_whole_numbers(spark):
     """Sums beyond what a double holds exactly: half of them is reached by the second of three equal reads, and by no more."""
     reads = spark.createDataFrame([(2**55 + 1,), (2**55 + 1,), (1,)], "len long")
