@@ -34,6 +34,11 @@ def test_report_with_reads_without_bases(with_empty):
     assert (none.number, none.total, none.n50, none.l50) == (3, 0, 0, 1)
 
 
+def test_preassembly_with_reads_without_bases(with_empty):
+    r = L.preassembly_stats(with_empty, with_empty.where("len != 20"), 0, 100).first()
+    assert (r.raw_reads, r.raw_bases, r.raw_n50, r.seed_reads, r.preassembled_reads, r.preassembled_n50, r.preassembled_seed_truncation) == (8, 100, 20, 8, 5, 30, 0.0)
+
+
 def test_points_are_whole_numbers(spark):
     """Sums beyond what a double holds exactly: half of them is reached by the second of three equal reads, and by no more."""
     reads = spark.createDataFrame([(2**55 + 1,), (2**55 + 1,), (1,)], "len long")
