@@ -39,6 +39,11 @@ def test_preassembly_with_reads_without_bases(with_empty):
     assert (r.raw_reads, r.raw_bases, r.raw_n50, r.seed_reads, r.preassembled_reads, r.preassembled_n50, r.preassembled_seed_truncation) == (8, 100, 20, 8, 5, 30, 0.0)
 
 
+def test_assembly_with_contigs_without_bases(with_empty):
+    r = L.assembly_stats(with_empty, "len").first()
+    assert (r["sum"], r["N100"], r["L100"], r["N90"], r["L90"], r["N50"], r["L50"], r["esize"]) == (100, 10, 5, 20, 4, 20, 2, 22)
+
+
 def test_points_are_whole_numbers(spark):
     """Sums beyond what a double holds exactly: half of them is reached by the second of three equal reads, and by no more."""
     reads = spark.createDataFrame([(2**55 + 1,), (2**55 + 1,), (1,)], "len long")
