@@ -44,6 +44,11 @@ def test_assembly_with_contigs_without_bases(with_empty):
     assert (r["sum"], r["N100"], r["L100"], r["N90"], r["L90"], r["N50"], r["L50"], r["esize"]) == (100, 10, 5, 20, 4, 20, 2, 22)
 
 
+def test_assembly_table_with_contigs_without_bases(with_empty):
+    lines = L.assembly_table(L.assembly_stats(with_empty, "len")).first().report.split("\n")
+    assert lines[0] == "Assembly statistics" and lines[5].split() == ["10", "min", "(aka", "N100)"] and lines[6].split()[0] == "5"
+
+
 def test_points_are_whole_numbers(spark):
     """Sums beyond what a double holds exactly: half of them is reached by the second of three equal reads, and by no more."""
     reads = spark.createDataFrame([(2**55 + 1,), (2**55 + 1,), (1,)], "len long")
