@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.operators.blocks import greedy_blocks, split_table
-from readloom.operators.running import keep, place, release, totals_before, written
+from readloom.operators.running import keep, place, totals_before, written
 
 
 def unique_lengths(*tables: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def block_shards(pairs: DataFrame, blocks: DataFrame, n_shards: int) -> DataFram
 FILE_ORDER = ["ctg", "file_of_line", "block_of_line", "at"]
 
 
-def _files(reads: DataFrame, blocks: DataFrame, n_shards: int, shard: str, block: str, ids: str, paf: bool) -> DataFrame:
+def _files(reads: DataFrame, counts: DataFrame, blocks: DataFrame, n_shards: int, shard: str, block: str, ids: str, paf: bool) -> DataFrame:
     none = {"ctg": F.lit(""), "file_of_line": F.lit(""), "block_of_line": F.lit(0).cast("long"), "at": F.lit(0).cast("long")}
     row = lambda file, value, **at: [file.alias("file"), *[at.get(k, c).alias(k) for k, c in none.items()], value.alias("value")]
     name = lambda prefix, number, kind: F.concat(F.lit(f"{prefix}."), F.col(number).cast("string"), F.lit(f".{kind}"))
@@ -55,7 +55,7 @@ def _files(reads: DataFrame, blocks: DataFrame, n_shards: int, shard: str, block
     # a line gives its rows for all kinds at once
     lines = dealt.select(F.explode(F.array(*[F.struct(*row(name(block, "block", kind), F.col(c), **place_)) for kind, c in kinds])).alias("x")).select("x.*")
     contigs = blocks.select(*row(name(block, "block", "ctg_id"), F.col("ctg"), ctg=F.col("ctg")))
-    shards = written(split_table(dealt.groupBy("block").agg(F.count("*").alias("reads")), "block", "reads", n_shards), "shards")
+    shards = written(split_table(counts.join(blocks.select("ctg", "block"), "ctg").groupBy("block").agg(F.sum("reads").alias("reads")), "block", "reads", n_shards), "shards")
     in_shard = shards.select(*row(name(shard, "shard", "block_ids"), F.col("block").cast("string"), at=F.col("block").cast("long")))
     listed = shards.select("shard").distinct().select(*row(F.lit(ids), F.col("shard").cast("string"), at=F.col("shard").cast("long")))
     return lines.unionByName(contigs).unionByName(in_shard).unionByName(listed)
@@ -67,8 +67,9 @@ def split_files(pairs: DataFrame, lengths: DataFrame, target: int, n_shards: int
     Of each block its contigs and their reads, of each shard its blocks, and the list of shards.
     """
     reads = pairs.join(contig_reads(pairs, blacklist, lengths).select("ctg").distinct(), "ctg", "left_semi")
-    blocks = written(contig_blocks(reads, lengths, target), "contig-blocks")
-    return _files(reads, blocks, n_shards, shard, block, ids, paf=False)
+    counts = written(reads.groupBy("ctg").agg(F.count("*").alias("reads")), "contigs")
+    blocks = written(contig_blocks(counts, lengths, target), "contig-blocks")
+    return _files(reads, counts, blocks, n_shards, shard, block, ids, paf=False)
 
 
 def split_paf_files(lines: DataFrame, lengths: DataFrame, target: int, n_shards: int, blacklist: DataFrame | None = None, shard: str = "shard", block: str = "block", ids: str = "all_shard_ids") -> DataFrame:
@@ -78,11 +79,10 @@ def split_paf_files(lines: DataFrame, lengths: DataFrame, target: int, n_shards:
     x = x.withColumn("ctg", F.coalesce("ctg", F.raise_error(F.concat(F.lit("not a PAF line: "), F.col("value"))).cast("string")))
     if blacklist is not None:
         x = x.join(blacklist.select(F.col("name").alias("ctg")).distinct(), "ctg", "left_anti")
-    known = x.select("ctg").distinct().join(lengths.select(F.col("name").alias("ctg"), "len"), "ctg", "left")
+    known = x.groupBy("ctg").agg(F.count("*").alias("reads")).join(lengths.select(F.col("name").alias("ctg"), "len"), "ctg", "left")
     known = written(known.withColumn("len", F.coalesce("len", F.raise_error(F.concat(F.lit("no length of the contig "), F.col("ctg"))).cast("long"))), "contigs")
     blocks = written(contig_blocks(known, known.withColumnRenamed("ctg", "name"), target), "contig-blocks")
-    release(known)
-    return _files(x, blocks, n_shards, shard, block, ids, paf=True)
+    return _files(x, known, blocks, n_shards, shard, block, ids, paf=True)
 
 
 def write_parts(rows: DataFrame, part: str, line: str, path: str) -> None:

@@ -116,8 +116,8 @@ def _split_paf(s: SparkSession, d: str) -> DataFrame:
     lengths = view(s, d, TARGETS).select(F.col("rname").alias("name"), F.col("ref_len").cast("long").alias("len"))
     gone = table(s, d, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").cast("string").alias("name"))
     files.write_files(X.split_paf_files(text.placed_lines(s, paf), lengths, 3000, 3, gone), out, *X.FILE_ORDER)
-    found = spans.read_spans(spans.index_lines(s, out, 0))
-    return found.select(F.regexp_extract("file", "([^/]+)$", 1).alias("file"), "start", "value")
+    found = spans.read_spans(spans.index_lines(s, out, None))
+    return found.select(F.substring_index("file", "/", -1).alias("file"), "start", "value")
 
 
 _SPLIT_PAF = WT.replace("WITH ", "WITH RECURSIVE ", 1) + """, p AS (SELECT concat_ws(chr(9), qname, seq_len + h1, CASE WHEN flag & 16 > 0 THEN h1 ELSE s1 END, CASE WHEN flag & 16 > 0 THEN seq_len + h1 - s1 ELSE seq_len END, CASE WHEN flag & 16 > 0 THEN '-' ELSE '+' END, a.rname, ref_len, pos, pos + m1 + 50 + d1, m1 + 50 + d1 - coalesce(nm, 0), m1 + 50 + d1, mapq) AS line, qname, a.rname AS ctg, ref_len

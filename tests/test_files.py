@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from readloom.operators import polish as X
 from readloom.sources import storage, text
-from readloom.sources.files import FilesWriter, write_files
+from readloom.sources.files import BatchesWriter, FilesWriter, _parts, write_files
 
 
 def read(folder):
@@ -24,6 +24,17 @@ def test_files_in_order(spark, tmp_path):
     assert len(storage.files_of(str(tmp_path / "out"), "")) == 42 and read(tmp_path / "out")["more"] == "é\n"
 
 
+def test_lines_of_a_batch_are_written_at_once(tmp_path):
+    import pyarrow as pa
+
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["file", "value"])
+    rows = [[("a", "1"), ("a", None), ("a", "é"), ("b", None)], [("b", ""), ("c", None), ("d", "4")], [("d", "5")]]
+    assert [p for x in rows for p in _parts(batch(x))] == [("a", "1\né\n".encode()), ("b", b""), ("b", b"\n"), ("c", b""), ("d", b"4\n"), ("d", b"5\n")]
+    writer = BatchesWriter({"path": str(tmp_path)})
+    writer.commit([writer.write(map(batch, rows))])
+    assert read(tmp_path) == {"a": "1\né\n", "b": "\n", "c": "", "d": "4\n5\n"}
+
+
 def test_a_task_that_runs_twice(tmp_path):
     """Both attempts write all their lines; the one that counts is committed, and nothing else stays."""
     writer = FilesWriter({"path": str(tmp_path)})

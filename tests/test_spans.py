@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from readloom.sources import spans
 from readloom.sources.spans import contig_index, index_lines, read_keys, read_spans
 
 
@@ -66,3 +67,27 @@ def test_nothing_and_compressed(spark, tmp_path):
         f.write("a\tb\n")
     with pytest.raises(Exception, match="no places"):
         index_lines(spark, str(tmp_path / "x.paf.gz"), 0).count()
+
+
+def test_lines_of_a_file_are_few_spans(spark, tmp_path):
+    """Without a key, an index has a row for many lines; all of them are read, from their own places."""
+    lines = [f"{i}\té{'x' * (i % 50)}" for i in range(20_000)]
+    (tmp_path / "x.txt").write_text("\n".join(lines) + "\n")
+    index = index_lines(spark, str(tmp_path / "x.txt"), None, span_bytes=200_000)
+    rows = index.collect()
+    assert sum(r.n for r in rows) == 20_000 and len(rows) < 100 and max(r.stop - r.start for r in rows) <= 200_000
+    got = {r.start: r.value for r in read_spans(index).collect()}
+    at = 0
+    for x in lines:
+        assert got.pop(at) == x
+        at += len(x.encode()) + 1
+    assert not got
+
+
+def test_spans_that_follow_each_other_are_read_at_once():
+    assert list(spans._joined([("a", 0, 5), ("a", 5, 9), ("b", 9, 12), ("b", 13, 15)])) == [("a", 0, 9), ("b", 9, 12), ("b", 13, 15)]
+    for raw in (b"", b"\n", b"a", b"a\n", b"\n\na\n\n", "é\nü".encode(), b"a\xff\nb\n", b"a\r\nb"):
+        want = raw.split(b"\n")[: None if raw and not raw.endswith(b"\n") else -1]
+        starts, lines = spans._lines_of(raw)
+        assert lines.to_pylist() == [x.decode("utf-8", "replace") for x in want]
+        assert starts.tolist() == [sum(len(y) + 1 for y in want[:k]) for k in range(len(want))]
