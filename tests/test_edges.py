@@ -72,6 +72,43 @@ def test_subtract_keeps_rows_that_repeat(spark):
         assert sorted(map(tuple, I.subtract(rows, masks, merged=merged).collect())) == sorted((k, "c", a, b) for k in (1, 1, 2) for a, b in ((1, 9), (21, 30)))
 
 
+def test_subtract_against_the_rule_step_by_step(spark):
+    """Masks that begin together, lie in each other, end before a row or have no bases, over several bins."""
+    import random
+
+    r = random.Random(6)
+    span = lambda n: (a := r.randint(1, 120), a + r.randint(-1, n))
+    for merged in (False, True):
+        masks = {("s%d" % r.randint(0, 5), *span(9 if k % 5 else 60)) for k in range(90)}
+        rows = [(k, "s%d" % r.randint(0, 6), *span(70)) for k in range(150)] + [(900, "s1", 3, 3), (900, "s1", 3, 3)]
+        want = []
+        for k, seq, a, b in rows:
+            if a > b or seq not in {m[0] for m in masks}:
+                continue
+            hits, at = sorted((p, q) for s, p, q in masks if s == seq and p <= q and q >= a and p <= b), a
+            for p, q in hits:
+                want += [(k, seq, max(at, a), p - 1)] if max(at, a) < p else []
+                at = max(at, q + 1) if merged else q + 1
+            want += [(k, seq, max(at, a), b)] if max(at, a) <= b else []
+        named = lambda x, first: spark.createDataFrame(sorted(x), f"{first}seq string, start long, end long")
+        got = I.subtract(named(rows, "id long, "), named(masks, ""), 25, merged)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_subtract_meets_gaps_instead_of_masks(spark, monkeypatch):
+    """Of masks without a gap between them, rows meet those that reach over their start alone."""
+    rows = spark.range(200).selectExpr("id", "'c' AS seq", "id + 1 AS start", "id + 900 AS end")
+    masks = spark.range(1, 1200).selectExpr("'c' AS seq", "id AS start", "id + 3 AS end")
+    made, join = [], I.interval_join
+
+    def counted(*given):
+        made.append((out := join(*given)).count())
+        return out
+
+    monkeypatch.setattr(I, "interval_join", counted)
+    assert I.subtract(rows, masks, 100).count() == 0 and len(made) == 2 and max(made) < 1000
+
+
 def test_short_sequences_stay(spark):
     d = spark.createDataFrame([("a", "ACGT"), ("b", ""), ("c", "AT" * 20 + "G" * 30 + "C" * 40), ("n", None)], "name string, seq string")
     got = {r.name: (r.header, r.seq) for r in S.reoriented(d, "name", "seq", 20, 10, short=True).collect()}
